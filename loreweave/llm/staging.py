@@ -1,0 +1,51 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + os.path.join(tempfile.gettempdir(), "loreweave-shared")
+    return base.rstrip("/")
+
+
+class Stage:
+    """Tables of one run under a folder of their own.
+
+    ``table`` writes a DataFrame as Parquet and returns it as read again, which
+    cuts the lineage: a lost executor costs the running stage only.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.mode("error").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later plan reads."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A side of at most this many rows of a few longs may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` are within the bound, else as it is."""
+    return F.broadcast(df) if rows <= limit else df
