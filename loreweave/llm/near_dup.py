@@ -15,8 +15,9 @@ Links: candidates within the signature distance and the size ratio are
 confirmed on their full shingle sets.  As only the class of a document is asked
 for, a pair already known to lie in one class needs no confirmation: keys are
 first linked to one pivot each, then only pairs of different classes follow.
-In large buckets documents go first that cannot link: at least 85 % of a
-linked document's shingles must occur in another document of those buckets.
+The documents of large buckets are not paired bucket by bucket: pairs there must
+also share one of their rarest shingles (a necessary condition, see
+``_prefixes``), and a pair within the signature distance shares a bucket anyway.
 
 Defined results: null or blank texts have no shingles and link with nothing;
 rows without id link with nothing (component_id null, kept); repeated rows
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import wordvec as W
 from .components import connected_components
@@ -41,7 +43,7 @@ WIDTH = 5
 POSITIONS, CHUNKS, MAX_DISTANCE = 32, 8, 14
 PLACE_BITS = 16
 PER_CHUNK = POSITIONS // CHUNKS
-#: Buckets above this size are pruned before their pairs are enumerated.
+#: Documents of buckets above this size are paired by their rarest shingles.
 LARGE_BUCKET = 32
 WORDS_OF_SIGNATURE = [f"s{i}" for i in range(POSITIONS * PLACE_BITS // 64)]
 
@@ -137,10 +139,10 @@ def _distance() -> Column:
     """Places in which signatures a_s* and b_s* differ."""
     parts = []
     for s in WORDS_OF_SIGNATURE:
-        z = F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))
-        for by in (8, 4, 2, 1):  # the lowest bit of each place becomes the OR of its 16
-            z = z.bitwiseOR(F.shiftrightunsigned(z, by))
-        parts.append(F.bit_count(z.bitwiseAND(F.lit(0x0001000100010001))))
+        unlike = F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))
+        for at in range(0, 64, PLACE_BITS):
+            place = 0xFFFF << at
+            parts.append((unlike.bitwiseAND(F.lit(place - (1 << 64) if at == 48 else place)) != 0).cast("int"))
     return reduce(lambda x, y: x + y, parts)
 
 
@@ -169,7 +171,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     sets = stage.table(sets.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
 
     facts = reps.select("rep", "n", *WORDS_OF_SIGNATURE)
-    close = (_distance() <= MAX_DISTANCE) & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+    close = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (_distance() <= MAX_DISTANCE)
     side = lambda df, x: df.select(*(F.col(c).alias(c if c == "key" else x if c == "rep" else f"{x}_{c}") for c in df.columns))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
@@ -188,18 +190,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     left = members.select("key", "rep", "size").join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     spread = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     left = stage.table(left.join(spread, "key", "left_semi"), "left")
-    large = _linkable(left.filter(F.col("size") > LARGE_BUCKET), sets, percent)
-    rest = left.filter(F.col("size") <= LARGE_BUCKET).unionByName(large).join(facts, "rep").select("key", "rep", "label", "n", *WORDS_OF_SIGNATURE)
-    rest = stage.table(rest, "rest")
-    pairs = side(rest, "a").join(side(rest, "b"), "key").filter((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & close)
-    more = confirmed(stage.table(pairs.select("a", "b").distinct(), "pairs"), "more-links")
+    apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & close
+    wide = ["rep", "label", *facts.columns[1:]]
+    small = stage.table(left.filter(F.col("size") <= LARGE_BUCKET).join(facts, "rep").select("key", *wide), "small")
+    large = left.filter(F.col("size") > LARGE_BUCKET).select("rep", "label").distinct()
+    large = stage.table(_prefixes(large, sets, percent).join(facts, "rep").select("key", *wide), "large")
+    pairs = [side(x, "a").join(side(x, "b"), "key").filter(apart).select("a", "b") for x in (small, large)]
+    pairs = pairs[0].unionByName(pairs[1]).distinct()
+    more = confirmed(stage.table(pairs, "pairs"), "more-links")
     labels = connected_components(links.unionByName(more), stage, "all")
 
     classes = reps.select("rep", "set_hi", "set_lo").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
     classes = classes.select("set_hi", "set_lo", F.coalesce("label", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    stage.drop("members", "sets", "left", "rest", "pairs", "star-links", "more-links")
+    stage.drop("members", "sets", "left", "small", "large", "pairs", "star-links", "more-links")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -207,19 +212,20 @@ def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             values = np.frombuffer(s.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), rep, np.int64)), pa.array(values)], names=["rep", "shingle"])
+            same = [pa.array(np.full(len(values), x, np.int64)) for x in (rep, len(values))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(values)], names=["rep", "n", "key"])
 
 
-def _linkable(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of large buckets whose document may link with another document of them.
+def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles (as ``key``) of each of ``docs``, enough for any link to share one.
 
-    Exact: a link of ``percent`` needs that share of a document's shingles in
-    the other document, so in some other document of these buckets.
+    A link of ``percent`` shares that part of either set, so of a set of n all
+    but n - ceil(percent n / 100) shingles; one more than those cannot all be
+    missing in the other document.  Rarity is counted over ``docs``.
     """
-    docs = large.select(F.col("rep").alias("doc_id")).distinct()
-    rows = sets.join(docs, "doc_id", "left_semi").mapInArrow(_explode_shingles, "rep long, shingle long")
-    single = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).filter("df = 1")
-    alone = single.groupBy("rep").agg(F.count("*").alias("alone"))
-    sizes = sets.select(F.col("doc_id").alias("rep"), (F.length("shingles") / 8).alias("n"))
-    no = alone.join(sizes, "rep").filter((F.col("n") - F.col("alone")) * 100 < F.col("n") * percent).select("rep")
-    return large.join(no, "rep", "left_anti")
+    sets = sets.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = sets.mapInArrow(_explode_shingles, "rep long, n long, key long")
+    counts = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = rows.join(counts, "key", "left").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "key")))
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.filter((F.col("at") <= needed) & F.col("df").isNotNull()).select("rep", "key").join(docs, "rep")
