@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import wordvec as W
 from .components import connected_components
@@ -208,12 +207,44 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Places of the rarity sketch, whatever the data's size, and how many travel in a row.
+SKETCH_BITS, SKETCH_ROW = 18, 1024
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    for batch in batches:
+        for s in batch.column(0):
+            counts += np.bincount(_sketch_place(np.frombuffer(s.as_buffer(), np.uint64)), minlength=len(counts))
+    if counts.any():
+        rows = [r.tobytes() for r in counts.reshape(-1, SKETCH_ROW)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows, pa.binary())], names=["at", "counts"])
+
+
+def _sketch_place(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sketch_sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SKETCH_ROW, dtype=np.int64)
     for batch in batches:
-        for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            values = np.frombuffer(s.as_buffer(), np.int64)
-            same = [pa.array(np.full(len(values), x, np.int64)) for x in (rep, len(values))]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(values)], names=["rep", "n", "key"])
+        for s in batch.column(1):
+            total += np.frombuffer(s.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["at", "counts"])
+
+
+def _rarest(counts: np.ndarray, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shingles = np.frombuffer(s.as_buffer(), np.uint64)
+                n = len(shingles)
+                seen = counts[_sketch_place(shingles)]
+                first = np.lexsort((shingles, seen))[: n - -(-n * percent // 100) + 1]
+                keys = shingles[first][seen[first] > 1].view(np.int64)  # a count of 1 is exact: nobody shares it
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rep, np.int64)), pa.array(keys)], names=["rep", "key"])
+
+    return run
 
 
 def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,11 +252,12 @@ def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A link of ``percent`` shares that part of either set, so of a set of n all
     but n - ceil(percent n / 100) shingles; one more than those cannot all be
-    missing in the other document.  Rarity is counted over ``docs``.
+    missing in the other document.  This holds for any order that all documents
+    follow; rarity is counted over all of ``docs`` in a sketch of fixed size.
     """
     sets = sets.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = sets.mapInArrow(_explode_shingles, "rep long, n long, key long")
-    counts = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = rows.join(counts, "key", "left").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "key")))
-    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return ranked.filter((F.col("at") <= needed) & F.col("df").isNotNull()).select("rep", "key").join(docs, "rep")
+    parts = sets.select("shingles").mapInArrow(_sketch, "at long, counts binary")
+    counts = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, dtype=np.int64)
+    for row in parts.groupBy("at").applyInArrow(_sketch_sum, "at long, counts binary").collect():
+        counts[row["at"] * SKETCH_ROW : (row["at"] + 1) * SKETCH_ROW] = np.frombuffer(row["counts"], np.int64)
+    return sets.mapInArrow(_rarest(counts, percent), "rep long, key long").join(docs, "rep")

@@ -1,4 +1,4 @@
-"""Queries of the operators, for the entry module."""
+"""Queries of the operators over whole tables, and their SQL twins, for the entry module."""
 
 from __future__ import annotations
 
@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
+from .exact_dedup import exact_duplicates
+from .language import identify
 from .near_dup import near_duplicates
+from .packing import pack
+from .quality import score_quality
+from .secret_scan import find_secrets
+from .sharding import FANOUT, TARGET_BYTES, WAVES, shard_table
+from .staging import Stage
+from .tokens import count_tokens
+from .toxicity import score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,9 +27,75 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _read(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents"))
+
+
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table(spark, _read(spark, sf_dir, "documents"), Stage(spark, "shards").folder)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, _read(spark, sf_dir, "documents"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_read(spark, sf_dir, "documents"), keep="largest")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    found = (
+        op1_minhash_near_dedup,
+        op2_token_counts,
+        op3_retrieval_packing,
+        op4_decontamination,
+        op5_quality_classifier,
+        op6_size_tiered_sharding,
+        op7_language_id,
+        op8_exact_dedup,
+        op9_secret_scan,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
+
+
+ORACLE = {
+    "op6_size_tiered_sharding": f"""
+        with d as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint as n_bytes, md5(coalesce(text, '')) as text_md5,
+                          ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as h,
+                          ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 2))::bigint % {WAVES} as wave from documents),
+             s as (select greatest(1, ceil(sum(n_bytes) / {TARGET_BYTES}.0))::bigint as shards from d),
+             p as (select doc_id, n_bytes, text_md5, (h % shards)::int as shard_no from d, s)
+        select doc_id, n_bytes, text_md5, 1::int as shard_tier, shard_no, count(*) over (partition by shard_no) as shard_rows,
+               (sum(n_bytes) over (partition by shard_no))::bigint as shard_bytes from p""",
+    "op8_exact_dedup": """
+        with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
+        select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
+        from d window w as (partition by text_sha256)""",
+}
+assert FANOUT <= WAVES  # all waves merge into one run, as the SQL of op6 has it
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
