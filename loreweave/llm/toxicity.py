@@ -2,15 +2,17 @@
 
 A window is a word (lower-case letters, digits and everything beyond ASCII).  It
 is compressed once with either dictionary; the difference in length says which
-kind of text it is nearer to.  Each window is led by a carrier that both
-dictionaries end with, so that even a short window is never stored raw and its
-length is exact to the byte.  A document is as toxic as its largest difference,
-which calibration on rows apart from the dictionaries' turns into a probability.
+kind of text it is nearer to.  Each window stands between two copies of a
+carrier that both dictionaries end with, so that even a short window is never
+stored raw, matches at its very end are found, and its length is exact to the byte.  A document's distance is its largest difference,
+plus one for each further window of at least ``TELLING`` bytes (``MORE`` at most);
+calibration on rows apart from the dictionaries' turns it into a probability.
 
 Toxic documents are mostly ordinary prose.  The toxic dictionary is therefore
-trained on the words that occur there in many different contexts and at
-``CONTRAST`` times the rate of ordinary documents; counting contexts rather than
-occurrences keeps copies of one document from passing for evidence.
+trained on the words with a telling beginning or part: ``GRAM`` bytes of " word"
+that occur there in many different contexts and at ``CONTRAST`` times the rate of
+ordinary documents.  Counting contexts rather than occurrences keeps copies of
+one document from passing for evidence.
 
 Words repeat, so lengths are computed once for each distinct word of a block.
 """
@@ -34,9 +36,10 @@ TRAIN_PER_LABEL = 3000
 CARRIER = b"~=~=~=carrier=~=~"
 LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 4096
-MIN_CONTEXTS, CONTRAST = 4, 8
+MIN_CONTEXTS, CONTRAST, GRAM = 8, 10, 5
 #: Distinct words whose differences a worker remembers before it starts afresh.
 REMEMBERED = 500_000
+TELLING, MORE = 4, 6
 HIGHEST = 24
 
 
@@ -55,6 +58,23 @@ def _contexts(docs: list[list[bytes]]) -> Counter:
     return Counter(b for b, _, _ in seen)
 
 
+def _grams(word: bytes) -> set[bytes]:
+    led = b" " + word
+    return {led[i : i + GRAM] for i in range(max(1, len(led) - GRAM + 1))}
+
+
+def _telling(toxic: Counter, ordinary: Counter) -> dict[bytes, int]:
+    """Words of toxic text with a part that ordinary text hardly has, and their weights."""
+    parts = [Counter(), Counter()]
+    for counts, words in zip(parts, (toxic, ordinary), strict=True):
+        for w, k in words.items():
+            for g in _grams(w):
+                counts[g] += k
+    rate = (ordinary.total() + 1) / (toxic.total() + 1)
+    good = {g for g, k in parts[0].items() if k >= MIN_CONTEXTS and k * rate >= CONTRAST * (parts[1][g] + 0.5)}
+    return {w: min(k, 50) for w, k in toxic.items() if len(w) > 2 and not good.isdisjoint(_grams(w))}
+
+
 def _dictionary(weights: dict[bytes, int], size: int) -> bytes:
     """Trained dictionary of words as often as their weights; their plain sequence if there are too few to train."""
     import zstandard
@@ -89,15 +109,15 @@ class DistanceModel:
                 held = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=plain)
                 self._coders.append(zstandard.ZstdCompressor(dict_data=held, compression_params=plain))
-        windows = [CARRIER + b" " + w + b" " for w in words]
+        windows = [CARRIER + b" " + w + b" " + CARRIER for w in words]
         sizes = np.array([len(w) for w in windows], dtype=np.uint64)
         segments = np.stack([np.cumsum(sizes) - sizes, sizes], axis=1)
         packed = zstandard.BufferWithSegments(b"".join(windows), segments.tobytes())
         one, two = (np.fromiter(map(len, c.multi_compress_to_buffer(packed, threads=1)), np.int64, len(words)) for c in self._coders)
         return one - two
 
-    def largest(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        """(first row, largest difference of each text) of blocks of whole texts; -1 without words."""
+    def distances(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, distance of each text) of blocks of whole texts; -1 without words."""
         for low, high, raw, offsets in W.blocks(column):
             hashes, first, end, counts = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
             best = np.full(high - low, -1, dtype=np.int64)
@@ -114,7 +134,9 @@ class DistanceModel:
                     known.update(zip(distinct[some].tolist(), found.tolist(), strict=True))
                 value = np.array([known[h] for h in distinct.tolist()], dtype=np.int64)[inverse]
                 has = counts > 0
-                best[has] = np.maximum.reduceat(value, (np.cumsum(counts) - counts)[has])
+                begin = (np.cumsum(counts) - counts)[has]
+                telling = np.add.reduceat((value >= TELLING).astype(np.int64), begin)
+                best[has] = np.maximum.reduceat(value, begin) + np.clip(telling - 1, 0, MORE)
             yield low, np.clip(best, -1, HIGHEST)
 
 
@@ -141,18 +163,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", calibrates.alias("c")).orderBy("doc_id").collect()
-    words = {(c, y): [_words(r["text"]) for r in rows if r["c"] is c and r["label"] == y] for c in (False, True) for y in (0, 1)}
-    if not words[False, 0] or not words[False, 1]:
+    ordinary, toxic = (_contexts([_words(r["text"]) for r in rows if not r["c"] and r["label"] == y]) for y in (0, 1))
+    if not ordinary or not toxic:
         return None
-    ordinary, toxic = _contexts(words[False, 0]), _contexts(words[False, 1])
-    rate = (ordinary.total() + 1) / (toxic.total() + 1)
-    telling = {w: min(k, 50) for w, k in toxic.items() if k >= MIN_CONTEXTS and len(w) > 2 and k * rate >= CONTRAST * (ordinary[w] + 0.5)}
+    telling = _telling(toxic, ordinary)
     model = DistanceModel(_dictionary({w: min(k, 20) for w, k in ordinary.items()}, ORDINARY_BYTES), _dictionary(telling, TOXIC_BYTES), [])
     seen = {}
     for y in (0, 1):
-        held = words[True, y] or words[False, y]
-        best = [max(model._lengths(list(set(w)))) if w else -1 for w in held]
-        counts = np.bincount(np.clip(np.array(best), -1, HIGHEST) + 1, minlength=HIGHEST + 2) + 0.02
+        apart = [r["text"] for r in rows if r["c"] and r["label"] == y] or [r["text"] for r in rows if r["label"] == y]
+        best = np.concatenate([d for _, d in model.distances(pa.array(apart, pa.large_string()))])
+        counts = np.bincount(best + 1, minlength=HIGHEST + 2) + 0.02
         seen[y] = counts / counts.sum() * shares[y]
     model.table = _isotonic(seen[1], seen[0])
     return model
@@ -166,7 +186,7 @@ def _score(model: DistanceModel | None):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zero), pa.array(zero.astype(np.int64))], names=["doc_id", "score", "distance"])
                 continue
             table = np.array(model.table)
-            for low, best in model.largest(batch.column(1)):
+            for low, best in model.distances(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(best)), pa.array(table[best + 1]), pa.array(best)], names=["doc_id", "score", "distance"])
 
     return run
