@@ -193,9 +193,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     wide = ["rep", "label", *facts.columns[1:]]
     small = stage.table(left.filter(F.col("size") <= LARGE_BUCKET).join(facts, "rep").select("key", *wide), "small")
     large = left.filter(F.col("size") > LARGE_BUCKET).select("rep", "label").distinct()
-    large = stage.table(_prefixes(large, sets, percent).join(facts, "rep").select("key", *wide), "large")
-    pairs = [side(x, "a").join(side(x, "b"), "key").filter(apart).select("a", "b") for x in (small, large)]
-    pairs = pairs[0].unionByName(pairs[1]).distinct()
+    large = stage.table(_prefixes(large, sets, percent).join(facts, "rep").select("key", "at", *wide), "large")
+    # Of the first shingle that two documents share, everything before it is missing in the other one.
+    enough = (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + 1) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    pairs = side(small, "a").join(side(small, "b"), "key").filter(apart).select("a", "b")
+    far = side(large, "a").join(side(large, "b"), "key").filter(enough & apart).select("a", "b")
+    pairs = pairs.unionByName(far).distinct()
     more = confirmed(stage.table(pairs, "pairs"), "more-links")
     labels = connected_components(links.unionByName(more), stage, "all")
 
@@ -241,14 +244,15 @@ def _rarest(counts: np.ndarray, percent: int):
                 n = len(shingles)
                 seen = counts[_sketch_place(shingles)]
                 first = np.lexsort((shingles, seen))[: n - -(-n * percent // 100) + 1]
-                keys = shingles[first][seen[first] > 1].view(np.int64)  # a count of 1 is exact: nobody shares it
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rep, np.int64)), pa.array(keys)], names=["rep", "key"])
+                at = np.flatnonzero(seen[first] > 1)  # a count of 1 is exact: nobody shares it
+                keys = shingles[first[at]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rep, np.int64)), pa.array(at + 1), pa.array(keys)], names=["rep", "at", "key"])
 
     return run
 
 
 def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles (as ``key``) of each of ``docs``, enough for any link to share one.
+    """The rarest shingles (``key``) of each of ``docs`` and their places (``at``, from 1), enough for any link to share one.
 
     A link of ``percent`` shares that part of either set, so of a set of n all
     but n - ceil(percent n / 100) shingles; one more than those cannot all be
@@ -260,4 +264,4 @@ def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, dtype=np.int64)
     for row in parts.groupBy("at").applyInArrow(_sketch_sum, "at long, counts binary").collect():
         counts[row["at"] * SKETCH_ROW : (row["at"] + 1) * SKETCH_ROW] = np.frombuffer(row["counts"], np.int64)
-    return sets.mapInArrow(_rarest(counts, percent), "rep long, key long").join(docs, "rep")
+    return sets.mapInArrow(_rarest(counts, percent), "rep long, at long, key long").join(docs, "rep")
