@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 16 << 20
+#: Shards are read often and never changed, so they are packed well.
+CODEC = "zstd"
 FANOUT = 4
 WAVES = 8
 
@@ -107,7 +109,7 @@ class ShardStore:
         shards = max(1, math.ceil(size / shard_bytes))
         name = f"run-{uuid.uuid4().hex}"
         shard = F.pmod(id_hash(F.col(self.id_col)), F.lit(shards)).cast("int")
-        df.withColumn("shard_no", shard).repartitionById(shards, F.col("shard_no")).write.parquet(f"{self.folder}/data/{name}")
+        df.withColumn("shard_no", shard).repartitionById(shards, F.col("shard_no")).write.option("compression", CODEC).parquet(f"{self.folder}/data/{name}")
         return Run(name, tier, shards, rows, size)
 
     def append(self, df: DataFrame, wave: Column | None = None) -> int:
@@ -131,7 +133,7 @@ class ShardStore:
             begin = F.create_map(*(F.lit(x) for w, (b, _) in first.items() for x in (w, b)))[F.col("shard_wave")]
             many = F.create_map(*(F.lit(x) for w, (_, n) in first.items() for x in (w, n)))[F.col("shard_wave")]
             numbered = arrivals.withColumn("shard_no", F.pmod(id_hash(F.col(self.id_col)), many).cast("int"))
-            numbered.repartitionById(parts, (begin + F.col("shard_no")).cast("int")).write.partitionBy("shard_wave").parquet(f"{self.folder}/data/{name}")
+            numbered.repartitionById(parts, (begin + F.col("shard_no")).cast("int")).write.option("compression", CODEC).partitionBy("shard_wave").parquet(f"{self.folder}/data/{name}")
         return self.commit(runs, have[-1] if have else 0)
 
     def tier_of(self, run: Run) -> int:
