@@ -93,7 +93,7 @@ def sentences(text: Column) -> Column:
 
 def split_oversized(line: Column, limit: int = MAX_CHUNK_CHARS) -> Column:
     """A line of up to ``limit`` characters as it is; else its sentences, packed greedily."""
-    pieces = F.filter(F.transform(sentences(line), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(sentences(line), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -217,4 +217,4 @@ def variants(question: Column, rules: RulePack = KOREAN) -> Column:
         has, other = question.contains(compact), question.contains(spaced)
         out.append(F.when(has & ~other, F.replace(question, F.lit(compact), F.lit(spaced))).otherwise(none))
         out.append(F.when(other & ~has, F.replace(question, F.lit(spaced), F.lit(compact))).otherwise(none))
-    return F.array_distinct(F.filter(F.transform(F.array_compact(F.array(*out)), F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(F.array_compact(F.array(*out)), lambda v: F.trim(v)), lambda v: v != ""))
