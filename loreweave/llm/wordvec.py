@@ -125,7 +125,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
     end = np.flatnonzero(ends) + 1
     out = np.empty(len(first), dtype=np.uint64)
     at = done = 0
-    for stop in _segment_ends(inside, doc_start):
+    for stop in _segment_ends(inside, doc_start[:n]):
         upto = int(np.searchsorted(first, stop))
         if upto > done:
             up, down = _power_tables(stop - at)
