@@ -64,7 +64,8 @@ class Bm25:
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
         """Unused documents that share telling words with ``seed``, best first, ties by order."""
         a, b = self.own_bounds[seed], self.own_bounds[seed + 1]
-        words, weights = self.own_word[a:b], self.own_weight[a:b] * (self.own_df[a:b] > 1)
+        shared = self.own_df[a:b] > 1
+        words, weights = self.own_word[a:b][shared], self.own_weight[a:b][shared]
         if len(words) > QUERY_WORDS:
             words = words[np.argpartition(-weights, QUERY_WORDS)[:QUERY_WORDS]]
         spans = [slice(self.bounds[w], self.bounds[w + 1]) for w in words.tolist()]

@@ -176,7 +176,7 @@ class ShardStore:
         if not have:
             return
         fs, named = self._fs(), {r.name.split("/")[0] for r in self.runs(have[-1])}
-        for s in fs.listStatus(self._path("data")):
+        for s in fs.listStatus(self._path("data")) if fs.exists(self._path("data")) else ():
             if s.getPath().getName() not in named:
                 fs.delete(s.getPath(), True)
         for v in have[:-1]:

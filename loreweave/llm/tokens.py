@@ -60,7 +60,7 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     """``text`` in order, cut at safe boundaries into parts of about ``size`` characters."""
     at = 0
     while len(text) - at > size:
-        cut = _SAFE.search(text, at + size - 1)
+        cut = _SAFE.search(text, at + size)
         if cut is None:
             break
         yield text[at : cut.start()]
