@@ -32,9 +32,11 @@ def build_indexes(store: Store, settings: Settings | None = None) -> dict[str, i
     path = index_path(store, settings)
     texts = index_text(store.chunks, store.notes).cache()
     version = _index_version(store, path) + 1
-    sparse = build_sparse(texts).save(f"{path}/v{version}/sparse")
-    dense = build_dense(texts).save(f"{path}/v{version}/dense")
+    sparse = build_sparse(texts, f"{path}/v{version}/stage-sparse").save(f"{path}/v{version}/sparse")
+    dense = build_dense(texts, stage=f"{path}/v{version}/stage-dense").save(f"{path}/v{version}/dense")
     fs = store._fs()
+    for done in ("stage-sparse", "stage-dense"):
+        fs.delete(store.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}/{done}"), True)
     pointer = store.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/p{version}")
     fs.create(pointer, True).close()
     out = {"chunks": texts.count(), "features": sparse.idf.count(), "rank": dense.rank}

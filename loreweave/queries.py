@@ -656,8 +656,8 @@ def corpus(spark: SparkSession, sf: str) -> H.Corpus:
         titles = n.select((F.col("id") * STRIDE).alias("chunk_id"), F.col("title").alias("text"))
         none = {c: F.lit(None).cast("string") for c in ("raw_period_text", "raw_target_text", "raw_realm_text", "target_scope", "realm_scope")}
         events = event_records(spark, sf).withColumns(none)
-        sparse = X.build_sparse(X.index_text(chunks, n)).save(f"{at}/sparse")
-        dense = D.build_dense(titles, max_rank=16).save(f"{at}/dense")
+        sparse = X.build_sparse(X.index_text(chunks, n), f"{at}/stage-sparse").save(f"{at}/sparse")
+        dense = D.build_dense(titles, max_rank=16, stage=f"{at}/stage-dense").save(f"{at}/dense")
         _corpora[key] = H.Corpus(n, chunks, tags, events, sparse, dense)
     return _corpora[key]
 
