@@ -2,7 +2,7 @@
 
 The vocabulary exists as a ``tokenizers`` file and, identically, as merge ranks.
 The rank engine gives the same ids four times as fast; tests compare the two on
-every code point, on special strings and on whole corpora.  Special strings
+code points, special strings and a whole table.  Special strings
 inside a text are taken as the ``tokenizers`` file takes them: as the special
 token.
 
