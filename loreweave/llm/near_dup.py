@@ -3,8 +3,8 @@
 A document is the set of its distinct five-word shingles (fewer words: the whole
 sequence is its one shingle).  Its signature has ``POSITIONS`` places of 16 bits
 (b-bit MinHash).  Two documents of Jaccard similarity J agree in a place with
-probability J, so at J = 0.85 they differ in more than ``MAX_DISTANCE`` of 32
-places with a probability of 2e-5.
+probability J, so at J = 0.8 they differ in more than ``MAX_DISTANCE`` of 40
+places with a probability of 2e-5 (at 0.85 of 2e-7).
 
 Candidates: the places are split into ``CHUNKS`` chunks.  By pigeonhole two
 signatures within ``MAX_DISTANCE`` differ in at most ``MAX_DISTANCE // CHUNKS``
@@ -39,7 +39,7 @@ from .components import connected_components
 from .staging import Stage, bounded_broadcast
 
 WIDTH = 5
-POSITIONS, CHUNKS, MAX_DISTANCE = 32, 8, 14
+POSITIONS, CHUNKS, MAX_DISTANCE = 40, 10, 19
 PLACE_BITS = 16
 PER_CHUNK = POSITIONS // CHUNKS
 #: Documents of buckets above this size are paired by their rarest shingles.
