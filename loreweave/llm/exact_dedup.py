@@ -28,15 +28,16 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", hash_of: Callable[[Column], Column] = content_hash, row_col: str | None = None) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256, and ``row`` if ``row_col`` names a column of row numbers.
 
     ``keep`` names the row that stays of equal texts: ``smallest`` or ``largest`` id.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
     best = F.min if keep == "smallest" else F.max
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    number = [F.col(row_col).alias("row")] if row_col else []
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *number)
     texts = texts.withColumn("h", hash_of(F.col("text")))
     groups = texts.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
@@ -44,6 +45,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = groups.groupBy("h", "text_sha256").agg(
         F.first("keep_id").alias("keep_id"), F.when(F.count("*") == 1, F.first("group_size")).otherwise(clash).alias("group_size")
     )
-    rows = texts.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"))
+    rows = texts.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"), *(["row"] if row_col else []))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return rows.join(groups, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return rows.join(groups, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *(["row"] if row_col else []))
