@@ -72,6 +72,10 @@ class Profiler:
 
     def profiles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(profile of each text, whether it has a letter)."""
+        return self.measured(texts)[:2]
+
+    def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(profile of each text, whether it has a letter, number of its trigrams)."""
         n = len(texts)
         lengths = np.array([len(t or "") + 2 for t in texts], dtype=np.int64)
         joined = " " + "  ".join(t or "" for t in texts) + " "
@@ -90,7 +94,7 @@ class Profiler:
         some = np.flatnonzero(used)
         place = np.cumsum(used) - 1
         counts = np.bincount(owner * max(len(some), 1) + place[rows], minlength=n * len(some)).reshape(n, len(some)) if len(some) else np.zeros((n, 0))
-        return counts.astype(np.float32) @ self.vectors[some], lettered
+        return counts.astype(np.float32) @ self.vectors[some], lettered, np.bincount(owner, minlength=n)
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -163,6 +167,86 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return LanguageModel([r["lang"] for r in got], np.array([r["x"] for r in got]).reshape(len(got), dimensions))
 
 
+#: Length classes (powers of two of trigrams) and steps of the cosine in which bounds are fitted.
+CLASSES, STEPS = 32, 200
+#: A bound is this share of the class's median cosine (letters of sf0.1's texts in random order stay below it from 64 letters
+#: on), but at least so many times the lower quartile's distance below the median; and how many texts a class needs for one.
+BOUND_SHARE, BOUND_SPREADS, BOUND_TEXTS = 0.4, 5, 50
+
+
+def _length_class(trigrams: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(trigrams, 1)).astype(np.int64), 0, CLASSES - 1)
+
+
+def _histogram(model: LanguageModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiler, counts = Profiler(model.prototypes.shape[1]), np.zeros(CLASSES * STEPS, dtype=np.int64)
+        places = {lang: i for i, lang in enumerate(model.languages)}
+        for batch in batches:
+            for at, texts in _blocks(batch.column(1)):
+                x, lettered, trigrams = profiler.measured(texts)
+                own = np.array([places[g] for g in batch.column(0).slice(at, len(texts)).to_pylist()], dtype=np.int64)
+                cosine = (_unit(x) * model.prototypes[own]).sum(axis=1)
+                step = np.clip((cosine * STEPS).astype(np.int64), 0, STEPS - 1)
+                counts += np.bincount((_length_class(trigrams) * STEPS + step)[lettered], minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["at", "n"])
+
+    return run
+
+
+def cosine_bounds(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> np.ndarray:
+    """Least cosine of a text in a learned language, for each class of lengths.
+
+    A class's bound follows from median and lower quartile of its training
+    texts' cosines to their own language, which a few odd texts do not move, and
+    is no higher than those of longer texts.  A class of fewer than
+    ``BOUND_TEXTS`` has no bound of its own: it takes that of the next shorter
+    class, the shortest ones none.
+    """
+    if not model.languages:
+        return np.zeros(CLASSES)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter(F.col("lang").isin(model.languages) & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    sample = bounded_sample(rows, "doc_id", "lang", per_language).select("lang", "text")
+    counts = np.zeros(CLASSES * STEPS, dtype=np.int64)
+    for r in sample.mapInArrow(_histogram(model), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    counts = counts.reshape(CLASSES, STEPS)
+    total = counts.sum(axis=1)
+    middle, low = ((np.cumsum(counts, axis=1) >= q * total[:, None]).argmax(axis=1) / STEPS for q in (0.5, 0.25))
+    own = np.maximum(np.minimum(BOUND_SHARE * middle, middle - BOUND_SPREADS * (middle - low)), 0)
+    fitted = np.flatnonzero(total >= BOUND_TEXTS)
+    bounds = np.zeros(CLASSES)
+    for i, k in enumerate(fitted.tolist()):
+        upto = fitted[i + 1] if i + 1 < len(fitted) else CLASSES
+        bounds[k:upto] = own[fitted[i:]].min()
+    return bounds
+
+
+def _known(model: LanguageModel, bounds: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiler = Profiler(model.prototypes.shape[1])
+        for batch in batches:
+            for at, texts in _blocks(batch.column(1)):
+                x, known, trigrams = profiler.measured(texts)
+                if model.languages:
+                    known = known & ((_unit(x) @ model.prototypes.T).max(axis=1) >= bounds[_length_class(trigrams)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(known, pa.bool_())], names=["doc_id", "known"])
+
+    return run
+
+
+def in_known_language(docs: DataFrame, model: LanguageModel, bounds: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, known.
+
+    A text is known if it has a letter and its best cosine reaches the bound of
+    its length; without any prototype every text with a letter is.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(_known(model, bounds), "doc_id long, known boolean")
+
+
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (cosine, 0 to 1).
 
