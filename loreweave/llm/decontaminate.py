@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordvec as W
+from .rowwise import passing
 from .staging import Stage
 
 WINDOW = 10
@@ -183,6 +184,38 @@ def _merged(parts: DataFrame) -> DataFrame:
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))])
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def _block_count(items: DataFrame, block_words: int) -> int:
+    blank = items.select(F.sum(F.length("text") - F.length(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")) + 1)).first()[0] or 0
+    return max(1, -(-2 * int(blank) // block_words))  # at least as many separators as words, twice for uneven blocks
+
+
+def _index(texts: DataFrame, items: DataFrame, k: int, blocks: int) -> WindowIndex:
+    """The index of block ``k``, its words' rarity counted over ``texts``."""
+    block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
+    words = _text_words([r["text"] for r in block])
+    named = sorted(((r["item"], w) for r, w in zip(block, words, strict=True) if len(w)), key=lambda x: (x[0] is None, x[0] or ""))
+    vocabulary = np.unique(np.concatenate([w for _, w in named])) if named else np.zeros(0, np.uint64)
+    rarity: dict[int, int] = {}
+    if len(vocabulary):
+        counted = texts.select("doc_id", "text").mapInArrow(_occurrences_of(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        rarity = {r["word"] & (1 << 64) - 1: r["n"] for r in counted.collect()}
+    return WindowIndex(named, rarity)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without a hit, columns as they are; each row is judged by itself, block after block."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    items = _items(benchmark, item_col, item_text_col)
+    blocks = _block_count(items, block_words)
+    for k in range(blocks):
+        docs = passing(docs, _hits(_index(texts, items, k, blocks)), "n_hit", False, text_col)
+    return docs
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, items, spans, contaminated.
 
@@ -190,23 +223,14 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     ids as sorted strings.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    blank = items.select(F.sum(F.length("text") - F.length(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")) + 1)).first()[0] or 0
-    blocks = max(1, -(-2 * int(blank) // block_words))  # at least as many separators as words, twice for uneven blocks
+    items = _items(benchmark, item_col, item_text_col)
+    blocks = _block_count(items, block_words)
     if blocks > 1:
         stage = Stage(spark, "contamination")
         texts = stage.table(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     parts = []
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        words = _text_words([r["text"] for r in block])
-        named = sorted(((r["item"], w) for r, w in zip(block, words, strict=True) if len(w)), key=lambda x: (x[0] is None, x[0] or ""))
-        vocabulary = np.unique(np.concatenate([w for _, w in named])) if named else np.zeros(0, np.uint64)
-        rarity: dict[int, int] = {}
-        if len(vocabulary):
-            counted = texts.select("doc_id", "text").mapInArrow(_occurrences_of(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-            rarity = {r["word"] & (1 << 64) - 1: r["n"] for r in counted.collect()}
-        index = WindowIndex(named, rarity)
+        index = _index(texts, items, k, blocks)
         if blocks == 1:
             return texts.mapInArrow(_hits(index), _RESULT).withColumn("contaminated", F.col("n_hit") > 0)
         numbered = texts.select(F.col("row").alias("doc_id"), "text").mapInArrow(_hits(index), _RESULT).filter("n_hit > 0")

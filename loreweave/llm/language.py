@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import wordvec as W
 from .folds import bounded_sample, held_out
+from .rowwise import passing
 
 DIMENSIONS = 512
 SLOTS = 128
@@ -237,14 +238,13 @@ def _known(model: LanguageModel, bounds: np.ndarray):
     return run
 
 
-def in_known_language(docs: DataFrame, model: LanguageModel, bounds: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, known.
+def in_known_language(docs: DataFrame, model: LanguageModel, bounds: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a known language, columns as they are; each row is judged by itself.
 
     A text is known if it has a letter and its best cosine reaches the bound of
     its length; without any prototype every text with a letter is.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_known(model, bounds), "doc_id long, known boolean")
+    return passing(docs, _known(model, bounds), "known", True, text_col)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
