@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import hot_keys, spread_join
 from .staging import Stage
 
 
@@ -14,21 +15,27 @@ def connected_components(edges: DataFrame, stage: Stage, name: str) -> DataFrame
     Each round gives every vertex the least label among itself and its
     neighbours, then replaces the label by the label's own label (pointer
     jumping), so long chains take a number of rounds that grows with their
-    logarithm.  Labels are a written table, never collected.  Returns (v, label).
+    logarithm.  Labels are a written table, never collected.  Edges of a hub and
+    vertices of a large component are split over tasks.  Returns (v, label).
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
-    both = stage.table(both.distinct(), f"{name}-edges")
-    labels = stage.table(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), f"{name}-0")
+    both = stage.table(both.distinct(), f"{name}-both")
+    degrees = stage.table(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"), F.count("*").alias("n")), f"{name}-degrees")
+    sums = degrees.agg(F.count("*").alias("v"), F.sum("n").alias("e")).first()
+    hubs = hot_keys(stage, f"{name}-hubs", degrees.withColumnRenamed("v", "b"), ["b"], "n", sums["e"] or 0)
+    labels = stage.table(degrees.select("v", F.least("v", "m").alias("label")), f"{name}-0")
     step = 0
     while True:
         step += 1
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
-        low = labels.join(near, "v").select("v", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        near = spread_join(both, labels.select(F.col("v").alias("b"), "label"), ["b"], hubs, F.xxhash64("a"))
+        near = near.groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
+        low = stage.table(labels.join(near, "v").select("v", F.col("label").alias("was"), F.least("label", "m").alias("label")), f"{name}-low-{step}")
+        large = hot_keys(stage, f"{name}-large-{step}", low.groupBy("label").agg(F.count("*").alias("n")), ["label"], "n", sums["v"])
         up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        jumped = low.join(up, "label", "left").select("v", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
+        jumped = spread_join(low, up, ["label"], large, F.xxhash64("v"), "left").select("v", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
         after = stage.table(jumped, f"{name}-{step}")
-        stage.drop(f"{name}-{step - 1}")
+        stage.drop(f"{name}-{step - 1}", f"{name}-low-{step}", f"{name}-large-{step}")
         if after.filter("label <> was").isEmpty():
-            stage.drop(f"{name}-edges")
+            stage.drop(f"{name}-both", f"{name}-degrees", f"{name}-hubs")
             return after.select("v", "label")
         labels = after.select("v", "label")

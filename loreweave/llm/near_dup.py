@@ -15,6 +15,8 @@ Links: candidates within the signature distance and the size ratio are
 confirmed on their full shingle sets.  As only the class of a document is asked
 for, a pair already known to lie in one class needs no confirmation: keys are
 first linked to one pivot each, then only pairs of different classes follow.
+Documents of the same set are one class by a 128-bit BLAKE2b digest of the whole
+sorted set; a shingle is the 64-bit hash of its words (see ``wordvec``).
 The documents of large buckets are not paired bucket by bucket: pairs there must
 also share one of their rarest shingles (a necessary condition, see
 ``_prefixes``), and a pair within the signature distance shares a bucket anyway.
@@ -26,6 +28,7 @@ share a class and are each returned; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import wordvec as W
 from .components import connected_components
+from .skew import hot_keys, salted, spread_join
 from .staging import Stage, bounded_broadcast
 
 WIDTH = 5
@@ -85,9 +89,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers[i, 0] = len(s)
             if len(s):
                 with np.errstate(over="ignore"):
-                    spread = W.mix64(s * np.uint64(0xA24BAED4963EE407))
-                    numbers[i, 1:3] = np.array([s.sum(dtype=np.uint64), spread.sum(dtype=np.uint64)]).view(np.int64)
-                numbers[i, 3:] = signature(s).view(np.int64)
+                    numbers[i, 3:] = signature(s).view(np.int64)
+                numbers[i, 1:3] = np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), np.int64)
         none = (numbers[:, 0] == 0) | np.asarray(ids.is_null())
         columns = [ids, pa.array(numbers[:, 0])]
         columns += [pa.array(numbers[:, k], mask=none if k < 3 else None) for k in range(1, numbers.shape[1])]
@@ -101,18 +104,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(percent: int):
+    """Links out of rows in order (a, b, shingles): the set of ``a`` (b is null), then those of its candidates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            is_own = np.asarray(batch.column(1).is_null())
+            for i, s in enumerate(batch.column(2)):
+                other = np.frombuffer(s.as_buffer(), np.uint64)
+                if is_own[i]:
+                    own = other.copy()
+                    continue
+                a, b = (own, other) if len(own) <= len(other) else (other, own)
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
                 both = int((b[at] == a).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -159,11 +168,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     features = stage.table(texts.mapInArrow(_features, FEATURES), "features")
 
     same = features.filter("set_hi is not null").groupBy("set_hi", "set_lo")
-    reps = same.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in WORDS_OF_SIGNATURE))
+    reps = same.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in WORDS_OF_SIGNATURE))
     reps = stage.table(reps, "reps")
+    sums = reps.agg(F.count("*").alias("sets"), F.sum("copies").alias("rows")).first()
     keyed = reps.select("rep", F.explode(bucket_keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    members = stage.table(keyed.join(shared, "key"), "members")
+    shared = stage.table(shared, "shared")
+    hot = hot_keys(stage, "hot-buckets", shared, ["key"], "size", sums["sets"])
+    members = stage.table(spread_join(keyed, shared, ["key"], hot, F.xxhash64("rep")), "members")
     seen = members.select(F.col("rep").alias("doc_id")).distinct()
     n_seen = seen.count()
     sets = texts.join(bounded_broadcast(seen, n_seen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -173,22 +185,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     close = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (_distance() <= MAX_DISTANCE)
     side = lambda df, x: df.select(*(F.col(c).alias(c if c == "key" else x if c == "rep" else f"{x}_{c}") for c in df.columns))
 
+    def pivots(pairs: DataFrame, name: str) -> DataFrame | None:
+        """Those ``a`` of written pairs that have a large share of them."""
+        return hot_keys(stage, f"hot-{name}", pairs.groupBy("a").agg(F.count("*").alias("size")), ["a"], "size", pairs.count())
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        two = one.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
-        return stage.table(two.mapInArrow(_confirmed(percent), "a long, b long"), name)
+        """Pairs whose full sets are similar enough; the set of ``a`` travels once for all its partners (of a part)."""
+        dealt = salted(pairs, pivots(pairs, name), ["a"], F.xxhash64("b"))
+        others = dealt.join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("a", "_salt", "b", "shingles")
+        own = dealt.select("a", "_salt").distinct().join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a")
+        rows = others.unionByName(own.select("a", "_salt", F.lit(None).cast("long").alias("b"), "shingles"))
+        rows = rows.repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.asc_nulls_first("b")).select("a", "b", "shingles")
+        return stage.table(rows.mapInArrow(_confirmed(percent), "a long, b long"), name)
 
     # Each key's documents against its pivot.
     star = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(side(facts, "a"), "a").join(side(facts, "b"), "b").filter(close).select("a", "b")
-    links = confirmed(star, "star-links")
+    star = stage.table(star, "star")
+    star = spread_join(star.join(side(facts, "b"), "b"), side(facts, "a"), ["a"], pivots(star, "star"), F.xxhash64("b")).filter(close).select("a", "b")
+    links = confirmed(stage.table(star, "star-close"), "star-links")
     labels = connected_components(links, stage, "star")
 
     # What is left: pairs of one key in different classes.
     known = labels.select(F.col("v").alias("rep"), "label")
     left = members.select("key", "rep", "size").join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    left = stage.table(left, "labelled")
     spread = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    left = stage.table(left.join(spread, "key", "left_semi"), "left")
+    left = stage.table(spread_join(left, spread, ["key"], hot, F.xxhash64("rep")), "left")
     apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & close
     wide = ["rep", "label", *facts.columns[1:]]
     small = stage.table(left.filter(F.col("size") <= LARGE_BUCKET).join(facts, "rep").select("key", *wide), "small")
@@ -204,10 +226,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     classes = reps.select("rep", "set_hi", "set_lo").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
     classes = classes.select("set_hi", "set_lo", F.coalesce("label", "rep").alias("component_id"))
-    out = features.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    stage.drop("members", "sets", "left", "small", "large", "pairs", "star-links", "more-links")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    hot = hot_keys(stage, "hot-sets", reps, ["set_hi", "set_lo"], "copies", sums["rows"] or 0)
+    out = features.select("doc_id", "n_shingles", "set_hi", "set_lo")
+    some = spread_join(out.filter("set_hi is not null"), classes, ["set_hi", "set_lo"], hot, F.xxhash64("doc_id")).select("doc_id", "n_shingles", "component_id")
+    none = out.filter("set_hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    stage.drop("shared", "members", "sets", "star", "star-close", "labelled", "left", "small", "large", "pairs", "star-links", "more-links")
+    return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 #: Places of the rarity sketch, whatever the data's size, and how many travel in a row.

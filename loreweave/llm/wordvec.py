@@ -1,8 +1,12 @@
 """Vectorised word hashing over Arrow text buffers.
 
 Texts stay in their Arrow buffer as UTF-8 bytes.  A look-up table says which
-byte belongs to a word, a prefix sum of a polynomial over the bytes gives the
-64-bit hash of every word at once.  No Python object is made for a word.
+byte belongs to a word; all words are then hashed together, eight bytes at a
+time: each step adds the next eight bytes of every word that has them to its
+state and mixes it.  A step is one-to-one, so words of up to eight bytes and the
+same length never collide; longer ones do with the chance of a random 64-bit
+hash.  Words beyond ``LONG_WORD`` bytes are hashed by BLAKE2b.  No Python object
+is made for any other word.
 
 Separators must be ASCII bytes; every byte of 0x80 and above then belongs to a
 word, so working on bytes equals working on code points.
@@ -10,6 +14,7 @@ word, so working on bytes equals working on code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +22,10 @@ import pyarrow as pa
 
 #: Texts are taken in blocks of whole documents of about this many bytes.
 BLOCK_BYTES = 2 << 20
-#: Within a block, bytes are hashed in segments of about this many bytes.
+#: Byte windows of a block are made in segments of about this many bytes.
 SEGMENT_BYTES = 1 << 19
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
 
 _BASE = 0x9E3779B97F4A7C15  # odd, thus invertible modulo 2**64
 _MASK = (1 << 64) - 1
@@ -55,20 +62,6 @@ _LOWER[0x41:0x5B] += 0x20
 #: Value of each byte in the polynomial; A-Z count as a-z.
 _VALUES = _sequence(7, 256)[_LOWER]
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SEGMENT_BYTES + 4096)
-        up = np.full(size, _BASE, dtype=np.uint64)
-        down = np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.cumprod(up), np.cumprod(down)
-    return _powers["up"], _powers["down"]
-
-
 def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole documents: (first row, end row, bytes, offsets from 0).
 
@@ -92,26 +85,28 @@ def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int
         low = high
 
 
-def _segment_ends(word_byte: np.ndarray, is_start: np.ndarray) -> list[int]:
-    """Ends of segments; none lies within a word."""
-    n, ends, at = len(word_byte), [], 0
-    while n - at > SEGMENT_BYTES:
-        cut, step = at + SEGMENT_BYTES, 4096
-        while cut < n:
-            free = np.flatnonzero(~word_byte[cut : cut + step] | is_start[cut : cut + step])
-            if len(free):
-                cut += int(free[0])
-                break
-            cut, step = min(n, cut + step), step * 2
-        ends.append(cut)
-        at = cut
-    if at < n:
-        ends.append(n)
-    return ends
+#: Keeps the first k bytes of eight, for k from 0 to 8.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _hashes(low: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes; ``low`` has eight bytes to spare at its end."""
+    eight = np.ndarray(len(low) - 7, dtype="<u8", buffer=low, strides=(1,))
+    state = mix64(length.astype(np.uint64) * np.uint64(_BASE))
+    alive = np.flatnonzero(length <= LONG_WORD)
+    at = 0
+    while len(alive):
+        left = length[alive] - at
+        state[alive] = mix64((state[alive] ^ (eight[first[alive] + at] & _KEEP[np.minimum(left, 8)])) + np.uint64(_BASE))
+        at += 8
+        alive = alive[left > 8]
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        state[k] = int.from_bytes(hashlib.blake2b(low[first[k] : first[k] + length[k]], digest_size=8).digest(), "little")
+    return state
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a block: (hash, first byte, end byte, words per document)."""
+    """Words of a block: (hash, first byte, end byte, words per document); A-Z count as a-z."""
     n = len(raw)
     docs = len(offsets) - 1
     inside = word_bytes[raw]
@@ -123,19 +118,10 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
     ends[:-1] &= ~inside[1:] | doc_start[1:n]
     first = np.flatnonzero(starts)
     end = np.flatnonzero(ends) + 1
-    out = np.empty(len(first), dtype=np.uint64)
-    at = done = 0
-    for stop in _segment_ends(inside, doc_start[:n]):
-        upto = int(np.searchsorted(first, stop))
-        if upto > done:
-            up, down = _power_tables(stop - at)
-            total = np.zeros(stop - at + 1, dtype=np.uint64)
-            np.cumsum(_VALUES[raw[at:stop]] * up[: stop - at], out=total[1:])
-            a, b = first[done:upto] - at, end[done:upto] - at
-            out[done:upto] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
-        at, done = stop, upto
+    low = np.zeros(n + 8, dtype=np.uint8)
+    low[:n] = _LOWER[raw]
     bounds = np.searchsorted(first, offsets)
-    return mix64(out), first, end, np.diff(bounds) if docs else np.zeros(0, np.int64)
+    return _hashes(low, first, end - first), first, end, np.diff(bounds) if docs else np.zeros(0, np.int64)
 
 
 #: Odd multipliers of the places in a window of words.
