@@ -2,8 +2,8 @@
 
 A document is the mean of learned vectors of its features: hashed words, hashed
 pairs of neighbouring words by the difference of their hashes (a word repeated
-gives the same pair whatever the word), and hashed runs of 3 and 4 bytes of the
-lower-cased text, blanks and signs included.  A softmax over the classes follows.
+gives the same pair whatever the word), and hashed n-grams of 3 and 4 characters
+of each word with a blank before and after it.  A softmax over the classes follows.
 Vectors and output weights are learned together by stochastic gradient descent
 (AdaGrad steps) in numpy.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordvec as W
-from .folds import bounded_sample, held_out
+from .folds import held_out, labelled_texts
 
 BUCKET_BITS = 16
 DIMENSIONS = 8
@@ -33,7 +33,11 @@ EPOCHS = 4
 BATCH = 64
 RATE = 0.3
 THRESHOLD = 0.3
+#: Lengths of character n-grams.
+NGRAMS = (3, 4)
 _SHIFT = np.uint64(64 - BUCKET_BITS)
+#: Code points below 256: white space is 0, A-Z count as a-z.
+_CODES = np.where(W.BLANK_WORDS, W._LOWER, 0).astype(np.uint32)
 
 
 def _features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -44,17 +48,25 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     yield (W.mix64(words ^ np.uint64(1)) >> _SHIFT).astype(np.int64), owner
     same = owner[1:] == owner[:-1]
     yield (W.mix64((words[1:] - words[:-1]) ^ np.uint64(2)) >> _SHIFT).astype(np.int64)[same], owner[1:][same]
-    sizes = np.diff(offsets)
-    byte_owner = np.repeat(np.arange(docs, dtype=np.int32), sizes)
-    for width in (3, 4):
-        n = len(raw) - width + 1
-        for at in range(0, max(n, 0), W.SEGMENT_BYTES):
-            stop = min(n, at + W.SEGMENT_BYTES)
-            total = np.full(stop - at, width, dtype=np.uint64)
+    # Characters, a blank before each text and after the last: an n-gram lies within a word but for a blank at its ends.
+    text = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.diff(np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets])
+    owner = np.append(np.repeat(np.arange(docs), sizes + 1), docs - 1)
+    code = np.zeros(len(owner), dtype=np.uint64)
+    inside = np.ones(len(owner), dtype=bool)
+    inside[np.append(np.cumsum(sizes + 1) - sizes - 1, -1)] = False
+    code[inside] = np.where(text < 256, _CODES[np.minimum(text, 255)], text)
+    filled = code > 0
+    code = W.mix64(code + np.uint64(1))
+    for width in NGRAMS:
+        for at in range(0, len(code) - width + 1, W.SEGMENT_BYTES):
+            stop = min(len(code) - width + 1, at + W.SEGMENT_BYTES)
+            total, inner = np.full(stop - at, width, dtype=np.uint64), np.ones(stop - at, dtype=bool)
             for k in range(width):
-                total += W._VALUES[raw[at + k : stop + k]] * W.PLACES[k]
-            whole = byte_owner[at:stop] == byte_owner[at + width - 1 : stop + width - 1]
-            yield (W.mix64(total) >> _SHIFT).astype(np.int64)[whole], byte_owner[at:stop][whole]
+                total += code[at + k : stop + k] * W.PLACES[k]
+                if 0 < k < width - 1:
+                    inner &= filled[at + k : stop + k]
+            yield (W.mix64(total) >> _SHIFT).astype(np.int64)[inner], owner[at + 1 : stop + 1][inner]
 
 
 class SubwordModel:
@@ -118,16 +130,11 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = TRAIN_PER_LABEL) -> SubwordModel | None:
     """A model from a bounded sample of labelled rows that are not held out.
 
-    ``per_label`` rows of each label come to the driver; the log odds are then
-    shifted from the sample's share of labels to that of all rows learned from.
+    ``per_label`` rows of each label come to the driver (their bytes are bounded,
+    see ``folds``); the log odds are then shifted from the sample's share of labels to that of all rows learned from.
     None without labels of both kinds.
     """
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    marks = marks.filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    sample = bounded_sample(marks, "doc_id", "label", per_label)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").orderBy("doc_id").collect()
+    rows, counts = labelled_texts(docs, labels, id_col, text_col, label_col, per_label)
     got = np.array([r["label"] for r in rows], dtype=np.int64)
     if len(set(got.tolist())) < 2:
         return None
