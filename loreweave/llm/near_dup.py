@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import wordvec as W
 from .components import connected_components
+from .sketch import count_hashes, places
 from .skew import hot_keys, salted, spread_join
 from .staging import Stage, bounded_broadcast
 
@@ -234,30 +235,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-#: Places of the rarity sketch, whatever the data's size, and how many travel in a row.
-SKETCH_BITS, SKETCH_ROW = 18, 1024
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for batch in batches:
-        for s in batch.column(0):
-            counts += np.bincount(_sketch_place(np.frombuffer(s.as_buffer(), np.uint64)), minlength=len(counts))
-    if counts.any():
-        rows = [r.tobytes() for r in counts.reshape(-1, SKETCH_ROW)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows, pa.binary())], names=["at", "counts"])
-
-
-def _sketch_place(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _sketch_sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH_ROW, dtype=np.int64)
-    for batch in batches:
-        for s in batch.column(1):
-            total += np.frombuffer(s.as_buffer(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["at", "counts"])
+def _own_shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    at = 0
+    while at < batch.num_rows:  # sets together up to some megabytes
+        parts, size = [], 0
+        while at < batch.num_rows and size < 1 << 20:
+            parts.append(np.frombuffer(batch.column(0)[at].as_buffer(), np.uint64))
+            size += len(parts[-1])
+            at += 1
+        yield np.concatenate(parts)
 
 
 def _rarest(counts: np.ndarray, percent: int):
@@ -266,7 +252,7 @@ def _rarest(counts: np.ndarray, percent: int):
             for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shingles = np.frombuffer(s.as_buffer(), np.uint64)
                 n = len(shingles)
-                seen = counts[_sketch_place(shingles)]
+                seen = counts[places(shingles)]
                 first = np.lexsort((shingles, seen))[: n - -(-n * percent // 100) + 1]
                 at = np.flatnonzero(seen[first] > 1)  # a count of 1 is exact: nobody shares it
                 keys = shingles[first[at]].view(np.int64)
@@ -284,8 +270,5 @@ def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     follow; rarity is counted over all of ``docs`` in a sketch of fixed size.
     """
     sets = sets.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    parts = sets.select("shingles").mapInArrow(_sketch, "at long, counts binary")
-    counts = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, dtype=np.int64)
-    for row in parts.groupBy("at").applyInArrow(_sketch_sum, "at long, counts binary").collect():
-        counts[row["at"] * SKETCH_ROW : (row["at"] + 1) * SKETCH_ROW] = np.frombuffer(row["counts"], np.int64)
+    counts = count_hashes(sets.select("shingles"), _own_shingles)
     return sets.mapInArrow(_rarest(counts, percent), "rep long, at long, key long").join(docs, "rep")

@@ -1,12 +1,17 @@
 """Packing documents into token windows with a sharded BM25 index.
 
-A task gathers the documents of its partition into shards of about
-``SHARD_BYTES`` of text; nothing is shuffled.  In a shard an inverted index of
-words is built.  The seed's most telling words query it, BM25 ranks the
-documents not yet used, and the best ones follow the seed into the window until
-it is full; a document that does not fit is cut, its rest starts the next window
-and is the next seed.  When no unused neighbour shares a word, the next unused
-document in order follows.
+Routing: a document goes where its rarest shared word sends it, so documents
+that have rare words in common meet.  Rarity is the number of documents of a
+word, counted over all of them in a sketch of fixed size; a word whose place
+counts 1 is nobody else's.  Words of very many documents are split into parts.
+The texts are shuffled once by word and part and sorted by them.
+
+In a task, documents in this order make shards of ``SHARD_BYTES`` of text or
+``SHARD_ROWS`` documents, whatever comes first.  A shard has an inverted index of
+words.  All words of a seed query it, BM25 ranks all documents not yet used, and
+they follow the seed in that order until the window is full; a document that
+does not fit is cut, its rest starts the next window and is the next seed.  When
+no unused document shares a word, the next unused one in order is the next seed.
 
 Windows hold ``WINDOW`` ids.  What is left at the end of a shard goes into
 sequences whose lengths are powers of two, which need no padding.
@@ -28,16 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordvec as W
+from .sketch import count_hashes, places
 from .tokens import engine, token_ids
 
 WINDOW = 1024
 END = 0
-SHARD_BYTES = 4 << 20
+SHARD_BYTES, SHARD_ROWS = 8 << 20, 8192
 K1, B = 1.2, 0.75
-#: Words of a seed that query the index, its best by BM25 weight.
-QUERY_WORDS = 24
-#: Neighbours taken from one query.
-NEIGHBOURS = 8
+#: Words in more than this share of a shard's documents have dense rows of weights.
+FREQUENT = 0.125
+#: Documents of one routing word that may meet in one place; more are dealt into parts.
+ROUTED = 8192
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -55,54 +61,80 @@ class Bm25:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * counts / max(counts.mean() if n else 1.0, 1e-9))
         weight = idf[word] * tf * (K1 + 1) / (tf + norm[doc])
-        self.doc, self.weight, self.bounds = doc, weight, np.concatenate([[0], np.cumsum(df)])
         own = np.argsort(doc, kind="stable")
-        self.own_word, self.own_weight, self.own_df = word[own], weight[own], df[word[own]]
-        self.own_bounds = np.searchsorted(doc[own], np.arange(n + 1))
-        self.n = n
-
-    def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents that share telling words with ``seed``, best first, ties by order."""
-        a, b = self.own_bounds[seed], self.own_bounds[seed + 1]
-        shared = self.own_df[a:b] > 1
-        words, weights = self.own_word[a:b][shared], self.own_weight[a:b][shared]
-        if len(words) > QUERY_WORDS:
-            words = words[np.argpartition(-weights, QUERY_WORDS)[:QUERY_WORDS]]
-        spans = [slice(self.bounds[w], self.bounds[w + 1]) for w in words.tolist()]
-        if not spans:
-            return []
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        score[used] = 0
-        best = np.argpartition(-score, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[np.lexsort((best, -score[best]))]
-        return best[score[best] > 0].tolist()
+        shared = df[word[own]] > 1
+        self.own_word = word[own][shared]
+        self.own_bounds = np.searchsorted(doc[own][shared], np.arange(n + 1))
+        self.n, self.words = n, len(vocabulary)
+        self._keep(np.arange(n), word, doc, weight)
+
+    def _keep(self, alive: np.ndarray, word: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        """Postings of the documents ``alive`` alone; ``doc`` are places in it."""
+        self.alive, self.word, self.doc, self.weight = alive, word, doc, weight
+        df = np.bincount(word, minlength=self.words)
+        self.bounds = np.concatenate([[0], np.cumsum(df)])
+        often = np.flatnonzero(df > max(FREQUENT * len(alive), 1))
+        self.dense_row = np.full(self.words, -1, dtype=np.int64)
+        self.dense_row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(alive)), dtype=np.float32)
+        row = self.dense_row[word]
+        self.dense[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+
+    def forget(self, used: np.ndarray) -> None:
+        """Drop postings of used documents once they are half of all."""
+        left = ~used[self.alive]
+        if 2 * np.count_nonzero(left) > len(self.alive):
+            return
+        place = np.cumsum(left) - 1
+        some = left[self.doc]
+        self._keep(self.alive[left], self.word[some], place[self.doc[some]], self.weight[some])
+
+    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """Unused documents that share a word with ``seed``, best first, ties by order."""
+        self.forget(used)
+        words = self.own_word[self.own_bounds[seed] : self.own_bounds[seed + 1]]
+        row = self.dense_row[words]
+        score = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        rare = words[row < 0]
+        low, high = self.bounds[rare], self.bounds[rare + 1]
+        spans = [slice(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.alive))
+        score[used[self.alive]] = 0
+        found = np.flatnonzero(score > 0)
+        return self.alive[found[np.argsort(-score[found], kind="stable")]]
 
 
 def retrieval_order(index: Bm25, lengths: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Order in which documents fill the windows: each seed, then its neighbours while they fit."""
-    n = index.n
-    used = np.zeros(n, dtype=bool)
+    """Order in which documents fill the windows: each seed, then its neighbours while the window has room."""
+    used = np.zeros(index.n, dtype=bool)
     order: list[int] = []
-    fresh, room, seed = 0, window, -1
-    queue: list[int] = []
-    while len(order) < n:
-        queue = [d for d in queue if not used[d]]
-        if not queue and seed >= 0:
-            queue = index.neighbours(seed, used)
-        if queue:
-            doc = queue.pop(0)
-        else:
-            while used[fresh]:
-                fresh += 1
-            doc = fresh
+    fresh, room = 0, window
+
+    def take(doc: int) -> bool:
+        """Put ``doc`` next; whether it filled the window."""
+        nonlocal room
         used[doc] = True
         order.append(doc)
         room -= int(lengths[doc])
-        if seed < 0:
-            seed = doc
-        if room <= 0:  # its rest opens the next window and is the seed there
+        full = room <= 0
+        if full:  # its rest opens the next window
             room = window - (-room % window)
-            seed, queue = doc, []
+        return full
+
+    seed = -1
+    while len(order) < index.n:
+        if seed < 0:
+            while used[fresh]:
+                fresh += 1
+            seed = fresh
+            take(seed)
+        after = -1
+        for doc in index.neighbours(seed, used).tolist():
+            if take(doc):
+                after = doc
+                break
+        seed = after
     return order
 
 
@@ -140,29 +172,29 @@ def _pack_shard(ids: list, column: pa.Array, encoder, first_sequence: int) -> tu
     return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names), int(sequence.max()) + 1
 
 
-def _pack(vocabulary: str, folder: str | None, shard_bytes: int):
+def _pack(vocabulary: str, folder: str | None, shard_bytes: int, shard_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         encoder = engine(vocabulary, folder)
         sequence = TaskContext.get().partitionId() << 40
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = rows = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal sequence, held, size
+            nonlocal sequence, held, size, rows
             shard = pa.Table.from_batches(held).combine_chunks()
             texts = pc.fill_null(shard.column(1).combine_chunks(), "")
             out, used = _pack_shard(shard.column(0).to_pylist(), texts, encoder, sequence)
-            sequence, held, size = sequence + used, [], 0
+            sequence, held, size, rows = sequence + used, [], 0, 0
             return out
 
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             low = 0
             for i, n in enumerate(sizes.tolist()):
-                size += n
-                if size >= shard_bytes:
+                size, rows = size + n, rows + 1
+                if size >= shard_bytes or rows >= shard_rows:
                     held.append(batch.slice(low, i + 1 - low))
                     low = i + 1
                     yield flush()
@@ -174,10 +206,53 @@ def _pack(vocabulary: str, folder: str | None, shard_bytes: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _document_words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, _, raw, offsets in W.blocks(batch.column(1)):
+        words, _, _, counts = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
+        if len(words):
+            yield _distinct(words, counts)[0]
+
+
+def _distinct(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each document and their documents, in order of document."""
+    docs = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((words, docs))
+    words, docs = words[order], docs[order]
+    new = np.append(True, (words[1:] != words[:-1]) | (docs[1:] != docs[:-1]))
+    return words[new], docs[new]
+
+
+def _routed(counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, raw, offsets in W.blocks(batch.column(1)):
+                words, _, _, many = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
+                key, seen = np.zeros(high - low, dtype=np.int64), np.ones(high - low, dtype=np.int64)
+                if len(words):
+                    word, doc = _distinct(words, many)
+                    n = counts[places(word)]
+                    best = np.lexsort((word, np.where(n > 1, n, np.iinfo(np.int64).max), doc))
+                    first = best[np.append(True, doc[best][1:] != doc[best][:-1])]
+                    key[doc[first]], seen[doc[first]] = word[first].view(np.int64), n[first]
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key), pa.array(seen)], names=["doc_id", "text", "word", "seen"])
+
+    return run
+
+
+def route(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) shuffled and sorted by rarest shared word; documents without words are dealt evenly."""
+    counts = count_hashes(texts, _document_words)
+    rows = texts.mapInArrow(_routed(counts), "doc_id long, text string, word long, seen long")
+    own = F.xxhash64("text", "doc_id")
+    part = F.when(F.col("word") == 0, own).otherwise(F.pmod(own, F.ceil(F.col("seen") / ROUTED)))
+    return rows.withColumn("part", part).repartition("word", "part").sortWithinPartitions("word", "part", own, "doc_id").select("doc_id", "text")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequence ids are unique: the partition's number and a count within it.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_pack(vocabulary, folder, shard_bytes), SCHEMA)
+    return route(texts).mapInArrow(_pack(vocabulary, folder, shard_bytes, shard_rows), SCHEMA)

@@ -15,6 +15,7 @@ parts are the ids of the whole.  A text without such a place stays whole.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -23,36 +24,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vocabulary name -> special strings of it.
-RANK_FILES = {"byte_bpe_50k": {"<|endoftext|>": 50256}}
 #: Parts of a long text, in characters.
 PART_CHARS = 1 << 16
 #: Bytes of text encoded together.
 BATCH_BYTES = 1 << 20
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_engines: dict[tuple[str, str], object] = {}
+_engines: dict[tuple[str, str | None], object] = {}
 
 
-def vocabulary_folder() -> str:
-    """Folder of the installed public vocabularies."""
-    import os
-
+def _file(name: str, folder: str | None) -> str:
     import public_tokenizers
 
-    return os.path.dirname(public_tokenizers.path("README.md"))
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def engine(name: str = "byte_bpe_50k", folder: str | None = None):
-    """The encoder of a vocabulary, made once in each process."""
+    """The encoder of a vocabulary, made once in each process.
+
+    Ranks come from ``<name>.tiktoken``, special strings and their ids from
+    ``<name>.json``, the pattern from the package of the vocabularies.
+    """
+    import public_tokenizers
     import tiktoken
 
-    folder = folder or vocabulary_folder()
     if (name, folder) not in _engines:
-        with open(f"{folder}/{name}.tiktoken", "rb") as f:
+        with open(_file(f"{name}.tiktoken", folder), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _engines[name, folder] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=RANK_FILES[name])
+        with open(_file(f"{name}.json", folder), encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        _engines[name, folder] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _engines[name, folder]
 
 
@@ -77,6 +78,13 @@ def token_ids(text: str | None, encoder) -> np.ndarray:
     return np.concatenate([encoder.encode_to_numpy(p, allowed_special="all") for p in parts(text)])
 
 
+def batch_lengths(texts: list[str | None], encoder) -> np.ndarray:
+    """Number of ids of each text: one batch call over the parts of all of them."""
+    cut = [list(parts(t)) if t else [] for t in texts]
+    counts = np.array([len(ids) for ids in encoder.encode_batch([p for c in cut for p in c], num_threads=1, allowed_special="all")], dtype=np.int64)
+    return np.bincount(np.repeat(np.arange(len(cut)), [len(c) for c in cut]), counts, len(cut)).astype(np.int64)
+
+
 def balanced(sizes: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``limit`` bytes together, a larger row by itself."""
     low, total = 0, 0
@@ -98,7 +106,7 @@ def _lengths(name: str, folder: str | None):
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for low, high in balanced(sizes):
                 texts = batch.column(1).slice(low, high - low).to_pylist()
-                counts = np.array([len(token_ids(t, encoder)) for t in texts], dtype=np.int64)
+                counts = batch_lengths(texts, encoder)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes[low:high].astype(np.int64)), pa.array(counts)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
