@@ -8,7 +8,8 @@ training texts.  The prototype with the largest cosine to a text names its
 language.
 
 Letters are lower-cased; runs of anything else are one blank; a text starts and
-ends with a blank.  Letters beyond a-z share ``SLOTS`` vectors by a hash.
+ends with a blank.  Every letter of any script has a vector of its own, made from
+its code point.  Texts are read in segments, so a long one needs no more memory.
 """
 
 from __future__ import annotations
@@ -25,51 +26,68 @@ from .folds import bounded_sample, held_out
 from .rowwise import passing
 
 DIMENSIONS = 512
-SLOTS = 128
 #: Training texts of each language; prototypes need no more.
 TRAIN_PER_LANGUAGE = 1500
 UNKNOWN = "und"
-BLOCK = 1 << 19
+#: Bytes and texts taken together, characters of a segment, trigrams multiplied at once, trigrams whose vectors are kept.
+BLOCK, TEXTS, SEGMENT, AT_ONCE, KEPT = 1 << 18, 96, 1 << 18, 1 << 13, 1 << 15
+#: Languages learned from: the most frequent ones.
+LANGUAGES = 1024
 
 _tables: dict[str, np.ndarray] = {}
 
 
-def _letter_slots() -> np.ndarray:
-    """Code point -> slot of its lower-case letter, 0 for all but letters."""
+def _lower_letters() -> np.ndarray:
+    """Code point -> its letter in lower case, 0 for all but letters."""
     if "letters" not in _tables:
         table = np.zeros(0x110000, dtype=np.int64)
-        for c in range(0x32400):
+        for c in range(0x110000):
             if (ch := chr(c)).isalpha():
-                low = ord(ch.lower()[0])
-                table[c] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 8) % (SLOTS - 27)
+                table[c] = ord(ch.lower()[0])
         _tables["letters"] = table
     return _tables["letters"]
 
 
-def _letter_vectors(dimensions: int) -> np.ndarray:
-    bits = W._sequence(31, SLOTS * dimensions).reshape(SLOTS, dimensions) >> np.uint64(63)
-    return bits.astype(np.int8) * 2 - 1
+def letter_vectors(points: np.ndarray, dimensions: int) -> np.ndarray:
+    """+1 and -1 for each letter (0: the blank), the same in every process."""
+    words = -(-dimensions // 64)
+    seeds = W.mix64(points.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    bits = W.mix64(seeds[:, None] + W._sequence(31, words)[None, :])
+    return (np.unpackbits(bits.view(np.uint8), axis=1)[:, :dimensions].astype(np.int8) << 1) - 1
 
 
 class Profiler:
-    """Profiles of texts; vectors of seen trigrams are kept, at most SLOTS ** 3 of them and in practice thousands."""
+    """Profiles of texts; vectors of the trigrams seen last are kept, ``KEPT`` at most."""
 
     def __init__(self, dimensions: int = DIMENSIONS) -> None:
-        letters = _letter_vectors(dimensions)
-        self.turned = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
-        self.row = np.full(SLOTS**3, -1, dtype=np.int32)
-        self.vectors = np.zeros((0, dimensions), dtype=np.float32)
-
-    def _rows(self, codes: np.ndarray) -> np.ndarray:
-        rows = self.row[codes]
-        if (rows < 0).any():
-            new = np.unique(codes[rows < 0])
-            a, b, c = new // SLOTS**2, new // SLOTS % SLOTS, new % SLOTS
-            more = self.turned[0][a] * self.turned[1][b] * self.turned[2][c]
-            self.row[new] = len(self.vectors) + np.arange(len(new), dtype=np.int32)
-            self.vectors = np.concatenate([self.vectors, more.astype(np.float32)])
-            rows = self.row[codes]
-        return rows
+        self.dimensions = dimensions
+        self.codes = np.zeros(0, dtype=np.int64)
+        self.vectors = np.zeros((0, dimensions), dtype=np.int8)
+
+    def _bound(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of trigrams: the letters' vectors turned by 2, 1 and 0 places, multiplied."""
+        points = [codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF]
+        letters, place = np.unique(np.concatenate(points), return_inverse=True)
+        vectors = letter_vectors(letters, self.dimensions)
+        a, b, c = np.split(place, 3)
+        return np.roll(vectors, 2, axis=1)[a] * np.roll(vectors, 1, axis=1)[b] * vectors[c]
+
+    def _of(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of sorted distinct trigrams."""
+        at = np.searchsorted(self.codes, codes)
+        known = at < len(self.codes)
+        known[known] = self.codes[at[known]] == codes[known]
+        out = np.empty((len(codes), self.dimensions), dtype=np.int8)
+        out[known] = self.vectors[at[known]]
+        if not known.all():
+            out[~known] = self._bound(codes[~known])
+            if len(self.codes) + np.count_nonzero(~known) > KEPT:
+                self.codes, self.vectors = codes[:KEPT].copy(), out[:KEPT].copy()
+            else:
+                both = np.concatenate([self.codes, codes[~known]])
+                order = np.argsort(both, kind="stable")
+                self.codes, self.vectors = both[order], np.concatenate([self.vectors, out[~known]])[order]
+        return out
 
     def profiles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(profile of each text, whether it has a letter)."""
@@ -78,24 +96,29 @@ class Profiler:
     def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(profile of each text, whether it has a letter, number of its trigrams)."""
         n = len(texts)
-        lengths = np.array([len(t or "") + 2 for t in texts], dtype=np.int64)
+        ends = np.cumsum([len(t or "") + 2 for t in texts])
         joined = " " + "  ".join(t or "" for t in texts) + " "
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        slots = _letter_slots()[points]
-        docs = np.repeat(np.arange(n), lengths)
-        keep = np.ones(len(slots), dtype=bool)
-        keep[1:] = (slots[1:] > 0) | (slots[:-1] > 0) | (docs[1:] != docs[:-1])
-        slots, docs = slots[keep], docs[keep]
-        lettered = np.bincount(docs, slots > 0, n) > 0
-        codes = (slots[:-2] * SLOTS + slots[1:-1]) * SLOTS + slots[2:]
-        whole = docs[:-2] == docs[2:]
-        rows, owner = self._rows(codes[whole]), docs[:-2][whole]
-        used = np.zeros(len(self.vectors), dtype=bool)
-        used[rows] = True
-        some = np.flatnonzero(used)
-        place = np.cumsum(used) - 1
-        counts = np.bincount(owner * max(len(some), 1) + place[rows], minlength=n * len(some)).reshape(n, len(some)) if len(some) else np.zeros((n, 0))
-        return counts.astype(np.float32) @ self.vectors[some], lettered, np.bincount(owner, minlength=n)
+        x, lettered, trigrams = np.zeros((n, self.dimensions), dtype=np.float32), np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+        last = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # the two letters before, and their texts
+        for at in range(0, len(joined), SEGMENT):
+            points = np.frombuffer(joined[at : at + SEGMENT].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            letter = np.concatenate([last[0], _lower_letters()[points]])
+            doc = np.concatenate([last[1], np.searchsorted(ends, np.arange(at, at + len(points)), side="right")])
+            keep = np.ones(len(letter), dtype=bool)
+            keep[1:] = (letter[1:] > 0) | (letter[:-1] > 0) | (doc[1:] != doc[:-1])
+            letter, doc = letter[keep], doc[keep]
+            lettered |= np.bincount(doc[letter > 0], minlength=n) > 0
+            last = letter[-2:], doc[-2:]
+            whole = doc[:-2] == doc[2:]
+            code, owner = (letter[:-2] << 42 | letter[1:-1] << 21 | letter[2:])[whole], doc[:-2][whole]
+            trigrams += np.bincount(owner, minlength=n)
+            distinct, place = np.unique(code, return_inverse=True)
+            for low in range(0, len(distinct), AT_ONCE):
+                some = distinct[low : low + AT_ONCE]
+                mine = (place >= low) & (place < low + len(some)) if len(distinct) > AT_ONCE else slice(None)
+                counts = np.bincount(owner[mine] * len(some) + place[mine] - low, minlength=n * len(some)).reshape(n, len(some))
+                x += counts.astype(np.float32) @ self._of(some).astype(np.float32)
+        return x, lettered, trigrams
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -105,8 +128,8 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     for low, high in balanced(sizes, BLOCK):
-        for at in range(low, high, 1024):
-            yield at, column.slice(at, min(1024, high - at)).to_pylist()
+        for at in range(low, high, TEXTS):
+            yield at, column.slice(at, min(TEXTS, high - at)).to_pylist()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -161,7 +184,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = bounded_sample(rows, "doc_id", "lang", per_language).select("lang", "text")
+    sample = bounded_sample(rows, "doc_id", "lang", per_language, LANGUAGES).select("lang", "text")
     sums = sample.mapInArrow(_bundles(dimensions), "lang string, bundle array<double>")
     parts = sums.select("lang", F.posexplode("bundle").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     got = parts.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("x")).orderBy("lang").collect()
@@ -209,7 +232,7 @@ def cosine_bounds(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id",
         return np.zeros(CLASSES)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isin(model.languages) & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = bounded_sample(rows, "doc_id", "lang", per_language).select("lang", "text")
+    sample = bounded_sample(rows, "doc_id", "lang", per_language, LANGUAGES).select("lang", "text")
     counts = np.zeros(CLASSES * STEPS, dtype=np.int64)
     for r in sample.mapInArrow(_histogram(model), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         counts[r["at"]] = r["n"]
