@@ -13,7 +13,7 @@ from .near_dup import near_duplicates
 from .packing import pack
 from .quality import score_quality
 from .secret_scan import find_secrets
-from .sharding import FANOUT, TARGET_BYTES, WAVES, shard_table
+from .sharding import FANOUT, SMALL_BYTES, TARGET_BYTES, WAVES, shard_table
 from .staging import Stage
 from .tokens import count_tokens
 from .toxicity import score_toxicity
@@ -87,14 +87,14 @@ ORACLE = {
                           ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 2))::bigint % {WAVES} as wave from documents),
              s as (select greatest(1, ceil(sum(n_bytes) / {TARGET_BYTES}.0))::bigint as shards from d),
              p as (select doc_id, n_bytes, text_md5, (h % shards)::int as shard_no from d, s)
-        select doc_id, n_bytes, text_md5, 1::int as shard_tier, shard_no, count(*) over (partition by shard_no) as shard_rows,
+        select doc_id, n_bytes, text_md5, (select case when sum(n_bytes) <= {SMALL_BYTES} then 0 else 1 + floor(log2(sum(n_bytes) / {SMALL_BYTES}.0) / log2({FANOUT}))::int end from d)::int as shard_tier, shard_no, count(*) over (partition by shard_no) as shard_rows,
                (sum(n_bytes) over (partition by shard_no))::bigint as shard_bytes from p""",
     "op8_exact_dedup": """
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
         from d window w as (partition by text_sha256)""",
 }
-assert FANOUT <= WAVES  # all waves merge into one run, as the SQL of op6 has it
+assert FANOUT <= WAVES  # waves are of similar size and merge into one run, as the SQL of op6 has it
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,30 +5,42 @@ A store is a folder:
 * ``data/<run>``   immutable Parquet shards of one run, and of nothing else
 * ``manifest/<version>``  JSON, written aside and renamed into place
 
-Arrivals are appended as runs of small shards.  Runs of similar size (one tier)
-are merged, once there are ``fanout`` of them, into one run of shards of about
-``target_bytes`` of text.  A version of the manifest names the runs that make up
-the table; readers see whole versions only.  A second writer of the same version
-finds the name taken and fails; a lost executor only repeats tasks of a run that
-no manifest names yet.
+Arrivals are appended as runs of small shards.  Runs of similar size are merged,
+once there are ``fanout`` of them, into one run of shards of about
+``target_bytes`` of text: runs in order of size form a tier while each is at most
+twice the mean of those before it, and all runs up to ``small_bytes`` are one
+tier.  So a large run is not rewritten for the sake of small ones.
+
+A version of the manifest names the runs that make up the table; readers see
+whole versions only.  The rename fails where the name is taken (it is atomic on
+file systems that have such a rename, HDFS among them); the loser reads the
+winner's version and tries again: an append adds its runs to it, a merge counts
+only if the runs it read are still there.  A lost executor only repeats tasks of
+a run that no manifest names yet.  ``vacuum`` leaves runs younger than a grace
+period alone, as another writer may be about to commit them.
 
 A row's shard follows from a hash of its id, so a hot source, hot text or hot id
-range spreads over all shards; a single row larger than the target makes its
-shard larger by that row.  Rows with the same id share a shard; null ids count as
-one id; columns are stored as they are (names starting with ``shard_`` are
-reserved), null texts count 0 bytes.
+range spreads over all shards.  Rows of one id share a shard, unless the id (or
+the null id) has a large share of all rows: those are dealt over several shards.
+A single row larger than the target makes its shard larger by that row.  Columns
+are stored as they are; names starting with ``shard_`` are reserved and raise an
+error; null texts count 0 bytes.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import hot_keys, salted
+from .staging import Stage
+
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 16 << 20
 #: Shards are read often and never changed, so they are packed well.
@@ -37,20 +49,22 @@ FANOUT = 4
 WAVES = 8
 
 
+class Conflict(RuntimeError):
+    """Another writer committed the version first."""
+
+
 @dataclass(frozen=True)
 class Run:
     """Immutable shards written together."""
 
     name: str
-    tier: int
     shards: int
     rows: int
     bytes: int
 
 
-def id_hash(column: Column, digits: int = 8) -> Column:
-    """A number of ``digits`` hexadecimal digits out of an id, evenly spread."""
-    text = F.coalesce(column.cast("string"), F.lit(""))
+def id_hash(text: Column, digits: int = 8) -> Column:
+    """A number of ``digits`` hexadecimal digits out of an id's text, evenly spread."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
@@ -89,77 +103,124 @@ class ShardStore:
         return [Run(**r) for r in json.loads(text)["runs"]]
 
     def commit(self, runs: list[Run], after: int) -> int:
-        """Make ``runs`` version ``after`` + 1, or fail if somebody else did."""
-        version, fs = after + 1, self._fs()
+        """Make ``runs`` version ``after`` + 1; ``Conflict`` if somebody else did."""
+        version, jvm = after + 1, self.spark._jvm
         aside, place = self._path(f"manifest/.{uuid.uuid4().hex}"), self._path(f"manifest/{version:012d}")
+        fs = self._fs()
         out = fs.create(aside, False)
         out.write(bytearray(json.dumps({"version": version, "runs": [asdict(r) for r in runs]}).encode()))
         out.close()
-        if fs.exists(place) or not fs.rename(aside, place):
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        never_over = self.spark.sparkContext._gateway.new_array(rename, 1)
+        never_over[0] = rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(aside, place, never_over)
+        except Exception as e:
             fs.delete(aside, False)
-            raise RuntimeError(f"version {version} is already committed")
+            if fs.exists(place):
+                raise Conflict(f"version {version} is already committed") from e
+            raise
         return version
 
+    def _latest(self) -> tuple[int, list[Run]]:
+        have = self.versions()
+        version = have[-1] if have else 0
+        return version, self.runs(version)
+
     # -- writing ----------------------------------------------------------
     def _bytes(self) -> Column:
         return F.octet_length(F.coalesce(F.col(self.text_col).cast("string"), F.lit("")))
 
-    def _write(self, df: DataFrame, shard_bytes: int, tier: int, measured: tuple[int, int]) -> Run:
+    def _shard(self, df: DataFrame, measured: int, shards: Column) -> DataFrame:
+        """``df`` with shard_no below ``shards``; rows of an id with a large share of all are dealt."""
+        stage = Stage(self.spark, "hot-ids")
+        key = F.coalesce(F.col(self.id_col).cast("string"), F.lit(""))
+        counts = df.groupBy(key.alias("shard_key")).agg(F.count("*").alias("n"))
+        hot = hot_keys(stage, "hot", counts, ["shard_key"], "n", measured)
+        out = salted(df.withColumn("shard_key", key), hot, ["shard_key"], F.xxhash64(F.monotonically_increasing_id()))
+        return out.withColumn("shard_no", F.pmod(id_hash(F.col("shard_key")) + F.col("_salt"), shards).cast("int")).drop("shard_key", "_salt")
+
+    def _checked(self, df: DataFrame) -> None:
+        taken = [c for c in df.columns if c.lower().startswith(("shard_", "_salt", "_parts"))]
+        if taken:
+            raise ValueError(f"reserved column names: {taken}")
+
+    def _write(self, df: DataFrame, shard_bytes: int, measured: tuple[int, int]) -> Run:
         rows, size = measured
         shards = max(1, math.ceil(size / shard_bytes))
         name = f"run-{uuid.uuid4().hex}"
-        shard = F.pmod(id_hash(F.col(self.id_col)), F.lit(shards)).cast("int")
-        df.withColumn("shard_no", shard).repartitionById(shards, F.col("shard_no")).write.option("compression", CODEC).parquet(f"{self.folder}/data/{name}")
-        return Run(name, tier, shards, rows, size)
+        numbered = self._shard(df, rows, F.lit(shards))
+        numbered.repartitionById(shards, F.col("shard_no")).write.option("compression", CODEC).parquet(f"{self.folder}/data/{name}")
+        return Run(name, shards, rows, size)
 
-    def append(self, df: DataFrame, wave: Column | None = None) -> int:
+    def append(self, df: DataFrame, wave: Column | None = None, attempts: int = 20) -> int:
         """Commit arrivals as runs of small shards: one run, or one of each value of ``wave``.
 
         Waves are read once and written in one job; there should be few of them.
         """
-        have = self.versions()
+        self._checked(df)
         wave = F.lit(0) if wave is None else wave
         name = f"run-{uuid.uuid4().hex}"
         arrivals = df.withColumn("shard_wave", wave.cast("int"))
         totals = arrivals.groupBy("shard_wave").agg(F.count("*").alias("rows"), F.sum(self._bytes()).alias("bytes")).orderBy("shard_wave").collect()
-        runs = self.runs(have[-1] if have else 0)
+        added = []
         if totals:
             first, parts = {}, 0
             for t in totals:
                 n = max(1, math.ceil(t["bytes"] / self.small_bytes))
                 first[t["shard_wave"]] = (parts, n)
                 parts += n
-                runs.append(Run(f"{name}/shard_wave={t['shard_wave']}", 0, n, t["rows"], t["bytes"]))
+                added.append(Run(f"{name}/shard_wave={t['shard_wave']}", n, t["rows"], t["bytes"]))
             begin = F.create_map(*(F.lit(x) for w, (b, _) in first.items() for x in (w, b)))[F.col("shard_wave")]
             many = F.create_map(*(F.lit(x) for w, (_, n) in first.items() for x in (w, n)))[F.col("shard_wave")]
-            numbered = arrivals.withColumn("shard_no", F.pmod(id_hash(F.col(self.id_col)), many).cast("int"))
+            numbered = self._shard(arrivals, sum(t["rows"] for t in totals), many)
             numbered.repartitionById(parts, (begin + F.col("shard_no")).cast("int")).write.option("compression", CODEC).partitionBy("shard_wave").parquet(f"{self.folder}/data/{name}")
-        return self.commit(runs, have[-1] if have else 0)
-
-    def tier_of(self, run: Run) -> int:
-        """Tiers grow by ``fanout``: 0 up to ``small_bytes`` * fanout, and so on."""
-        return max(0, int(math.log(max(run.bytes, 1) / self.small_bytes, self.fanout))) if run.bytes > self.small_bytes else 0
+        for left in range(attempts, 0, -1):
+            version, runs = self._latest()
+            try:
+                return self.commit(runs + added, version)
+            except Conflict:
+                if left == 1:
+                    raise
+        raise ValueError("attempts must be positive")
+
+    def tier_of(self, size: int) -> int:
+        """Level of a size, for reports: 0 up to ``small_bytes``, then one more for each factor of ``fanout``."""
+        return 0 if size <= self.small_bytes else 1 + int(math.log(size / self.small_bytes, self.fanout))
+
+    def tiers(self, runs: list[Run]) -> list[list[Run]]:
+        """Runs of similar size, smallest first."""
+        out: list[list[Run]] = []
+        for run in sorted(runs, key=lambda r: (r.bytes, r.name)):
+            alike = out and (run.bytes <= self.small_bytes or run.bytes <= 2 * sum(r.bytes for r in out[-1]) / len(out[-1]))
+            if alike:
+                out[-1].append(run)
+            else:
+                out.append([run])
+        return out
 
     def compact(self) -> int:
         """Merge tiers of ``fanout`` runs and more until there is none; returns the version."""
-        have = self.versions()
-        version = have[-1] if have else 0
         while True:
-            runs = self.runs(version)
-            tiers: dict[int, list[Run]] = {}
-            for r in runs:
-                tiers.setdefault(r.tier, []).append(r)
-            full = next((t for t in sorted(tiers) if len(tiers[t]) >= self.fanout), None)
-            if full is None:
+            version, runs = self._latest()
+            merged = next((t for t in self.tiers(runs) if len(t) >= self.fanout), None)
+            if merged is None:
                 return version
-            merged = tiers[full]
             measured = (sum(r.rows for r in merged), sum(r.bytes for r in merged))
-            run = self._write(self._read(merged).drop("shard_no", "shard_run", "shard_tier"), self.target_bytes, full + 1, measured)
-            version = self.commit([r for r in runs if r not in merged] + [run], version)
+            run = self._write(self._read(merged).drop("shard_no", "shard_run", "shard_tier"), self.target_bytes, measured)
+            while True:
+                version, runs = self._latest()
+                if not set(merged) <= set(runs):  # another writer merged some of them; ours is never named
+                    break
+                try:
+                    self.commit([r for r in runs if r not in merged] + [run], version)
+                    break
+                except Conflict:
+                    continue
 
     # -- reading ----------------------------------------------------------
     def _read(self, runs: list[Run]) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.folder}/data/{r.name}").withColumns({"shard_run": F.lit(r.name), "shard_tier": F.lit(r.tier)}) for r in runs]
+        parts = [self.spark.read.parquet(f"{self.folder}/data/{r.name}").withColumns({"shard_run": F.lit(r.name), "shard_tier": F.lit(self.tier_of(r.bytes))}) for r in runs]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
@@ -170,17 +231,20 @@ class ShardStore:
         runs = self.runs(version)
         return self._read(runs) if runs else None
 
-    def vacuum(self) -> None:
-        """Remove runs that the last version does not name, and older manifests."""
+    def vacuum(self, grace_seconds: int = 24 * 3600) -> None:
+        """Remove runs that the last version does not name and older manifests, both only beyond the grace period."""
         have = self.versions()
         if not have:
             return
         fs, named = self._fs(), {r.name.split("/")[0] for r in self.runs(have[-1])}
+        old = time.time() * 1000 - grace_seconds * 1000
         for s in fs.listStatus(self._path("data")) if fs.exists(self._path("data")) else ():
-            if s.getPath().getName() not in named:
+            if s.getPath().getName() not in named and (not grace_seconds or s.getModificationTime() < old):
                 fs.delete(s.getPath(), True)
         for v in have[:-1]:
-            fs.delete(self._path(f"manifest/{v:012d}"), False)
+            at = self._path(f"manifest/{v:012d}")
+            if not grace_seconds or fs.getFileStatus(at).getModificationTime() < old:
+                fs.delete(at, False)
 
 
 def shard_table(spark: SparkSession, docs: DataFrame, folder: str, waves: int = WAVES, **options) -> DataFrame:
@@ -189,10 +253,10 @@ def shard_table(spark: SparkSession, docs: DataFrame, folder: str, waves: int =
     doc_id, n_bytes, text_md5 (of the stored text), shard_tier, shard_no, shard_rows, shard_bytes.
     """
     store = ShardStore(spark, folder, **options)
-    wave = F.pmod(id_hash(F.col(store.id_col), 2), F.lit(waves))
+    wave = F.pmod(id_hash(F.coalesce(F.col(store.id_col).cast("string"), F.lit("")), 2), F.lit(waves))
     store.append(docs, wave)
     store.compact()
-    store.vacuum()
+    store.vacuum(grace_seconds=0)  # the folder is this call's own
     table = store.read()
     if table is None:
         table = docs.limit(0).withColumns({"shard_run": F.lit(""), "shard_tier": F.lit(0), "shard_no": F.lit(0)})
