@@ -1,18 +1,22 @@
-"""Benchmark decontamination: a prefix-filtered set join with exact window checks.
+"""Benchmark decontamination: a prefix-filtered set join of windows with documents.
 
 Windows are ``WINDOW`` consecutive words of a benchmark item; an item of fewer
-words is one window.  All words of a window must occur in a document for the
-window to occur, so its rarest word is a necessary token and one token is prefix
-enough.  Rarity is the number of occurrences over all documents.
-
-1. ``rarity``: occurrences of each benchmark word over all documents.
-2. The index maps each window's rarest word to (window, place of that word in it).
-3. Documents probe the index with their words.  A match fixes where the window
-   would start; the length bound (as many words as the window) and the positional
-   bound (start and end inside the document) apply, then all words are compared.
-
-The index is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words;
-items beyond one block are joined block after block against all documents.
+words is one window.  A window is a set of shingles of ``SHINGLE`` words (of all
+its words if it has fewer).
+
+1. Rarity: occurrences of each benchmark shingle over all documents.  A window
+   with a shingle that no document has occurs nowhere.
+2. Prefix: all shingles of a window must occur where it occurs, so its rarest one
+   alone is a necessary token: the prefix of its shingles in order of rarity.
+3. Join: documents give every place where a prefix shingle stands, with the words
+   around it; these are joined with the windows by shingle.  A hot shingle (of a
+   passage in a third of all documents) is dealt over tasks.
+4. Verification: the place of the shingle in the window fixes where it would start;
+   the positional bound (not before the text's first word) and the length bound (as
+   many words left as the window has) apply, then the words themselves are compared.
+
+Before rarity and join, documents drop shingles that a bit table of bounded size
+rules out; it holds all benchmark (or prefix) shingles and so loses none.
 
 Defined results: null or wordless texts have 0 words and no hit; items without
 words have no window; repeated rows are returned each; an empty benchmark hits
@@ -27,218 +31,190 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordvec as W
-from .rowwise import passing
-from .staging import Stage
-
-WINDOW = 10
-#: Benchmark words of one broadcast block: 8 bytes each and twice that for windows.
-BLOCK_WORDS = 1_000_000
-
-_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<long>"
-
-
-def _text_words(texts: list[str | None]) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for _, _, raw, offsets in W.blocks(pa.array(texts, pa.large_string())):
-        words, _, _, counts = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
-        out += np.split(words, np.cumsum(counts)[:-1])
-    return out
-
-
-class WindowIndex:
-    """Windows of a block of items under their rarest words."""
-
-    def __init__(self, items: list[tuple[str | None, np.ndarray]], rarity: dict[int, int]) -> None:
-        self.names = [name for name, _ in items]
-        rows: dict[tuple, tuple[np.ndarray, list[int]]] = {}
-        for number, (_, words) in enumerate(items):
-            width = min(WINDOW, len(words))
-            for at in range(len(words) - width + 1) if width else ():
-                window = words[at : at + width]
-                _, owners = rows.setdefault(tuple(window.tolist()), (window, []))
-                if not owners or owners[-1] != number:
-                    owners.append(number)
-        self.windows = np.zeros((len(rows), WINDOW), dtype=np.uint64)
-        self.width = np.zeros(len(rows), dtype=np.int64)
-        self.owners = [owners for _, owners in rows.values()]
-        place = np.zeros(len(rows), dtype=np.int64)
-        prefix = np.zeros(len(rows), dtype=np.uint64)
-        for k, (window, _) in enumerate(rows.values()):
-            self.width[k] = len(window)
-            self.windows[k, : len(window)] = window
-            place[k] = min(range(len(window)), key=lambda i: (rarity.get(int(window[i]), 0), int(window[i]), i))
-            prefix[k] = window[place[k]]
-        order = np.argsort(prefix, kind="stable")
-        self.windows, self.width, self.place = self.windows[order], self.width[order], place[order]
-        self.owners = [self.owners[k] for k in order.tolist()]
-        self.prefix, first = np.unique(prefix[order], return_index=True)
-        self.bounds = np.append(first, len(order))
-
-    def occurrences(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first word) of each occurrence in the documents laid end to end."""
-        none = np.zeros(0, dtype=np.int64)
-        if not len(self.prefix) or not len(words):
-            return none, none
-        slot = np.searchsorted(self.prefix, words)
-        slot[slot == len(self.prefix)] = 0
-        at = np.flatnonzero(self.prefix[slot] == words)
-        slot = slot[at]
-        many = self.bounds[slot + 1] - self.bounds[slot]
-        at = np.repeat(at, many)
-        window = np.repeat(self.bounds[slot], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-        start = at - self.place[window]
-        stop = start + self.width[window]
-        ends = np.cumsum(counts)
-        doc = np.searchsorted(ends, at, side="right")
-        fits = (start >= ends[doc] - counts[doc]) & (stop <= ends[doc])
-        window, start = window[fits], start[fits]
-        for k in range(WINDOW):  # word by word; few candidates survive the first
-            needed = self.width[window] > k
-            same = ~needed
-            same[needed] = words[start[needed] + k] == self.windows[window[needed], k]
-            window, start = window[same], start[same]
-        return window, start
-
-
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
-def _hits(index: WindowIndex):
+from .sketch import BitTable, bit_table
+from .skew import hot_keys, spread_join
+from .staging import Stage, bounded_broadcast
+
+WINDOW, SHINGLE = 10, 3
+#: Rows of a batch sent to the JVM.
+TOGETHER = 10_000
+
+_WINDOWS = "item string, window string, width int, size int, shingles array<long>"
+_PLACES = "row long, doc_id long, digest string, n_words long, place long, before int, shingle long, around string"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of items (item, text)."""
+    for batch in batches:
+        for low, high, raw, offsets in W.blocks(batch.column(1)):
+            hashes, first, end, counts = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
+            text = W._LOWER[raw].tobytes()
+            stop = np.cumsum(counts)
+            for i in np.flatnonzero(counts).tolist():
+                item, n = batch.column(0)[low + i].as_py(), int(counts[i])
+                a = int(stop[i]) - n
+                words = [text[x:y].decode() for x, y in zip(first[a : a + n].tolist(), end[a : a + n].tolist(), strict=True)]
+                width, size = min(WINDOW, n), min(SHINGLE, n)
+                own = W.window_hashes(hashes[a : a + n], size).view(np.int64)
+                per = width - size + 1
+                for at in range(0, n - width + 1, TOGETHER):
+                    upto = min(n - width + 1, at + TOGETHER)
+                    shingles = pa.array(own[np.arange(at, upto)[:, None] + np.arange(per)].ravel())
+                    many = upto - at
+                    columns = [
+                        pa.array([item] * many, pa.string()),
+                        pa.array([" ".join(words[k : k + width]) for k in range(at, upto)]),
+                        pa.array(np.full(many, width, np.int32)),
+                        pa.array(np.full(many, size, np.int32)),
+                        pa.ListArray.from_arrays(np.arange(many + 1, dtype=np.int32) * per, shingles),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "window", "width", "size", "shingles"])
+
+
+def _found(hashes: np.ndarray, counts: np.ndarray, sizes: list[int], table: BitTable) -> tuple[np.ndarray, np.ndarray]:
+    """(place among all words, shingle) of shingles inside a document that the table may have."""
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashes))  # words from here to the document's end
+    places, found = [], []
+    for size in sizes:
+        shingles = W.window_hashes(hashes, size)
+        at = np.flatnonzero((left[: len(shingles)] >= size) & table.may_have(shingles))
+        places.append(at)
+        found.append(shingles[at])
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(places), np.concatenate(found)
+
+
+def _occurrences(sizes: list[int], table: BitTable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, raw, offsets in W.blocks(batch.column(1)):
-                words, _, _, counts = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
-                window, start = index.occurrences(words, counts)
-                rows = high - low
-                edge = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + index.width[window], -1)
-                hit = np.cumsum(edge)[:-1] > 0
-                ends = np.cumsum(counts)
-                begins = ends - counts
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[ends] - total[begins]
-                items: list[list[str]] = [[] for _ in range(rows)]
-                spans: list[list[int]] = [[] for _ in range(rows)]
-                for doc in np.flatnonzero(n_hit).tolist():
-                    own = (start >= begins[doc]) & (start < ends[doc])
-                    names = {index.names[o] for w in np.unique(window[own]).tolist() for o in index.owners[w]}
-                    items[doc] = sorted(x for x in names if x is not None)
-                    inside = np.concatenate([[False], hit[begins[doc] : ends[doc]], [False]])
-                    spans[doc] = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
-                n_items = pa.array([len(x) for x in items], pa.int64())
-                digest = pa.array([_digest(x) for x in items])
-                columns = [batch.column(0).slice(low, rows), pa.array(counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), n_items, digest, pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "spans"])
+            for _, _, raw, offsets in W.blocks(batch.column(1)):
+                hashes, _, _, counts = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
+                shingles, n = np.unique(_found(hashes, counts, sizes, table)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
     return run
 
 
-def _occurrences_of(vocabulary: np.ndarray):
+def _places(sizes: list[int], table: BitTable):
+    """A row for each document (no place), then one for each place of a shingle, with the words around it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for _, _, raw, offsets in W.blocks(batch.column(1)):
-                words, _, _, _ = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
-                slot = np.searchsorted(vocabulary, words)
-                slot[slot == len(vocabulary)] = 0
-                slot[vocabulary[slot] != words] = len(vocabulary)
-                counts += np.bincount(slot, minlength=len(counts))
-        some = np.flatnonzero(counts[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(vocabulary[some].view(np.int64)), pa.array(counts[some])], names=["word", "n"])
+            for low, high, raw, offsets in W.blocks(batch.column(1)):
+                hashes, first, end, counts = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
+                rows = row + np.arange(high - low)
+                row += high - low
+                none = pa.nulls(high - low, pa.int64())
+                ids = batch.column(0).slice(low, high - low)
+                words_of = pa.array(counts.astype(np.int64))
+                plain = [pa.array(rows), ids, pa.nulls(high - low, pa.string()), words_of, none, pa.nulls(high - low, pa.int32()), none, pa.nulls(high - low, pa.string())]
+                yield pa.RecordBatch.from_arrays(plain, names=_NAMES)
+                at, shingles = _found(hashes, counts, sizes, table)
+                if not len(at):
+                    continue
+                stop = np.cumsum(counts)
+                doc = np.searchsorted(stop, at, side="right")
+                begin = stop[doc] - counts[doc]
+                some = np.unique(doc)
+                digest = {d: hashlib.sha256(raw[offsets[d] : offsets[d + 1]]).hexdigest() for d in some.tolist()}
+                text = W._LOWER[raw].tobytes()
+                for k in range(0, len(at), TOGETHER):
+                    a, d = at[k : k + TOGETHER], doc[k : k + TOGETHER]
+                    left, right = np.maximum(a - WINDOW + 1, begin[k : k + TOGETHER]), np.minimum(a + WINDOW, stop[d])
+                    around = [b" ".join([text[x:y] for x, y in zip(first[p:q].tolist(), end[p:q].tolist(), strict=True)]).decode() for p, q in zip(left.tolist(), right.tolist(), strict=True)]
+                    columns = [
+                        pa.array(rows[d]),
+                        pa.nulls(len(a), pa.int64()),
+                        pa.array([digest[x] for x in d.tolist()]),
+                        pa.nulls(len(a), pa.int64()),
+                        pa.array(a - begin[k : k + TOGETHER]),
+                        pa.array((a - left).astype(np.int32)),
+                        pa.array(shingles[k : k + TOGETHER].view(np.int64)),
+                        pa.array(around),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     return run
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """One row per document out of one per document and block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                items = sorted({x for part in row["items"] for x in part})
-                edges: dict[int, int] = {}
-                for part in row["spans"]:
-                    for a, b in zip(part[::2], part[1::2], strict=True):
-                        edges[a] = edges.get(a, 0) + 1
-                        edges[b] = edges.get(b, 0) - 1
-                spans, depth = [], 0
-                for at in sorted(edges):
-                    before, depth = depth, depth + edges[at]
-                    if (before == 0) != (depth == 0):
-                        spans.append(at)
-                n_hit = sum(b - a for a, b in zip(spans[::2], spans[1::2], strict=True))
-                out.append({"doc_id": row["doc_id"], "n_words": row["n_words"], "n_hit": n_hit, "n_items": len(items), "items_sha256": _digest(items), "items": items, "spans": spans})
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
-
-    grouped = parts.groupBy("row", "doc_id", "n_words").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
-    return grouped.select("doc_id", "n_words", "items", "spans").mapInArrow(run, _RESULT)
-
-
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))])
-
-
-def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
-    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-
-
-def _block_count(items: DataFrame, block_words: int) -> int:
-    blank = items.select(F.sum(F.length("text") - F.length(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")) + 1)).first()[0] or 0
-    return max(1, -(-2 * int(blank) // block_words))  # at least as many separators as words, twice for uneven blocks
-
-
-def _index(texts: DataFrame, items: DataFrame, k: int, blocks: int) -> WindowIndex:
-    """The index of block ``k``, its words' rarity counted over ``texts``."""
-    block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-    words = _text_words([r["text"] for r in block])
-    named = sorted(((r["item"], w) for r, w in zip(block, words, strict=True) if len(w)), key=lambda x: (x[0] is None, x[0] or ""))
-    vocabulary = np.unique(np.concatenate([w for _, w in named])) if named else np.zeros(0, np.uint64)
-    rarity: dict[int, int] = {}
-    if len(vocabulary):
-        counted = texts.select("doc_id", "text").mapInArrow(_occurrences_of(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        rarity = {r["word"] & (1 << 64) - 1: r["n"] for r in counted.collect()}
-    return WindowIndex(named, rarity)
-
-
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` without a hit, columns as they are; each row is judged by itself, block after block."""
+_NAMES = [c.split()[0] for c in _PLACES.split(", ")]
+
+
+def _joined(stage: Stage, texts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents by row with doc_id and n_words; occurrences: row, digest, begin, end, window, items)."""
+    windows = items.mapInArrow(_windows, _WINDOWS)
+    windows = windows.groupBy("window").agg(F.first("width").alias("width"), F.first("size").alias("size"), F.first("shingles").alias("shingles"), F.collect_set("item").alias("items"))
+    windows = stage.table(windows, "windows")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # 1 to SHINGLE
+    shingles = windows.select(F.explode("shingles").alias("shingle")).distinct()
+    table = bit_table(shingles, "shingle", shingles.count())
+    rarity = texts.mapInArrow(_occurrences(sizes, table), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rarity = stage.table(rarity, "rarity")
+
+    each = windows.select("window", F.size("shingles").alias("many"), F.posexplode("shingles").alias("at", "shingle")).join(rarity, "shingle")
+    rarest = F.min(F.struct("n", "shingle", "at"))
+    prefix = each.groupBy("window", "many").agg(rarest.alias("p"), F.count("*").alias("there")).filter("there = many")
+    prefix = prefix.join(windows.select("window", "width", "items"), "window").select("window", "width", "items", "p.*")
+    prefix = stage.table(prefix, "prefix")
+    keys = prefix.select("shingle", "n").distinct()
+    sums = keys.agg(F.count("*").alias("keys"), F.sum("n").alias("places")).first()
+    found = stage.table(texts.mapInArrow(_places(sizes, bit_table(keys, "shingle", sums["keys"])), _PLACES), "places")
+
+    hot = hot_keys(stage, "hot", keys, ["shingle"], "n", sums["places"] or 0)
+    places = found.filter("place is not null")
+    near = spread_join(places.select("row", "digest", "place", "before", "shingle", "around"), prefix, ["shingle"], hot, F.xxhash64("row", "place"))
+    start = F.col("before") - F.col("at")
+    words = F.split("around", " ")
+    fits = (start >= 0) & (start + F.col("width") <= F.size(words))
+    same = F.when(fits, F.array_join(F.slice(words, F.greatest(start, F.lit(0)) + 1, F.col("width")), " ") == F.col("window"))
+    near = near.filter(same).select("row", "digest", (F.col("place") - F.col("at")).alias("begin"), (F.col("place") - F.col("at") + F.col("width")).alias("end"), "window", "items")
+    return found.filter("place is null").select("row", "doc_id", "n_words"), near
+
+
+def _tables(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = _items(benchmark, item_col, item_text_col)
-    blocks = _block_count(items, block_words)
-    for k in range(blocks):
-        docs = passing(docs, _hits(_index(texts, items, k, blocks)), "n_hit", False, text_col)
-    return docs
+    return texts, benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit, columns as they are.
+
+    A row is judged by its text: SHA-256 digests of the texts with a hit are
+    looked up, so rows that share an id do not pass for each other.
+    """
+    stage = Stage(spark, "uncontaminated")
+    _, near = _joined(stage, *_tables(docs, benchmark, id_col, text_col, item_col, item_text_col))
+    bad = stage.table(near.select(F.col("digest").alias("_digest")).distinct(), "bad")
+    stage.drop("windows", "rarity", "prefix", "places", "hot")
+    own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    return docs.join(bounded_broadcast(bad, bad.count()), own == F.col("_digest"), "left_anti")
+
+
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, items, spans, contaminated.
 
     ``spans`` are the hit words as begin, end, begin, end ..., ``items`` the item
     ids as sorted strings.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = _items(benchmark, item_col, item_text_col)
-    blocks = _block_count(items, block_words)
-    if blocks > 1:
-        stage = Stage(spark, "contamination")
-        texts = stage.table(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
-    parts = []
-    for k in range(blocks):
-        index = _index(texts, items, k, blocks)
-        if blocks == 1:
-            return texts.mapInArrow(_hits(index), _RESULT).withColumn("contaminated", F.col("n_hit") > 0)
-        numbered = texts.select(F.col("row").alias("doc_id"), "text").mapInArrow(_hits(index), _RESULT).filter("n_hit > 0")
-        parts.append(stage.table(numbered.select(F.col("doc_id").alias("row"), "items", "spans"), f"block-{k}"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    empty = WindowIndex([], {})
-    plain = texts.select(F.col("row").alias("doc_id"), "text").mapInArrow(_hits(empty), _RESULT).select(F.col("doc_id").alias("row"), "n_words")
-    rows = texts.select("row", "doc_id").join(plain, "row").join(found, "row", "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("items", "array<string>"), ("spans", "array<long>"))})
-    return _merged(rows).withColumn("contaminated", F.col("n_hit") > 0)
+    stage = Stage(spark, "contamination")
+    rows, near = _joined(stage, *_tables(docs, benchmark, id_col, text_col, item_col, item_text_col))
+    near = stage.table(near.distinct(), "occurrences")
+    # Overlapping and adjacent occurrences of a document are one span.
+    order = Window.partitionBy("row").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = near.select("row", "begin", "end").distinct().withColumn("fresh", F.coalesce(F.col("begin") > before, F.lit(True)).cast("int"))
+    spans = spans.withColumn("span", F.sum("fresh").over(order)).groupBy("row", "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    spans = spans.groupBy("row").agg(F.sum(F.col("end") - F.col("begin")).alias("n_hit"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("begin", "end"))), lambda s: F.array(s["begin"], s["end"]))).alias("spans"))
+    owners = near.select("row", "window", "items").distinct().select("row", F.explode("items").alias("item")).distinct()
+    owners = owners.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = rows.join(spans, "row", "left").join(owners, "row", "left")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast("array<long>"))})
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
