@@ -9,9 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base.rstrip("/") if base else "file://" + os.path.join(tempfile.gettempdir(), "loreweave-shared")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "loreweave-shared")
 
 
 def session_folder(spark: SparkSession, name: str) -> str:
