@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import hot_keys, spread_join
-from .staging import Stage
+from ..operators.skew import hot_keys, spread_join
+from ..sources.staging import Stage
 
 
 def connected_components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import wordvec as W
 from .sketch import BitTable, bit_table
-from .skew import hot_keys, spread_join
-from .staging import Stage, bounded_broadcast
+from ..operators.skew import hot_keys, spread_join
+from ..sources.staging import Stage, bounded_broadcast
 
 WINDOW, SHINGLE = 10, 3
 #: Rows of a batch sent to the JVM.

@@ -23,8 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import hot_keys, spread_join
-from .staging import Stage
+from ..operators.skew import hot_keys, spread_join
+from ..sources.staging import Stage
 
 
 def content_hash(text: Column) -> Column:

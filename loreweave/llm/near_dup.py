@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from . import wordvec as W
 from .components import connected_components
 from .sketch import count_hashes, places
-from .skew import hot_keys, salted, spread_join
-from .staging import Stage, bounded_broadcast
+from ..operators.skew import hot_keys, salted, spread_join
+from ..sources.staging import Stage, bounded_broadcast
 
 WIDTH = 5
 POSITIONS, CHUNKS, MAX_DISTANCE = 40, 10, 19

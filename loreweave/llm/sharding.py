@@ -38,8 +38,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .skew import hot_keys, salted
-from .staging import Stage
+from ..operators.skew import hot_keys, salted
+from ..sources.staging import Stage
 
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 16 << 20
