@@ -11,7 +11,7 @@ from .api import Service, checked
 from .config import load
 from .operators import relational as R
 from .plans import jobs, review
-from .sources.landing import parse_details
+from .sources.landing import http_get, parse_details
 from .sources.store import Store
 
 
@@ -30,6 +30,9 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("landed", help="folder of JSON lines (board_key, board_id, json)")
     ingest.add_argument("--max-items", type=int)
     ingest.add_argument("--run-type", default="manual")
+    crawl = sub.add_parser("crawl", help="list boards over the network, fetch details, take them in")
+    crawl.add_argument("--max-items", type=int)
+    crawl.add_argument("--run-type", default="scheduled")
     sub.add_parser("status")
     sub.add_parser("index")
     find = sub.add_parser("search")
@@ -41,7 +44,9 @@ def parser() -> argparse.ArgumentParser:
     enrich = sub.add_parser("enrich")
     enrich.add_argument("--force", action="store_true")
     enrich.add_argument("--limit", type=int)
-    sub.add_parser("review")
+    look = sub.add_parser("review")
+    look.add_argument("--documents", nargs="*", default=[], help="text files with documented counts")
+    look.add_argument("--source", action="store_true", help="compare boards with their source")
     return out
 
 
@@ -58,6 +63,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, say=p
             incoming = R.newest_notes(incoming.withColumnRenamed("external_id", "id"), args.max_items).withColumnRenamed("id", "external_id")
         out = jobs.run_ingestion(store, incoming, args.run_type, settings=settings)
         say(" ".join(f"{k}={v}" for k, v in out.items()))
+    elif args.command == "crawl":
+        out = jobs.crawl(store, http_get(settings.source), args.run_type, args.max_items, settings=settings)
+        say(" ".join(f"{k}={v}" for k, v in out.items()))
     elif args.command == "status":
         for name, n in review.collect_counts(store).items():
             say(f"{name}: {n}")
@@ -74,7 +82,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, say=p
     elif args.command == "enrich":
         say(f"processed={jobs.run_enrichment(store, args.force, args.limit, settings=settings)['processed']}")
     else:
-        say(review.dump_json({"counts": review.collect_counts(store), "latest_run": review.latest_run(store)}))
+        found = {"counts": review.collect_counts(store), "latest_run": review.latest_run(store)}
+        if args.documents:
+            found["documents"] = review.compare_counts(store, review.documented_counts(spark, args.documents))
+        if args.source:
+            found["parity"] = review.source_parity(store, http_get(settings.source), settings.source)
+        say(review.dump_json(found))
     return 0
 
 

@@ -50,7 +50,7 @@ def ordered_distinct(value: str, order: str) -> Column:
     return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["v"].isNotNull()), lambda p: p["v"]))
 
 
-def tag_summary(tags: DataFrame, latest_default: int = 1) -> DataFrame:
+def tag_summary(tags: DataFrame) -> DataFrame:
     """One row a chunk: policy flags and its distinct types and keys."""
     return tags.groupBy("chunk_id").agg(
         F.max("prefer_latest").alias("prefer_latest"),
@@ -175,6 +175,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def parity(own: DataFrame, totals: DataFrame) -> DataFrame:
+    """Boards' notes (source_board, n) against the totals their source reports (source_board, total)."""
+    both = totals.join(own.withColumnRenamed("n", "own"), "source_board", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return both.select("source_board", "own", "total", (F.col("own") == F.col("total")).alias("same"))
+
+
 def latest_runs(runs: DataFrame, n: int = 1) -> DataFrame:
     return runs.orderBy(F.desc("id")).limit(n)
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.text import content_hash, normalize_text
 from ..operators import relational as R
-from ..operators.analyze import analyze_notes
+from ..operators.analyze import chunk_notes, tag_chunks
 from ..operators.dense import DenseIndex, build_dense
 from ..operators.events import extract_events
-from ..operators.search import Corpus
+from ..operators.search import Corpus, search_table
 from ..operators.sparse import SparseIndex, build_sparse, index_text
 from ..rules import KOREAN, RulePack
+from ..sources.files import file_system, hadoop_path, numbered, publish
+from ..sources.landing import Get, all_listings, fetch_board, fetch_details, parse_details
 from ..sources.store import Store
 
 
@@ -32,47 +34,55 @@ def build_indexes(store: Store, settings: Settings | None = None) -> dict[str, i
     path = index_path(store, settings)
     texts = index_text(store.chunks, store.notes).cache()
     version = _index_version(store, path) + 1
-    sparse = build_sparse(texts, f"{path}/v{version}/stage-sparse").save(f"{path}/v{version}/sparse")
+    while file_system(store.spark, path).exists(hadoop_path(store.spark, f"{path}/v{version}")):  # another build is under way
+        version += 1
+    sparse = build_sparse(texts).save(f"{path}/v{version}/sparse")
     dense = build_dense(texts, stage=f"{path}/v{version}/stage-dense").save(f"{path}/v{version}/dense")
-    fs = store._fs()
-    for done in ("stage-sparse", "stage-dense"):
-        fs.delete(store.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}/{done}"), True)
-    pointer = store.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/p{version}")
-    fs.create(pointer, True).close()
+    search_table(store.chunks, store.notes, store.tags).write.parquet(f"{path}/v{version}/rows")
+    file_system(store.spark, path).delete(hadoop_path(store.spark, f"{path}/v{version}/stage-dense"), True)
+    publish(store.spark, path, f"p{version}", "")
     out = {"chunks": texts.count(), "features": sparse.idf.count(), "rank": dense.rank}
     texts.unpersist()
     return out
 
 
 def _index_version(store: Store, path: str) -> int:
-    fs, folder = store._fs(), store.spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.exists(folder):
-        return 0
-    return max((int(n[1:]) for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n[:1] == "p" and n[1:].isdigit()), default=0)
+    return max(numbered(store.spark, path, "p"), default=0)
+
+
+_corpora: dict[tuple, tuple[tuple, Corpus]] = {}
 
 
 def load_corpus(store: Store, settings: Settings | None = None) -> Corpus:
-    """Tables and the current indexes, which are built if there are none."""
+    """Tables and the current indexes, which are built if there are none; kept until a version changes."""
     path = index_path(store, settings)
     if not _index_version(store, path):
         build_indexes(store, settings)
-    at = f"{path}/v{_index_version(store, path)}"
-    return Corpus(store.notes, store.chunks, store.tags, store.events, SparseIndex.load(store.spark, f"{at}/sparse"), DenseIndex.load(store.spark, f"{at}/dense"))
+    state = (_index_version(store, path), store.versions())
+    key = (store.spark.sparkContext.applicationId, store.path, path)
+    if key not in _corpora or _corpora[key][0] != state:
+        at = f"{path}/v{state[0]}"
+        rows = store.spark.read.parquet(f"{at}/rows")
+        corpus = Corpus(store.notes, store.chunks, store.tags, store.events, SparseIndex.load(store.spark, f"{at}/sparse"), DenseIndex.load(store.spark, f"{at}/dense"), rows)
+        _corpora[key] = state, corpus
+    return _corpora[key][1]
 
 
 def analyse_into(store: Store, notes: DataFrame, rules: RulePack = KOREAN, settings: Settings | None = None, year: int | None = None) -> None:
     """Rebuild chunks, tags and events of ``notes``."""
     settings = settings or Settings()
-    chunks, tags = analyze_notes(notes, rules, settings.policy)
-    events = extract_events(chunks, tags, notes, year or dt.date.today().year)
-    store.replace_children(notes, chunks, tags, events)
+    owners = notes.select(F.col("id").alias("note_id"))
+    # Each step reads what the one before wrote.
+    chunks = store.put("chunks", chunk_notes(notes, rules), owners)
+    tags = store.put("tags", tag_chunks(chunks, notes, rules, settings.policy), owners)
+    store.put("events", extract_events(chunks, tags, notes, year or dt.date.today().year), owners)
 
 
 def run_ingestion(store: Store, incoming: DataFrame, run_type: str = "manual", rules: RulePack = KOREAN, settings: Settings | None = None, failed: DataFrame | None = None, rebuild: bool = True) -> dict:
     """Take in notes (url, title, published_at, raw_html, plain_text[, content_hash, source_board]).
 
     New urls are inserted, changed texts updated, the same text skipped, urls
-    that failed too often left out.  ``failed`` (url, error_message) lists details
+    that failed too often left out; of several rows of a url the latest counts.  ``failed`` (url, error_message) lists details
     that could not be fetched.
     """
     settings = settings or Settings()
@@ -80,16 +90,15 @@ def run_ingestion(store: Store, incoming: DataFrame, run_type: str = "manual", r
     run_id = store.start_run(run_type)
     if "content_hash" not in incoming.columns:
         incoming = incoming.withColumn("content_hash", content_hash(F.coalesce("plain_text", F.lit(""))))
+    if "published_at" not in incoming.columns:
+        incoming = incoming.withColumn("published_at", F.lit(None).cast("string"))
+    incoming = R.best_per_key(incoming, ["url"], [F.desc("published_at"), F.asc("content_hash")])
     acted = R.classify_changes(incoming, store.notes, store.run_items, settings.ingestion.max_retries).cache()
     counts = {r["action"]: r["n"] for r in acted.groupBy("action").agg(F.count("*").alias("n")).collect()}
     errors = failed.count() if failed is not None else 0
     changed = acted.filter("action <> 'skip'")
     if counts.get("insert", 0) + counts.get("update", 0):
-        urls = changed.select("url").cache()
-        urls.count()
-        store.upsert_notes(changed.drop("action"))
-        notes = store.notes.join(urls, "url", "left_semi")
-        analyse_into(store, notes, rules, settings)
+        analyse_into(store, store.upsert_notes(changed.drop("action")), rules, settings)
         if rebuild:
             build_indexes(store, settings)
     items = acted.select("url", "action", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_message"))
@@ -103,6 +112,22 @@ def run_ingestion(store: Store, incoming: DataFrame, run_type: str = "manual", r
     return {"run_id": run_id, "status": status, "scanned": scanned, "inserted": counts.get("insert", 0), "updated": counts.get("update", 0), "skipped": counts.get("skip", 0), "errors": errors}
 
 
+def crawl(store: Store, get: Get, run_type: str = "scheduled", max_items: int | None = None, rules: RulePack = KOREAN, settings: Settings | None = None, rebuild: bool = True, pause: float | None = None, url: str = "/%s/%s") -> dict:
+    """List all boards, leave out abandoned urls, fetch details one by one, and take them in.
+
+    Details that fail are recorded; a later run tries them again until they have
+    failed ``max_retries`` times.
+    """
+    settings = settings or Settings()
+    store.init()
+    spark, pause = store.spark, settings.source.request_delay if pause is None else pause
+    boards = [fetch_board(spark, get, key, board, max_items, min(pause, 0.5), url) for key, board in settings.source.board_targets]
+    listing = all_listings(boards, max_items).join(R.abandoned_urls(store.run_items, settings.ingestion.max_retries), "url", "left_anti")
+    listing = listing.orderBy(F.desc("published_at"), "thread_id")
+    raw, failed = fetch_details(spark, get, listing, pause)
+    return run_ingestion(store, parse_details(raw, url), run_type, rules, settings, failed, rebuild)
+
+
 def run_enrichment(store: Store, force: bool = False, limit: int | None = None, rules: RulePack = KOREAN, settings: Settings | None = None, rebuild: bool = True) -> dict[str, int]:
     """Analyse notes that have no chunks yet, or all of them; newest first if limited."""
     todo = R.newest_notes(R.without_chunks(store.notes, store.chunks, only_missing=not force), limit)

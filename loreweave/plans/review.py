@@ -7,7 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Source
 from ..operators import relational as R
+from ..sources.landing import Get, board_total
 from ..sources.store import Store
 
 #: Pattern of a documented count: "notes: 1,322" or "| chunks | 13313 |".
@@ -28,8 +30,14 @@ def latest_run(store: Store) -> dict | None:
 
 def board_parity(store: Store, board: str, total: int) -> dict:
     """Notes of a board against the number its source reports."""
-    own = store.notes.filter(F.col("source_board") == board).count()
-    return {"board": board, "store": own, "source": total, "match": own == total}
+    totals = store.spark.createDataFrame([(board, total)], "source_board string, total bigint")
+    row = R.parity(R.board_counts(store.notes), totals).first()
+    return {"board": board, "store": row["own"], "source": total, "match": row["same"]}
+
+
+def source_parity(store: Store, get: Get, source: Source) -> list[dict]:
+    """``board_parity`` of every configured board, with the totals fetched from the source."""
+    return [board_parity(store, key, board_total(get, board)) for key, board in source.board_targets]
 
 
 def documented_counts(spark: SparkSession, paths: list[str], names: tuple[str, ...] = NAMES) -> DataFrame:

@@ -22,8 +22,8 @@ from .operators import search as H
 from .operators import sparse as X
 from .operators.events import extract_events, keep_most_complete
 from .rules import ENGLISH, KOREAN
-from .schema import STRIDE
 from .sources.scratch import session_folder
+from .sources.staging import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,9 +233,9 @@ def event_search_rows(spark, sf):
 
 
 # -- ingestion state ------------------------------------------------------------
-@query(f"with {ITEMS} select url from items where status = 'failed' group by url having count(*) < 3")
+@query(f"with {ITEMS} select url from items where status = 'failed' group by url having count(*) < 20")
 def retry_urls_having(spark, sf):
-    return R.retry_urls(run_items(spark, sf), 3)
+    return R.retry_urls(run_items(spark, sf), 20)
 
 
 @query(f"with {ITEMS} select url from items where status = 'failed' group by url having count(*) >= 3")
@@ -288,9 +288,14 @@ def doc_count_compare(spark, sf):
     return R.count_mismatches(said, actual)
 
 
-@query("select source as source_board, count(*) as own, 50::bigint as total, count(*) = 50 as same from documents group by source")
+@query(
+    """with totals as (select distinct source as source_board, (40 + length(source) % 3 * 10)::bigint as total from documents union all select 'nowhere', 7)
+    select t.source_board, count(d.source) as own, any_value(total) as total, count(d.source) = any_value(total) as same from totals t left join documents d on d.source = t.source_board group by t.source_board"""
+)
 def parity(spark, sf):
-    return R.board_counts(notes(spark, sf)).select("source_board", F.col("n").alias("own"), F.lit(50).cast("bigint").alias("total"), (F.col("n") == 50).alias("same"))
+    own = R.board_counts(notes(spark, sf))
+    totals = own.select("source_board", (F.lit(40) + F.length("source_board") % 3 * 10).cast("bigint").alias("total"))
+    return R.parity(own, totals.unionByName(spark.sql("select 'nowhere' as source_board, 7L as total")))
 
 
 # -- text ---------------------------------------------------------------------------
@@ -328,38 +333,56 @@ def normalize_lines(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
 
 
-@query(
-    r"""with recursive l as (select doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
-    n as (select doc_id, line, length(line) + 1 as size, row_number() over (partition by doc_id order by pos) as pos from l where line <> ''),
-    p as (select doc_id, pos, size as used, 0 as chunk from n where pos = 1
-      union all select n.doc_id, n.pos, case when p.used + n.size > 1400 then n.size else p.used + n.size end, p.chunk + (p.used + n.size > 1400)::int from p join n on n.doc_id = p.doc_id and n.pos = p.pos + 1)
-    select p.doc_id, p.chunk as chunk_index, md5(string_agg(n.line, chr(10) order by p.pos)) as text_md5, count(*)::int as n_lines from p join n using (doc_id, pos) group by p.doc_id, p.chunk"""
-)
+def _chunk_sql(level: str) -> str:
+    """Chunks of documents: lines with ``level`` (1, 2 or null) of ``x``, long lines by sentences, lines of a section packed."""
+    return rf"""with recursive docs as (select doc_id, split_part(text, chr(10), 1) as title, trim(regexp_replace(text, '\s+', ' ', 'g')) as whole, string_split(text, chr(10)) as ls from documents where text is not null),
+    l0 as (select doc_id, trim(regexp_replace(unnest(ls), '\s+', ' ', 'g')) as x, generate_subscripts(ls, 1) as pos from docs),
+    l as (select doc_id, pos, x, {level} as lv from l0 where x <> ''),
+    s0 as (select doc_id, pos, list_filter(list_transform(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda v: trim(v)), lambda v: v <> '') as ps from l where lv is null and length(x) > 1400),
+    s1 as (select doc_id, pos, 1 as i, ps[1] as cur, false as cut, 0 as piece from s0
+      union all select s1.doc_id, s1.pos, i + 1, case when length(cur) + 1 + length(ps[i + 1]) > 1400 then ps[i + 1] else cur || ' ' || ps[i + 1] end, length(cur) + 1 + length(ps[i + 1]) > 1400,
+        piece + (length(cur) + 1 + length(ps[i + 1]) > 1400)::int from s1 join s0 using (doc_id, pos) where i < len(ps)),
+    s2 as (select doc_id, pos, piece, arg_max(cur, i) as x from s1 group by all),
+    it as (select doc_id, pos, 0 as piece, x, lv from l where lv is not null or length(x) <= 1400 union all select doc_id, pos, piece, x, null from s2),
+    h as (select *, count(lv) over o as sec, last_value(case when lv = 1 then x end ignore nulls) over o as top, coalesce(max(case when lv = 1 then pos end) over o, 0) as top_at,
+        last_value(case when lv = 2 then x end ignore nulls) over o as sub0, coalesce(max(case when lv = 2 then pos end) over o, -1) as sub_at from it window o as (partition by doc_id order by pos, piece)),
+    n as (select doc_id, sec, x, length(x) + 1 as size, coalesce(top, title) as top, case when sub_at > top_at then sub0 end as sub, row_number() over (partition by doc_id, sec order by pos, piece) as k from h join docs using (doc_id) where lv is null),
+    p as (select doc_id, sec, k, size as used, 0 as part from n where k = 1
+      union all select n.doc_id, n.sec, n.k, case when p.used + n.size > 1400 then n.size else p.used + n.size end, p.part + (p.used + n.size > 1400)::int from p join n on n.doc_id = p.doc_id and n.sec = p.sec and n.k = p.k + 1),
+    c as (select doc_id, sec, part, any_value(case when nullif(top, '') is not null and nullif(sub, '') is not null then top || ' / ' || sub else coalesce(nullif(sub, ''), nullif(top, '')) end) as section_title,
+        string_agg(x, chr(10) order by k) as chunk_text from p join n using (doc_id, sec, k) group by doc_id, sec, part),
+    every as (select doc_id, row_number() over (partition by doc_id order by sec, part) - 1 as chunk_index, section_title, chunk_text from c
+      union all select doc_id, 0, title, whole from docs where whole <> '' and doc_id not in (select doc_id from c))
+    select doc_id as note_id, chunk_index::int as chunk_index, section_title, md5(chunk_text) as text_md5, greatest(1, length(chunk_text) // 4)::int as token_count from every"""
+
+
+_ENGLISH_LEVEL = """case when x in ('#', '*', '-') then null when starts_with(x, '#') then 1 when starts_with(x, '*') or starts_with(x, '-') then 2 when suffix(x, 'update') or suffix(x, 'notes') then 1
+      when suffix(x, 'thanks.') then null when length(x) <= 30 and (contains(x, 'change') or contains(x, 'info')) then 2 end"""
+
+
+def _chunks(spark: SparkSession, sf: str, rules) -> DataFrame:
+    n = notes(spark, sf).filter("plain_text is not null").select("id", "title", "plain_text")
+    return A.chunk_notes(n, rules).select("note_id", "chunk_index", "section_title", F.md5("chunk_text").alias("text_md5"), "token_count")
+
+
+@query(_chunk_sql("null::int"))
 def chunk_pack(spark, sf):
-    """Packing alone: a rule pack without headings, lines kept whole by a wide sentence limit."""
+    """Packing alone: a rule pack whose headings never occur."""
     from dataclasses import replace
 
-    bare = replace(KOREAN, markers=("\x00", "\x01"), top_endings=("\x00",), sub_words=("\x00",))
-    d = read(spark, sf, "documents").withColumn("n", T.normalize_text(F.col("text"), bare))
-    lines = F.split("n", "\n")
-    start = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("out"))
+    return _chunks(spark, sf, replace(KOREAN, markers=("\x00", "\x01"), top_endings=("\x00",), sub_words=("\x00",)))
 
-    def step(acc, line):
-        size = F.length(line) + 1
-        full = acc["cur"].isNotNull() & (acc["size"] + size > T.MAX_CHUNK_CHARS)
-        return F.when(full, F.struct(line.alias("cur"), size.alias("size"), F.concat(acc["out"], F.array(acc["cur"])).alias("out"))).otherwise(
-            F.struct(F.concat_ws("\n", acc["cur"], line).alias("cur"), (acc["size"] + size).alias("size"), acc["out"].alias("out"))
-        )
 
-    packed = F.aggregate(F.filter(lines, lambda x: x != ""), start, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
-    return d.select("doc_id", F.posexplode(packed).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.md5("c").alias("text_md5"), F.size(F.split("c", "\n")).alias("n_lines"))
+@query(_chunk_sql(_ENGLISH_LEVEL))
+def sectioned_chunks(spark, sf):
+    """Headings, sections and packing."""
+    return _chunks(spark, sf, ENGLISH)
 
 
-@query()
-def sectioned_chunks(spark, sf):
-    """Headings, sections and packing; tests compare with a plain fold."""
-    n = notes(spark, sf).select("id", "title", "plain_text")
-    return A.chunk_notes(n, ENGLISH).select("note_id", "chunk_index", "section_title", F.md5("chunk_text").alias("text_md5"), "token_count")
+@query(f"""with l as (select doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) as x from documents) select x as line, ({_ENGLISH_LEVEL})::int as level, count(*) as n from l group by all""".replace("\\\\", "\\"))
+def heading_levels(spark, sf):
+    lines = read(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(T.normalize_line(F.col("line")).alias("line"))
+    return lines.withColumn("level", T.heading_level(F.col("line"), ENGLISH)).groupBy("line", "level").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -449,12 +472,19 @@ def event_dedupe(spark, sf):
     return keep_most_complete(e, ["note_id", "event_type", "event_key"], F.col("score"), F.col("id")).select("note_id", "event_type", "event_key", "id", "score")
 
 
-@query()
+@query(
+    f"""with {KOREAN_NOTES}{_PERIOD}, m as (select id, max(case when e = 0 then moment end) as start_at, max(case when e = 1 then moment end) as end_at from prs group by id)
+    select id as note_id, case when kind = '클래스 체인지' then 'class_change' when kind = '출석 이벤트' then 'attendance_event' else 'season_event' end as event_type, kind as title, start_at, end_at,
+      regexp_extract(text, '최대 ([0-9]+)회', 1)::int as limit_per_account, target as raw_target_text from kn join m using (id) where kind <> '점검 안내'"""
+)
 def event_extraction(spark, sf):
-    """Notes to chunks to tags to event records, in one plan."""
+    """Notes to chunks to tags to event records; chunks and tags are written, each step reads the one before."""
     n = korean_notes(spark, sf).withColumnRenamed("text", "plain_text")
-    chunks, tags = A.analyze_notes(n)
-    return extract_events(chunks, tags, n, 2025)
+    stage = Stage(spark, "event-extraction")
+    chunks = stage.table(A.chunk_notes(n), "chunks")
+    tags = stage.table(A.tag_chunks(chunks, n), "tags")
+    got = extract_events(chunks, tags, n, 2025)
+    return got.select("note_id", "event_type", "title", "start_at", "end_at", "limit_per_account", F.regexp_replace("raw_target_text", "\\s+$", "").alias("raw_target_text"))
 
 
 @query(
@@ -520,10 +550,10 @@ def sparse_search_batch(spark, sf):
 COSINE = "list_dot_product(a.embedding::double[], b.embedding::double[]) / nullif(sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])), 0)"
 
 
-def _cosines(spark: SparkSession, sf: str, asked: Column) -> DataFrame:
+def _cosines(spark: SparkSession, sf: str, asked: Column, k: int | None = None) -> DataFrame:
     v = read(spark, sf, "embeddings")
     q = v.filter(asked).select(F.col("vec_id").alias("qid"), F.col("embedding").cast(D.VECTOR).alias("q"))
-    return D._against(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast(D.VECTOR).alias("vector")), q, "qid")
+    return D._against(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast(D.VECTOR).alias("vector")), q, "qid", k)
 
 
 @query(
@@ -531,31 +561,35 @@ def _cosines(spark: SparkSession, sf: str, asked: Column) -> DataFrame:
     where score > 0 qualify row_number() over (partition by qid order by round(score, 10) desc, chunk_id) <= 10"""
 )
 def dense_cosine_topk(spark, sf):
-    scored = _cosines(spark, sf, F.col("vec_id") % 50 == 0)
-    return D.top_scores(scored.filter("score > 0"), 10).select("qid", "chunk_id", r6(F.col("score")).alias("score"))
+    scored = _cosines(spark, sf, F.col("vec_id") % 50 == 0, 10)
+    return D.top_scores(scored, 10).select("qid", "chunk_id", r6(F.col("score")).alias("score"))
 
 
 @query(
-    f"""with c as (select a.vec_id as qid, b.vec_id as chunk_id, coalesce({COSINE}, 0) as score from embeddings a, embeddings b where a.vec_id in (0, 1)),
-    s as (select chunk_id, score from c where qid = 0 and score > 0), d as (select chunk_id, score from c where qid = 1 and score > 0)
-    select coalesce(s.chunk_id, d.chunk_id) as chunk_id, round(coalesce(s.score, 0) * 0.55 + coalesce(d.score, 0) * 0.45, 6) as similarity from s full outer join d on s.chunk_id = d.chunk_id"""
+    f"""with c as (select a.vec_id as v, b.vec_id as chunk_id, coalesce({COSINE}, 0) as score from embeddings a, embeddings b where a.vec_id % 50 < 2),
+    s as (select v as qid, chunk_id, score from c where v % 50 = 0 and score > 0), d as (select v - 1 as qid, chunk_id, score from c where v % 50 = 1 and score > 0)
+    select qid, chunk_id, round(coalesce(s.score, 0) * 0.55 + coalesce(d.score, 0) * 0.45, 6) as similarity from s full outer join d using (qid, chunk_id)"""
 )
 def hybrid_merge(spark, sf):
-    c = _cosines(spark, sf, F.col("vec_id").isin(0, 1)).filter("score > 0")
-    return H.blend(c.filter("qid = 0"), c.filter("qid = 1")).select("chunk_id", r6(F.col("similarity")).alias("similarity"))
+    """Every vector divisible by 50 as sparse question, the next one as its dense question."""
+    c = _cosines(spark, sf, F.col("vec_id") % 50 < 2)
+    dense = c.filter("qid % 50 = 1").withColumn("qid", F.col("qid") - 1)
+    return H.blend(c.filter("qid % 50 = 0"), dense, "qid").select("qid", "chunk_id", r6(F.col("similarity")).alias("similarity"))
 
 
-@query(f"select b.vec_id as chunk_id, round(max(coalesce({COSINE}, 0)), 6) as score from embeddings a, embeddings b where a.vec_id in (0, 1, 2) group by b.vec_id")
+@query(f"select a.vec_id // 50 * 50 as qid, b.vec_id as chunk_id, round(max({COSINE}), 6) as score from embeddings a, embeddings b where a.vec_id % 50 < 3 and {COSINE} > 0 group by all")
 def variant_max_merge(spark, sf):
-    return _cosines(spark, sf, F.col("vec_id").isin(0, 1, 2)).groupBy("chunk_id").agg(r6(F.max("score")).alias("score"))
+    """Every vector divisible by 50 and the two after it as variants of one question."""
+    c = _cosines(spark, sf, F.col("vec_id") % 50 < 3).withColumn("qid", F.floor(F.col("qid") / 50) * 50)
+    return H.best_variant(c, "qid").select("qid", "chunk_id", r6(F.col("score")).alias("score"))
 
 
 @query()
 def lsa_topk(spark, sf):
-    """Latent semantic index over the benchmark texts, asked with the first words of each."""
+    """Latent semantic index over the benchmark texts, asked with each of them."""
     items = read(spark, sf, "benchmark")
-    index = D.build_dense(items.select(F.col("item_id").alias("chunk_id"), "text"), max_rank=16)
-    questions = items.select(F.col("item_id").alias("qid"), F.substring_index("text", " ", 12).alias("text"))
+    index = D.build_dense(items.select(F.col("item_id").alias("chunk_id"), "text"))
+    questions = items.select(F.col("item_id").alias("qid"), "text")
     return D.search_dense(index, questions, 3).select("qid", "chunk_id", F.round("score", 4).alias("score"))
 
 
@@ -564,12 +598,13 @@ _TOKENS = "list_distinct(regexp_extract_all(lower({}), '[가-힣A-Za-z0-9]+'))"
 
 
 @query(
-    f"""with q as (select item_id, {_TOKENS.format("text")} as qt from benchmark where item_id = 0), d as (select doc_id, {_TOKENS.format("text")} as dt from documents)
-    select doc_id, round(coalesce(len(list_intersect(qt, dt)) / nullif(len(qt), 0)::double, 0), 6) as overlap from q, d"""
+    f"""with q as (select item_id, {_TOKENS.format("text")} as qt from benchmark), d as (select doc_id, {_TOKENS.format("text")} as dt from documents)
+    select item_id, doc_id, round(coalesce(len(list_intersect(qt, dt)) / nullif(len(qt), 0)::double, 0), 6) as overlap from q, d"""
 )
 def keyword_overlap(spark, sf):
-    q = read(spark, sf, "benchmark").filter("item_id = 0").select(T.token_set(F.col("text")).alias("q"))
-    return read(spark, sf, "documents").join(F.broadcast(q)).select("doc_id", r6(T.overlap(F.col("q"), F.col("text"))).alias("overlap"))
+    """Every benchmark item (a stated set of questions) with every document."""
+    q = read(spark, sf, "benchmark").select("item_id", T.token_set(F.col("text")).alias("q"))
+    return read(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(q)).select("item_id", "doc_id", r6(T.overlap(F.col("q"), F.col("text"))).alias("overlap"))
 
 
 @query(
@@ -631,12 +666,106 @@ def history_order(spark, sf):
     from pyspark.sql import Window
 
     top = read(spark, sf, "events").orderBy(F.desc("value"), "event_id").limit(20)
-    order = Window.orderBy((F.col("event_type") != "click").cast("int"), "ts", F.desc("value"), "event_id")
-    return top.select("event_id", F.row_number().over(order).cast("bigint").alias("place"))
+    hits = top.withColumns({"source_type": F.when(F.col("event_type") == "click", "event_record").otherwise("chunk"), "published_at": F.col("ts").cast("string")})
+    order = Window.orderBy(*H.policy_columns(True), F.desc("value"), "event_id")
+    return hits.select("event_id", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+@query(
+    """with best as (select *, user_id % 7 as day from events qualify row_number() over (partition by user_id order by value desc, event_id) = 1)
+    select event_id, user_id, row_number() over (order by value desc, day desc, event_id) as place from best order by value desc, day desc, event_id limit 30"""
+)
+def final_ranking(spark, sf):
+    """Best hit of each url, then the first 30 by score, date and place."""
+    from pyspark.sql import Window
+
+    e = read(spark, sf, "events")
+    hits = e.select("event_id", "user_id", F.concat(F.lit("u/"), "user_id").alias("url"), F.lit("t").alias("note_title"), F.col("value").alias("final_score"), (F.col("user_id") % 7).cast("string").alias("published_at"), F.col("event_id").alias("ordinal"))
+    top = H.ranked(hits, 30)
+    return top.select("event_id", "user_id", F.row_number().over(Window.orderBy(F.desc("final_score"), F.desc("published_at"), "ordinal")).cast("bigint").alias("place"))
+
+
+@query(
+    f"""with {NOTES}, {CHUNKS}, {EVENTS} select e.id as event_record_id, greatest(len(list_intersect(['click', 'summary'], list_distinct(regexp_extract_all(lower(concat_ws(' ', nullif(n.title, ''), nullif(coalesce(c.section_title, e.title), ''),
+      nullif(coalesce(c.chunk_text, e.summary, e.title), ''), nullif(e.title, ''))), '[가-힣A-Za-z0-9]+')))) / 2.0, (e.event_type = 'click')::int, case when e.start_at is not null or e.end_at is not null then 0.9 else 0 end,
+      case when e.limit_per_account is not null then 0.9 else 0 end)::double as bonus
+    from event_records e join notes n on n.id = e.note_id left join chunks c on c.id = e.chunk_id"""
+)
+def event_structured_bonus(spark, sf):
+    """Overlap, hint, period and limit arms of the structured bonus."""
+    rows = R.event_rows(event_records(spark, sf), notes(spark, sf), whole_chunks(spark, sf))
+    plan = H.Plan("when and how often", (), (), ("click",), "preserve_history", ("click", "summary"))
+    return rows.select("event_record_id", H.structured_bonus(plan, rows.columns, ENGLISH).cast("double").alias("bonus"))
+
+
+@query(
+    f"""with {NOTES}, {CHUNKS}, {TAGS} select c.id as chunk_id, row_number() over (order by published_at desc, chunk_index, c.id) as place from chunks c join notes n on n.id = c.note_id"""
+)
+def search_row_order(spark, sf):
+    from pyspark.sql import Window
+
+    rows = R.search_rows(whole_chunks(spark, sf), notes(spark, sf), label_tags(spark, sf))
+    return rows.select("chunk_id", F.row_number().over(Window.orderBy(*R.search_order(rows))).cast("bigint").alias("place"))
+
+
+@query(
+    f"""with {NOTES}, {EVENTS} select e.id as event_record_id, row_number() over (order by coalesce(start_at, published_at) desc, e.id) as place from event_records e join notes n on n.id = e.note_id"""
+)
+def event_row_order(spark, sf):
+    from pyspark.sql import Window
+
+    rows = R.event_rows(event_records(spark, sf), notes(spark, sf), whole_chunks(spark, sf))
+    return rows.select("event_record_id", F.row_number().over(Window.orderBy(*R.event_order())).cast("bigint").alias("place"))
+
+
+# -- listings and presentation --------------------------------------------------------------------
+@query(
+    """with b as (select case when o_orderkey % 2 = 0 then 'update' else 'notice' end as board_key, o_orderkey as k from orders), t as (select *, row_number() over (partition by board_key order by k desc) as place from b),
+    u as (select * from t where place <= 50 order by k desc limit 80)
+    select k::varchar as thread_id, board_key, 't' || k as title, strftime(make_timestamp((k + 1700000000) * 1000000) + interval 9 hour, '%Y-%m-%dT%H:%M:%S') || '+09:00' as published_at, '/' || board_key || '/' || k as url from u"""
+)
+def board_listings(spark, sf):
+    """Raw pages of two boards: parsed, the newest of each, then the newest of both."""
+    from .sources.landing import all_listings, parse_pages
+
+    k = F.col("o_orderkey")
+    board = F.when(k % 2 == 0, "update").otherwise("notice")
+    o = read(spark, sf, "orders").select(board.alias("board_key"), F.floor(k / 100).alias("page"), F.struct(k.alias("threadId"), F.concat(F.lit("t"), k).alias("title"), (k + 1700000000).alias("createDate")).alias("t"))
+    pages = o.groupBy("board_key", "page").agg(F.to_json(F.struct(F.collect_list("t").alias("threads"), F.count("*").alias("totalElements"))).alias("json"))
+    raw = pages.select("board_key", F.lit("1").alias("board_id"), "json")
+    parts = [parse_pages(raw.filter(F.col("board_key") == b)) for b in ("update", "notice")]
+    return all_listings([p.orderBy(F.desc("published_at")).limit(50) for p in parts], 80).select("thread_id", "board_key", "title", "published_at", "url")
+
+
+@query(
+    f"""with {EVENTS} select id, case when start_at is not null then start_at[:10] || case when end_at is not null then ' ~ ' || end_at[:10] else ' ~' end else '-' end as period,
+      case when start_at is not null and end_at is not null then 7 end::int as days, title || case when start_at is not null then ' (' || (start_at[6:7])::int || 'M)' else '' end as shown_title,
+      (event_type || ' all') as scope, (event_id % 101)::int as percent, case when event_id % 101 >= 70 then 'high' when event_id % 101 >= 40 then 'mid' else 'low' end as bucket
+    from event_records join (select event_id from events) on event_id = id"""
+)
+def timeline_rows(spark, sf):
+    from .functions.present import timeline
+
+    e = event_records(spark, sf).withColumnRenamed("title", "event_title")
+    e = e.withColumns({"note_title": F.lit("n"), "published_at": F.lit(None).cast("string"), "score": (F.col("id") % 101) / 100.0, "target_scope": F.to_json(F.struct(F.concat("event_type", F.lit(" all")).alias("raw")))})
+    return timeline(e, ("event",), "M").select("id", "period", "days", "shown_title", "scope", "percent", "bucket")
+
+
+@query(
+    """select o_orderkey as id, case when o_orderkey % 3 = 2 then '' when o_orderkey % 2 = 0 then '페넬로페' || chr(97 + (o_orderkey % 5)::int) else '아우리엘' end as keys from orders"""
+)
+def world_open_keys(spark, sf):
+    """Names of worlds that open; a stop word is no name."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 3 == 2, "전체").when(k % 2 == 0, F.concat(F.lit("페넬로페"), F.char((F.lit(97) + k % 5).cast("int")))).otherwise("아우리엘")
+    text = F.when(k % 2 == 0, F.concat(F.lit("신규 월드 "), name, F.lit(" 오픈"))).otherwise(F.concat(name, F.lit(" 서버 오픈 안내")))
+    return read(spark, sf, "orders").select(k.alias("id"), F.array_join(A.world_keys(text), ",").alias("keys"))
 
 
 # -- whole searches -----------------------------------------------------------------------------
 _corpora: dict[tuple[str, str], H.Corpus] = {}
+#: Rank of the sample queries' dense index: the decomposition holds terms x 2 ranks doubles on the driver.
+DENSE_RANK = 32
 
 
 def corpus(spark: SparkSession, sf: str) -> H.Corpus:
@@ -645,20 +774,19 @@ def corpus(spark: SparkSession, sf: str) -> H.Corpus:
     if key not in _corpora:
         at = session_folder(spark, f"corpus-{uuid.uuid4().hex}")
         n = notes(spark, sf)
-        chunks, tags = A.analyze_notes(n, ENGLISH)
-
         def kept(df: DataFrame, name: str) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{at}/{name}")
             return spark.read.parquet(f"{at}/{name}")
 
-        chunks, tags = kept(chunks, "chunks"), kept(tags, "tags")
-        # The dense index of the sample queries covers each note's title; texts are indexed sparsely.
-        titles = n.select((F.col("id") * STRIDE).alias("chunk_id"), F.col("title").alias("text"))
+        chunks = kept(A.chunk_notes(n, ENGLISH), "chunks")
+        tags = kept(A.tag_chunks(chunks, n, ENGLISH), "tags")
+        texts = kept(X.index_text(chunks, n), "texts")
         none = {c: F.lit(None).cast("string") for c in ("raw_period_text", "raw_target_text", "raw_realm_text", "target_scope", "realm_scope")}
         events = event_records(spark, sf).withColumns(none)
-        sparse = X.build_sparse(X.index_text(chunks, n), f"{at}/stage-sparse").save(f"{at}/sparse")
-        dense = D.build_dense(titles, max_rank=16, stage=f"{at}/stage-dense").save(f"{at}/dense")
-        _corpora[key] = H.Corpus(n, chunks, tags, events, sparse, dense)
+        sparse = X.build_sparse(texts).save(f"{at}/sparse")
+        dense = D.build_dense(texts, max_rank=DENSE_RANK, stage=f"{at}/stage-dense").save(f"{at}/dense")
+        rows = kept(H.search_table(chunks, n, tags), "rows")
+        _corpora[key] = H.Corpus(n, chunks, tags, kept(events, "events"), sparse, dense, rows)
     return _corpora[key]
 
 

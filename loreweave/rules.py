@@ -36,6 +36,14 @@ class RulePack:
 
 
 # Words, patterns and formats of the Korean notes.
+KOREAN_EVENTS = (
+    ("class_change_return", ("클래스 체인지 리턴",)),
+    ("class_change", ("클래스 체인지", "골드 클래스 체인지")),
+    ("attendance_event", ("출석", "출석 이벤트")),
+    ("boosting_event", ("부스팅", "올인원부스팅")),
+    ("transfer_event", ("월드 이전", "서버 이전", "월드 이동", "서버 이동")),
+    ("season_event", ("시즌", "인피니티 시즌")),
+)
 KOREAN = RulePack(
     classes=("아처", "메이지", "워리어", "어쌔신", "프리스트", "야만투사", "헌터", "환영검사"),
     world_patterns=(
@@ -53,26 +61,11 @@ KOREAN = RulePack(
         ("content", ("던전", "레이드", "퀘스트", "필드", "보스"), "content"),
         ("system", ("시스템", "이용 안내", "편의", "거래소", "우편", "UI"), "system"),
     ),
-    events=(
-        ("class_change_return", ("클래스 체인지 리턴",)),
-        ("class_change", ("클래스 체인지", "골드 클래스 체인지")),
-        ("attendance_event", ("출석", "출석 이벤트")),
-        ("boosting_event", ("부스팅", "올인원부스팅")),
-        ("transfer_event", ("월드 이전", "서버 이전", "월드 이동", "서버 이동")),
-        ("season_event", ("시즌", "인피니티 시즌")),
-    ),
+    events=KOREAN_EVENTS,
     history_types=frozenset(
         ("event", "class", "world_open", "balance", "class_change", "class_change_return", "attendance_event", "boosting_event", "transfer_event", "season_event")
     ),
-    hints=(
-        ("class_change_return", ("클래스 체인지 리턴",)),
-        ("class_change", ("클래스 체인지", "골드 클래스 체인지")),
-        ("attendance_event", ("출석", "출석 이벤트")),
-        ("boosting_event", ("부스팅", "올인원부스팅")),
-        ("transfer_event", ("월드 이전", "서버 이전", "월드 이동", "서버 이동")),
-        ("season_event", ("시즌",)),
-        ("world_open_event", ("월드 오픈", "신규 월드", "신규 서버")),
-    ),
+    hints=(*KOREAN_EVENTS[:-1], ("season_event", ("시즌",)), ("world_open_event", ("월드 오픈", "신규 월드", "신규 서버"))),
     history_words=("언제", "기간", "역대", "모두", "정리", "몇 번"),
     period_words=("기간", "언제"),
     count_words=("몇 회", "몇 번"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import Source
 from ..functions.text import content_hash
+from .staging import Stage
 from .html import html_to_text
 
 LISTING = "thread_id string, board_key string, board_id string, title string, published_at string, url string"
@@ -62,6 +63,44 @@ def pages(get: Get, board_id: str, max_items: int | None = None, pause: float =
         time.sleep(pause)
 
 
+def board_total(get: Get, board_id: str) -> int:
+    """Number of threads that the source reports for a board."""
+    return int(get("/threads", {"boardId": board_id, "pageSize": 1}).get("totalElements") or 0)
+
+
+def fetch_details(spark: SparkSession, get: Get, listing: DataFrame, pause: float = 2.0, path: str = "/thread/%s", on_host: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Raw details (board_key, board_id, json) of a listing's threads, and those that failed (url, error_message).
+
+    One request after the other with a pause, as the source asks for; a failure
+    is noted and the next thread follows.  Answers go to the shared folder every
+    ``on_host`` threads, so the driver holds no more than those.
+    """
+    stage = Stage(spark, "details")
+    raw = spark.createDataFrame([], "board_key string, board_id string, json string")
+    failed = spark.createDataFrame([], "url string, error_message string")
+    rows, lost, part = [], [], 0
+
+    def put() -> None:
+        nonlocal raw, failed, rows, lost, part
+        if rows:
+            raw = raw.unionByName(stage.table(spark.createDataFrame(rows, raw.schema), f"raw-{part}"))
+        if lost:
+            failed = failed.unionByName(stage.table(spark.createDataFrame(lost, failed.schema), f"failed-{part}"))
+        rows, lost, part = [], [], part + 1
+
+    for i, r in enumerate(listing.select("thread_id", "board_key", "board_id", "url").toLocalIterator()):
+        if i:
+            time.sleep(pause)
+        try:
+            rows.append((r["board_key"], r["board_id"], json.dumps(get(path % r["thread_id"], {"boardId": r["board_id"]}))))
+        except Exception as e:  # any failure of one thread is its own
+            lost.append((r["url"], str(e)[:500]))
+        if len(rows) + len(lost) >= on_host:
+            put()
+    put()
+    return raw, failed
+
+
 def epoch_text(seconds: Column) -> Column:
     """ISO text with the fixed offset of an epoch column, whatever the session's zone."""
     local = F.timestamp_seconds(seconds.cast("bigint")).cast("timestamp")

@@ -1,18 +1,32 @@
-"""The store: six tables as versioned Parquet folders.
+"""The store: six tables, each a list of parts that never change.
 
-Each table is ``<path>/<table>/v<number>``; a small pointer file names the
-current one.  A write makes a new version and then moves the pointer, so nothing
-is read and overwritten in one plan and readers see whole tables.
+``<path>/<table>/m<version>`` names the parts of a version, oldest first; a part
+is a folder of Parquet.  A batch adds a part with its rows and the keys they
+stand for; rows of older parts with those keys are superseded, which readers see
+by one join on the key.  So a batch writes what it brings, not the whole table.
+Once there are ``MOST_PARTS`` the next write folds them into one.
+
+A version is published by a rename that fails if another writer was first; the
+loser looks at the new version and tries again.  Readers see whole versions; the
+parts of the version before stay for those who still read them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import CHUNKS, EVENTS, NOTE_IDS, NOTES, RUN_ITEMS, RUNS, TABLES, TAGS, conform
+from .. import schema
+from ..schema import CHUNKS, EVENTS, NOTES, RUN_ITEMS, RUNS, TABLES, TAGS, conform
+from .files import file_system, hadoop_path, numbered, publish, text_of
+
+#: What a part's rows stand for; items are only ever added.
+KEYS = {"notes": "id", "chunks": "note_id", "tags": "note_id", "events": "note_id", "runs": "id", "run_items": None}
+MOST_PARTS = 8
 
 
 def now_text() -> str:
@@ -23,40 +37,98 @@ def now_text() -> str:
 class Store:
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False) -> None:
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
-        if read_only and not self._fs().exists(self._path("")):
+        if read_only and not self._fs().exists(hadoop_path(spark, self.path)):
             raise FileNotFoundError(path)
 
-    # -- files ----------------------------------------------------------------
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
+    # -- versions ---------------------------------------------------------------
     def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return file_system(self.spark, self.path)
 
     def version(self, table: str) -> int:
         """Number of the current version, 0 for a table never written."""
-        fs, folder = self._fs(), self._path(table)
-        if not fs.exists(folder):
-            return 0
-        return max((int(n[1:]) for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n[:1] == "p" and n[1:].isdigit()), default=0)
+        return max(numbered(self.spark, f"{self.path}/{table}", "m"), default=0)
 
-    def read(self, table: str) -> DataFrame:
-        version = self.version(table)
-        if not version:
-            return self.spark.createDataFrame([], TABLES[table])
-        # Columns added to the schema later are null in older files.
-        return conform(self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/v{version}"), TABLES[table])
+    def versions(self) -> tuple[int, ...]:
+        return tuple(self.version(t) for t in TABLES)
 
-    def write(self, table: str, df: DataFrame) -> None:
+    def _parts(self, table: str, version: int) -> list[str]:
+        return json.loads(text_of(self.spark, f"{self.path}/{table}/m{version}")) if version else []
+
+    def _publish(self, table: str, version: int, parts: list[str]) -> bool:
+        if not publish(self.spark, f"{self.path}/{table}", f"m{version}", json.dumps(parts)):
+            return False
+        if version > 2:  # the version before stays for its readers
+            old, kept = self._parts(table, version - 2), {*parts, *self._parts(table, version - 1)}
+            for part in set(old) - kept:
+                self._fs().delete(hadoop_path(self.spark, f"{self.path}/{table}/{part}"), True)
+            self._fs().delete(hadoop_path(self.spark, f"{self.path}/{table}/m{version - 2}"), True)
+        return True
+
+    def _part(self, table: str, df: DataFrame, owners: DataFrame | None) -> str:
         if self.read_only:
             raise PermissionError("the store is open for reading only")
-        version = self.version(table) + 1
-        conform(df, TABLES[table]).write.mode("overwrite").parquet(f"{self.path}/{table}/v{version}")
-        fs = self._fs()
-        fs.create(self._path(f"{table}/p{version}"), True).close()
-        for old in (f"{table}/p{version - 2}", f"{table}/v{version - 2}"):  # the version before stays for its readers
-            if version > 2:
-                fs.delete(self._path(old), True)
+        name = f"part-{uuid.uuid4().hex}"
+        at = f"{self.path}/{table}/{name}"
+        conform(df, TABLES[table]).write.parquet(f"{at}/rows")
+        if owners is not None:
+            owners.distinct().write.parquet(f"{at}/owners")
+        return name
+
+    # -- tables -------------------------------------------------------------------
+    def _rows(self, table: str, part: str) -> DataFrame:
+        # Columns added to the schema later are null in older files.
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{part}/rows")
+
+    def _merged(self, table: str, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[table])
+        if len(parts) == 1:
+            return self._rows(table, parts[0])
+        key = KEYS[table]
+        rows = self._rows(table, parts[0]).withColumn("_part", F.lit(0))
+        owners = None
+        for i, part in enumerate(parts[1:], 1):
+            rows = rows.unionByName(self._rows(table, part).withColumn("_part", F.lit(i)))
+            if key:
+                own = self.spark.read.parquet(f"{self.path}/{table}/{part}/owners").select(key, F.lit(i).alias("_last"))
+                owners = own if owners is None else owners.unionByName(own)
+        if key:
+            last = owners.groupBy(key).agg(F.max("_last").alias("_last"))
+            rows = rows.join(last, key, "left").filter(F.coalesce("_last", "_part") == F.col("_part"))
+        return rows.select(*conform(rows, TABLES[table]).columns)
+
+    def read(self, table: str) -> DataFrame:
+        return conform(self._merged(table, self._parts(table, self.version(table))), TABLES[table])
+
+    def write(self, table: str, df: DataFrame) -> None:
+        """Put ``df`` in place of the whole table."""
+        part = self._part(table, df, None)
+        while not self._publish(table, self.version(table) + 1, [part]):
+            pass
+
+    def put(self, table: str, df: DataFrame, owners: DataFrame | None = None, after: int | None = None) -> DataFrame | None:
+        """Add rows in place of all rows with their keys, and of ``owners`` (key) even if those have none; returns the rows.
+
+        With ``after`` only if that is still the current version, else None.
+        """
+        key = KEYS[table]
+        if self.version(table) and len(self._parts(table, self.version(table))) >= MOST_PARTS:
+            self._fold(table)
+            if after is not None:
+                after += 1
+        part = self._part(table, df, None if key is None else (owners if owners is not None else df).select(key))
+        while True:
+            version = self.version(table)
+            if after is not None and version != after:
+                return None
+            if self._publish(table, version + 1, [*self._parts(table, version), part]):
+                return self._rows(table, part)
+
+    def _fold(self, table: str) -> None:
+        version = self.version(table)
+        parts = self._parts(table, version)
+        one = self._part(table, self._merged(table, parts), None)
+        self._publish(table, version + 1, [one])  # if another writer was first, the next one folds
 
     def init(self) -> None:
         """Make missing tables; those that exist stay as they are."""
@@ -72,49 +144,62 @@ class Store:
     run_items = property(lambda self: self.read("run_items"))
 
     # -- notes ------------------------------------------------------------------
-    def upsert_notes(self, changed: DataFrame, at: str | None = None) -> None:
-        """Insert new urls; of known ones update board, title, hash, texts and time, but not the date published."""
+    def new_ids(self, urls: DataFrame) -> DataFrame:
+        """(url, id) for new urls: a hash, drawn again for those whose hash is taken."""
+        taken, todo, out = self.notes.select("id"), urls.select("url").distinct(), None
+        attempt = 0
+        while True:
+            drawn = F.xxhash64("url") if not attempt else F.xxhash64("url", F.lit(attempt))
+            got = todo.withColumn("id", F.pmod(drawn, F.lit(schema.NOTE_IDS))).groupBy("id").agg(F.min("url").alias("url"))
+            got = got.join(taken, "id", "left_anti").select("url", "id")
+            out = got if out is None else out.unionByName(got)
+            todo = todo.join(got.select("url"), "url", "left_anti")
+            if todo.isEmpty():
+                return out
+            taken = taken.unionByName(got.select("id"))
+            attempt += 1
+
+    def upsert_notes(self, changed: DataFrame, at: str | None = None) -> DataFrame:
+        """Insert new urls; of known ones update board, title, hash, texts and time, but not the date published.
+
+        Of several rows of a url the latest published one counts.  Returns the notes written.
+        """
         at = at or now_text()
-        old = self.notes
-        ids = F.pmod(F.xxhash64("url"), F.lit(NOTE_IDS))
-        new = conform(changed.drop("id"), NOTES).withColumns({"id": ids, "collected_at": F.lit(at), "created_at": F.lit(at), "updated_at": F.lit(at), "source_site": F.coalesce("source_site", F.lit("web"))})
-        new = new.withColumn("source_board", F.coalesce("source_board", F.lit("update")))
+        latest = Window.partitionBy("url").orderBy(F.desc("published_at"), F.asc("content_hash"))
+        new = conform(changed, NOTES).withColumn("_at", F.row_number().over(latest)).filter("_at = 1").drop("_at", "id")
+        old = self.notes.join(new.select("url"), "url", "left_semi")
+        ids = self.new_ids(new.select("url").join(old.select("url"), "url", "left_anti"))
+        new = new.withColumns({"collected_at": F.lit(at), "created_at": F.lit(at), "updated_at": F.lit(at), "source_site": F.coalesce("source_site", F.lit("web")), "source_board": F.coalesce("source_board", F.lit("update"))})
         fresh = ("source_board", "title", "content_hash", "raw_html", "plain_text", "collected_at", "updated_at")
-        both = old.alias("o").join(new.alias("n"), F.col("o.url") == F.col("n.url"), "full_outer")
-        known, came = F.col("o.url").isNotNull(), F.col("n.url").isNotNull()
-        columns = [F.when(known & ~(came & F.lit(c in fresh)), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in old.columns]
-        merged = both.select(*columns)
-        self.write("notes", merged)
-        twice = self.notes.groupBy("id").count().filter("count > 1")
-        if not twice.isEmpty():
-            raise ValueError("two urls have one id")
+        both = new.alias("n").join(old.alias("o"), F.col("o.url") == F.col("n.url"), "left").join(ids.alias("i"), F.col("i.url") == F.col("n.url"), "left")
+        known = F.col("o.url").isNotNull()
+        columns = [F.coalesce("o.id", "i.id").alias("id") if c == "id" else F.when(known & ~F.lit(c in fresh), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in old.columns]
+        return self.put("notes", both.select(*columns))
 
     def update_texts(self, texts: DataFrame) -> None:
         """Put (id, plain_text) in place."""
-        new = texts.select("id", F.col("plain_text").alias("_text"), F.lit(True).alias("_new"))
-        merged = self.notes.join(new, "id", "left").withColumn("plain_text", F.when(F.col("_new"), F.col("_text")).otherwise(F.col("plain_text")))
-        self.write("notes", merged)
+        self.put("notes", self.notes.drop("plain_text").join(texts.select("id", "plain_text"), "id"))
 
     def replace_children(self, note_ids: DataFrame, chunks: DataFrame, tags: DataFrame, events: DataFrame) -> None:
         """Chunks, tags and events of the notes (id) go, the given ones come."""
-        owners = note_ids.select(F.col("id").alias("note_id")).distinct()
-        for table, schema, rows in (("chunks", CHUNKS, chunks), ("tags", TAGS, tags), ("events", EVENTS, events)):
-            kept = self.read(table).join(owners, "note_id", "left_anti")
-            self.write(table, conform(kept, schema).unionByName(conform(rows, schema)))
+        owners = note_ids.select(F.col("id").alias("note_id"))
+        for table, rows in (("chunks", conform(chunks, CHUNKS)), ("tags", conform(tags, TAGS)), ("events", conform(events, EVENTS))):
+            self.put(table, rows, owners)
 
     # -- runs ---------------------------------------------------------------------
     def start_run(self, run_type: str = "scheduled", at: str | None = None) -> int:
-        run_id = (self.runs.agg(F.max("id")).first()[0] or 0) + 1
-        row = self.spark.createDataFrame([(run_id, run_type, at or now_text(), "running", 0, 0, 0, 0)], "id bigint, run_type string, started_at string, status string, scanned_count int, inserted_count int, updated_count int, error_count int")
-        self.write("runs", self.runs.unionByName(conform(row, RUNS)))
-        return run_id
+        while True:
+            version = self.version("runs")
+            run_id = (self.runs.agg(F.max("id")).first()[0] or 0) + 1
+            row = self.spark.createDataFrame([(run_id, run_type, at or now_text(), "running", 0, 0, 0, 0)], "id bigint, run_type string, started_at string, status string, scanned_count int, inserted_count int, updated_count int, error_count int")
+            if self.put("runs", conform(row, RUNS), after=version) is not None:
+                return run_id
 
     def finish_run(self, run_id: int, status: str = "success", scanned: int = 0, inserted: int = 0, updated: int = 0, errors: int = 0, note: str | None = None, at: str | None = None) -> None:
-        mine = F.col("id") == run_id
         values = {"finished_at": at or now_text(), "status": status, "scanned_count": scanned, "inserted_count": inserted, "updated_count": updated, "error_count": errors, "note": note}
-        self.write("runs", self.runs.withColumns({c: F.when(mine, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}))
+        self.put("runs", self.runs.filter(F.col("id") == run_id).withColumns({c: F.lit(v) for c, v in values.items()}))
 
     def record_items(self, run_id: int, items: DataFrame) -> None:
         """Append (url, action, status, error_message) of a run."""
         rows = items.withColumns({"run_id": F.lit(run_id).cast("bigint"), "id": F.xxhash64(F.lit(run_id), "url", "action", "status")})
-        self.write("run_items", self.run_items.unionByName(conform(rows, RUN_ITEMS)))
+        self.put("run_items", conform(rows, RUN_ITEMS))

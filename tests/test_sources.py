@@ -2,10 +2,16 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from loreweave import cli, config
+from loreweave import cli, config, schema
+from loreweave.functions import present
+from loreweave.operators.dense import DenseIndex, build_dense, dense_few, term_counts, unit_rows
+from loreweave.plans import jobs, review
 from loreweave.sources import landing
+from loreweave.sources import store as store_module
+from loreweave.sources.files import publish
 from loreweave.sources.html import visible_text
 from loreweave.sources.store import Store
 from loreweave.streaming.ingest import stream_ingest
@@ -27,7 +33,7 @@ def test_paging_follows_markers_until_nothing_is_new(spark):
         asked.append(params)
         return answers[len(asked) - 1]
 
-    got = landing.fetch_board(spark, get, "update", "2830", pause=0).orderBy("thread_id").collect()
+    got = landing.fetch_board(spark, get, "update", "7", pause=0).orderBy("thread_id").collect()
     assert [r["thread_id"] for r in got] == ["100", "101"] and len(asked) == 3
     assert asked[1]["blockStartKey"] == "a,b" and got[0]["published_at"] == "2026-01-01T09:01:40+09:00" and got[0]["url"] == "/update/100"
 
@@ -57,7 +63,7 @@ def test_details(spark):
 def test_config():
     s = config.load({"BOARD_TARGETS": "a:1, b:2,bad", "TOP_K": "x", "DEFAULT_PREFER_LATEST": "no", "STORE_URL": "sqlite:///data/x"})
     assert s.source.board_targets == (("a", "1"), ("b", "2")) and s.query.top_k == 8 and not s.policy.default_prefer_latest and s.store_path == "data/x"
-    assert config.load({}).source.board_targets == (("update", "2830"),)
+    assert config.load({}).source.board_targets == (("update", ""),)
     assert config.store_path("") == "data/notes" and config.store_path("/abs") == "/abs"
 
 
@@ -91,3 +97,117 @@ def test_command_line(spark, tmp_path):
     text = "\n".join(said)
     assert "inserted=1" in text and "notes: 1" in text and "거래소 안내" in text and "processed=0" in text
     assert cli.safe_text("가", "ascii") == "?"
+
+
+def notes_of(spark, *rows):
+    return spark.createDataFrame([(u, t, p, x) for u, t, p, x in rows], "url string, title string, published_at string, plain_text string")
+
+
+def test_note_ids_are_drawn_again_where_taken(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(schema, "NOTE_IDS", 16)
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.upsert_notes(notes_of(spark, *((f"u/{i}", "t", "2026-01-01", "x") for i in range(6))))
+    before = {r["url"]: r["id"] for r in store.notes.collect()}
+    store.upsert_notes(notes_of(spark, *((f"u/{i}", "new", "2026-01-02", "y") for i in range(4, 14))))
+    rows = store.notes.collect()
+    assert len(rows) == 14 == len({r["id"] for r in rows})
+    assert all(r["id"] == before[r["url"]] for r in rows if r["url"] in before)
+    known = next(r for r in rows if r["url"] == "u/5")
+    assert (known["title"], known["published_at"]) == ("new", "2026-01-01")
+
+
+def test_batches_add_parts_that_supersede(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_PARTS", 3)
+    store = Store(spark, f"file://{tmp_path}/store")
+    chunk = lambda n, *texts: spark.createDataFrame([(n * 10 + i, n, i, t) for i, t in enumerate(texts)], "id long, note_id long, chunk_index int, chunk_text string")
+    owner = lambda *ids: spark.createDataFrame([(i,) for i in ids], "note_id long")
+    want = {}
+    for step in range(8):
+        n = step % 3
+        texts = [f"{step}-{k}" for k in range(step % 4)]
+        store.put("chunks", chunk(n, *texts) if texts else chunk(n, "x").limit(0), owner(n))
+        want[n] = texts
+        got = {}
+        for r in store.chunks.orderBy("id").collect():
+            got.setdefault(r["note_id"], []).append(r["chunk_text"])
+        assert got == {k: v for k, v in want.items() if v}
+    assert len(store._parts("chunks", store.version("chunks"))) <= 3
+    at = store.version("chunks")
+    assert store.put("chunks", chunk(9, "a"), after=at - 1) is None and store.version("chunks") == at
+    assert publish(spark, f"{store.path}/chunks", f"m{at}", "[]") is False
+
+
+def test_a_url_twice_in_a_batch_counts_once(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    got = jobs.run_ingestion(store, notes_of(spark, ("u/1", "old", "2026-01-01", "a"), ("u/1", "new", "2026-01-02", "b")), rebuild=False)
+    assert got["inserted"] == 1 and [r["plain_text"] for r in store.notes.collect()] == ["b"]
+
+
+def test_crawl_fetches_details_and_tries_failures_again(spark, tmp_path):
+    asked, broken = [], {"101"}
+
+    def get(path, params):
+        asked.append(path)
+        if path == "/threads":
+            return {"threads": [thread(100), thread(101)], "totalElements": 2}
+        number = path.rsplit("/", 1)[1]
+        if number in broken:
+            raise OSError("timed out")
+        return {"threadId": number, "title": f"t{number}", "createDate": 1, "content": f"<p>text {number}</p>"}
+
+    settings = config.Settings(source=config.Source(board_targets=(("update", "7"),)), ingestion=config.Ingestion(2))
+    store = Store(spark, f"file://{tmp_path}/store")
+    run = lambda: jobs.crawl(store, get, settings=settings, pause=0, rebuild=False)
+    first = run()
+    assert (first["inserted"], first["errors"], first["status"]) == (1, 1, "partial_success")
+    second = run()
+    assert (second["skipped"], second["errors"]) == (1, 1)
+    third = run()  # failed twice: not asked for any more
+    assert (third["errors"], third["status"]) == (0, "success") and asked.count("/thread/101") == 2
+    assert landing.board_total(get, "7") == 2
+    assert review.source_parity(store, get, settings.source) == [{"board": "update", "store": 1, "source": 2, "match": False}]
+
+
+def test_indexes_are_kept_until_a_version_changes(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    jobs.run_ingestion(store, notes_of(spark, ("u/1", "거래소 안내", "2026-01-01T00:00:00+09:00", "거래소 수수료는 3퍼센트입니다.")))
+    one = jobs.load_corpus(store)
+    assert jobs.load_corpus(store) is one
+    jobs.build_indexes(store)
+    assert jobs.load_corpus(store) is not one
+    empty = DenseIndex.load(spark, f"file://{tmp_path}/nowhere")
+    assert dense_few(empty, ["거래소"], 3) == {}
+
+
+def test_presentation(spark):
+    rows = [
+        ("클래스 체인지: 상세", "n", "2025-03-12T05:00:00+09:00", "2025-03-26T04:59:59+09:00", None, '{"raw": "전체 클래스"}', 0.756),
+        (None, "공지", None, None, "2025-01-02T00:00:00+09:00", None, 0.4),
+        ("a very long title in front of: the rest", None, "2025-03-12T05:00:00+09:00", None, None, "{no json", 0.1),
+        ("봄 이벤트 (3월)", None, "2025-03-12T05:00:00+09:00", "2025-03-12T06:00:00+09:00", None, "모두", 0.7),
+    ]
+    df = spark.createDataFrame(rows, "event_title string, note_title string, start_at string, end_at string, published_at string, target_scope string, score double")
+    got = [tuple(r) for r in present.timeline(df, ("클래스 체인지", "이벤트"), "월").select("period", "days", "shown_title", "scope", "percent", "bucket").collect()]
+    assert got == [
+        ("2025-03-12 ~ 2025-03-26", 14, "클래스 체인지 (3월)", "전체 클래스", 76, "high"),
+        ("2025-01-02", None, "공지", "-", 40, "mid"),
+        ("2025-03-12 ~", None, "a very long title in front of: the rest", "{no json", 10, "low"),
+        ("2025-03-12 ~ 2025-03-12", None, "봄 이벤트 (3월)", "모두", 70, "high"),
+    ]
+    assert present.recent(["b", "a"], "a", 2) == ["a", "b"]
+
+
+def test_dense_index_equals_the_whole_decomposition(spark):
+    rng = np.random.default_rng(3)
+    words = [f"word{chr(97 + i)}x" for i in range(26)]
+    texts = [(i, " ".join(rng.choice(words[(i % 3) * 8 : (i % 3) * 8 + 10], 12))) for i in range(30)]
+    df = spark.createDataFrame(texts, "chunk_id long, text string")
+    index = build_dense(df, max_rank=5)
+    terms = {r["term"]: k for k, r in enumerate(index.terms.orderBy("term").collect())}
+    matrix = np.zeros((30, len(terms)))
+    for r in unit_rows(term_counts(df, "chunk_id"), index.terms, "chunk_id").collect():
+        matrix[r["chunk_id"], terms[r["term"]]] = r["w"]
+    u, s, _ = np.linalg.svd(matrix, full_matrices=False)
+    want = u[:, :5] * s[:5]
+    got = np.array([r["vector"] for r in index.vectors.orderBy("chunk_id").collect()])
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-2)
