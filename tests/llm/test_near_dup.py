@@ -12,6 +12,7 @@ from loreweave.llm import near_dup, wordvec
 from loreweave.llm.decontaminate import contamination
 from loreweave.llm.exact_dedup import exact_duplicates
 from loreweave.llm.near_dup import near_duplicates
+from loreweave.operators import skew
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 SCHEMA = "doc_id long, text string, label string, rep long, key string, component_id long"
@@ -85,6 +86,19 @@ def test_small_buckets_give_the_same(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(spark, table(spark, rows)).collect()} == {i: c for i, (_, c, _) in brute_classes(rows).items()}
 
 
+def test_hot_keys_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 4)
+    monkeypatch.setattr(skew, "HOT_PARTS", 50)
+    rows = corpus(4)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(spark, table(spark, rows)).collect()} == {i: c for i, (_, c, _) in brute_classes(rows).items()}
+    copies = [(i, "same" if i % 3 else f"text {i % 7}") for i in range(120)] + [(5, "same"), (None, "same")]
+    got = exact_duplicates(table(spark, copies)).collect()
+    assert len(got) == len(copies)
+    for r in got:
+        ids = [i for i, t in copies if hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"]]
+        assert r["group_size"] == len(ids) and r["keep_id"] == max(i for i in ids if i is not None)
+
+
 def test_odd_rows(spark):
     long = "w" * 3_000_000 + " " + "x y " * 300_000
     rows = [(1, long), (2, long + " z"), (3, None), (3, None), (None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e")]

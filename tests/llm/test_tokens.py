@@ -118,11 +118,54 @@ def test_neighbours_share_words_and_fill_windows():
     used = np.zeros(6, dtype=bool)
     used[0] = True
     assert set(index.neighbours(0, used)) == {2, 4}
-    assert index.neighbours(5, used) == []
+    assert list(index.neighbours(5, used)) == []
     order = packing.retrieval_order(index, np.array([3, 3, 3, 3, 3, 3]), window=9)
     assert sorted(order) == list(range(6)) and set(order[:3]) == {0, 2, 4}
 
 
+def bm25(words, counts):
+    """Score of each document for each document's words, word by word."""
+    docs, n = np.split(words, np.cumsum(counts)[:-1]), len(counts)
+    df = {w: sum(w in d for d in docs) for w in set(words.tolist())}
+    out = np.zeros((n, n))
+    for i in range(n):
+        for j in range(n):
+            for w in set(docs[i].tolist()):
+                tf = (docs[j] == w).sum()
+                if tf and df[w] > 1:
+                    out[i, j] += np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * counts[j] / counts.mean()))
+    return out
+
+
+def test_all_scores_and_orders_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(packing, "EXPANDED", 50)
+    monkeypatch.setattr(packing, "FIRST", 3)
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 40):
+        counts = rng.integers(1, 12, n)
+        words = rng.integers(1, 25, counts.sum()).astype(np.uint64)
+        index = packing.Bm25(words, counts)
+        want = bm25(words, counts)
+        assert np.allclose(index.score_all(), want, atol=1e-4)
+        used = rng.random(n) < 0.3
+        for seed in range(n):
+            got = list(index.neighbours(seed, used))
+            assert set(got) == set(np.flatnonzero((want[seed] > 0) & ~used).tolist())
+            assert all(want[seed, a] >= want[seed, b] - 1e-4 for a, b in zip(got, got[1:]))
+
+
+def test_documents_with_a_rare_word_in_common_meet(spark):
+    rng = random.Random(4)
+    common = lambda: " ".join(rng.choice(["red", "blue", "sky", "tree"]) for _ in range(60))
+    rows = [(i, f"{common()} rareword{i % 50}x") for i in range(200)] + [(900, None), (901, "")]
+    near = packing.route(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    place = {r["doc_id"]: k for k, r in enumerate(near)}
+    assert len(near) == 202
+    for k in range(50):
+        at = sorted(place[i] for i in range(k, 200, 50))
+        assert at[-1] - at[0] == 3
+
+
 def test_bm25_equals_the_formula():
     docs = [["a", "b", "a"], ["a", "c"], ["b", "c", "d", "d"]]
     code = {w: np.uint64(i + 1) for i, w in enumerate("abcd")}
