@@ -38,12 +38,14 @@ from .tokens import engine, token_ids
 
 WINDOW = 1024
 END = 0
-SHARD_BYTES, SHARD_ROWS = 8 << 20, 8192
+SHARD_BYTES, SHARD_ROWS = 8 << 20, 4096
 K1, B = 1.2, 0.75
 #: Words in more than this share of a shard's documents have dense rows of weights.
-FREQUENT = 0.125
+FREQUENT = 0.05
+#: Postings added up at once, and neighbours sorted first.
+EXPANDED, FIRST = 2_000_000, 32
 #: Documents of one routing word that may meet in one place; more are dealt into parts.
-ROUTED = 8192
+ROUTED = 512
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -61,48 +63,52 @@ class Bm25:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * counts / max(counts.mean() if n else 1.0, 1e-9))
         weight = idf[word] * tf * (K1 + 1) / (tf + norm[doc])
-        own = np.argsort(doc, kind="stable")
-        shared = df[word[own]] > 1
-        self.own_word = word[own][shared]
-        self.own_bounds = np.searchsorted(doc[own][shared], np.arange(n + 1))
-        self.n, self.words = n, len(vocabulary)
-        self._keep(np.arange(n), word, doc, weight)
-
-    def _keep(self, alive: np.ndarray, word: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
-        """Postings of the documents ``alive`` alone; ``doc`` are places in it."""
-        self.alive, self.word, self.doc, self.weight = alive, word, doc, weight
-        df = np.bincount(word, minlength=self.words)
+        self.n, self.word, self.doc, self.weight, self.df = n, word, doc, weight.astype(np.float32), df
         self.bounds = np.concatenate([[0], np.cumsum(df)])
-        often = np.flatnonzero(df > max(FREQUENT * len(alive), 1))
-        self.dense_row = np.full(self.words, -1, dtype=np.int64)
-        self.dense_row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(alive)), dtype=np.float32)
-        row = self.dense_row[word]
-        self.dense[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
-
-    def forget(self, used: np.ndarray) -> None:
-        """Drop postings of used documents once they are half of all."""
-        left = ~used[self.alive]
-        if 2 * np.count_nonzero(left) > len(self.alive):
-            return
-        place = np.cumsum(left) - 1
-        some = left[self.doc]
-        self._keep(self.alive[left], self.word[some], place[self.doc[some]], self.weight[some])
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+        self.scores: np.ndarray | None = None
+
+    def score_all(self) -> np.ndarray:
+        """BM25 of every document (column) for every document's words (row).
+
+        Frequent words are multiplied as dense rows, the others by their postings,
+        rows of some documents at a time; words of one document say nothing.
+        """
+        n, often = self.n, self.df > max(FREQUENT * self.n, 1)
+        row = np.cumsum(often) - 1
+        dense = np.zeros((int(often.sum()), n), dtype=np.float32)
+        some = often[self.word]
+        dense[row[self.word[some]], self.doc[some]] = self.weight[some]
+        scores = (dense > 0).astype(np.float32).T @ dense
+        rare = np.flatnonzero(~some & (self.df[self.word] > 1))
+        rare = rare[np.argsort(self.doc[rare], kind="stable")]
+        many = self.df[self.word[rare]]
+        upto = np.searchsorted(self.doc[rare], np.arange(n + 1))
+        expanded = np.concatenate([[0], np.cumsum(many)])
+        low = 0
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(expanded[upto], expanded[upto[low]] + EXPANDED, side="right")) - 1)
+            high = min(high, low + max(EXPANDED // n, 1), n)
+            own = slice(upto[low], upto[high])
+            total = int(expanded[upto[high]] - expanded[upto[low]])
+            start = self.bounds[self.word[rare[own]]]
+            at = np.repeat(start - (expanded[own] - expanded[upto[low]]), many[own]) + np.arange(total)
+            flat = np.repeat((self.doc[rare[own]] - low) * n, many[own]) + self.doc[at]
+            scores[low:high] += np.bincount(flat, self.weight[at], (high - low) * n).reshape(high - low, n).astype(np.float32)
+            low = high
+        return scores
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """Unused documents that share a word with ``seed``, best first, ties by order."""
-        self.forget(used)
-        words = self.own_word[self.own_bounds[seed] : self.own_bounds[seed + 1]]
-        row = self.dense_row[words]
-        score = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float64)
-        rare = words[row < 0]
-        low, high = self.bounds[rare], self.bounds[rare + 1]
-        spans = [slice(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
-        if spans:
-            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.alive))
-        score[used[self.alive]] = 0
-        found = np.flatnonzero(score > 0)
-        return self.alive[found[np.argsort(-score[found], kind="stable")]]
+        if self.scores is None:
+            self.scores = self.score_all()
+        score = self.scores[seed]
+        found = np.flatnonzero((score > 0) & ~used)
+        if len(found) > 2 * FIRST:  # most windows need but the first few
+            least = np.partition(score[found], len(found) - FIRST)[len(found) - FIRST]
+            first, rest = found[score[found] >= least], found[score[found] < least]
+            yield from first[np.argsort(-score[first], kind="stable")].tolist()
+            found = rest
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def retrieval_order(index: Bm25, lengths: np.ndarray, window: int = WINDOW) -> list[int]:
@@ -130,7 +136,7 @@ def retrieval_order(index: Bm25, lengths: np.ndarray, window: int = WINDOW) -> l
             seed = fresh
             take(seed)
         after = -1
-        for doc in index.neighbours(seed, used).tolist():
+        for doc in index.neighbours(seed, used):
             if take(doc):
                 after = doc
                 break
