@@ -38,12 +38,12 @@ from .tokens import engine, token_ids
 
 WINDOW = 1024
 END = 0
-SHARD_BYTES, SHARD_ROWS = 8 << 20, 4096
+SHARD_BYTES, SHARD_ROWS = 8 << 20, 2048
 K1, B = 1.2, 0.75
 #: Words in more than this share of a shard's documents have dense rows of weights.
 FREQUENT = 0.05
 #: Postings added up at once, and neighbours sorted first.
-EXPANDED, FIRST = 2_000_000, 32
+EXPANDED, FIRST = 1_000_000, 32
 #: Documents of one routing word that may meet in one place; more are dealt into parts.
 ROUTED = 512
 
