@@ -104,7 +104,7 @@ def notes_of(spark, *rows):
 
 
 def test_note_ids_are_drawn_again_where_taken(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(schema, "NOTE_IDS", 16)
+    monkeypatch.setattr(schema, "NOTE_IDS", 64)
     store = Store(spark, f"file://{tmp_path}/store")
     store.upsert_notes(notes_of(spark, *((f"u/{i}", "t", "2026-01-01", "x") for i in range(6))))
     before = {r["url"]: r["id"] for r in store.notes.collect()}
