@@ -337,7 +337,10 @@ def test_store_round_trip_versions_and_conflicts(spark, tmp_path):
 def test_shard_table_and_odd_rows(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, None, 6), (None, "é", 7), (3, "x" * 300_000, 8)], "doc_id long, text string, run long")
     got = shard_table(spark, rows, f"file://{tmp_path}/a", target_bytes=100_000, small_bytes=1000).collect()
-    assert sorted((r["n_bytes"] for r in got)) == [0, 1, 1, 2, 300_000] and {r["shard_tier"] for r in got} <= {0, 1}
+    assert sorted((r["n_bytes"] for r in got)) == [0, 1, 1, 2, 300_000]
+    # A tier is a size: the long row's run is of another one than the small rows' runs.
+    tier = ShardStore(spark, f"file://{tmp_path}/a", target_bytes=100_000, small_bytes=1000).tier_of(300_000)
+    assert {(r["n_bytes"] == 300_000, r["shard_tier"]) for r in got} <= {(True, tier), (False, tier), (False, 0)} and tier == 5
     assert shard_table(spark, rows.limit(0), f"file://{tmp_path}/b").count() == 0
     plan = shard_table(spark, rows, f"file://{tmp_path}/c")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
