@@ -10,7 +10,8 @@ class RulePack:
     """Keyword rules of one language.
 
     ``topics``: (type, any of these words, key or None for the section's title).
-    ``events``: (type, any of these words).
+    ``events``: (type, any of these words).  ``event_words``: (type of a record, groups
+    of words, of each of which the text has one); the first that applies counts.
     """
 
     classes: tuple[str, ...] = ()
@@ -20,6 +21,10 @@ class RulePack:
     topics: tuple[tuple[str, tuple[str, ...], str | None], ...] = ()
     events: tuple[tuple[str, tuple[str, ...]], ...] = ()
     strong_prefix: str = "class_change"
+    event_words: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = ()
+    open_words: tuple[tuple[str, ...], ...] = ()
+    open_tag: str = "world_open"
+    open_event: str = "world_open_event"
     history_types: frozenset[str] = frozenset()
     fallback: str = "system"
     hints: tuple[tuple[str, tuple[str, ...]], ...] = ()
@@ -62,6 +67,15 @@ KOREAN = RulePack(
         ("system", ("시스템", "이용 안내", "편의", "거래소", "우편", "UI"), "system"),
     ),
     events=KOREAN_EVENTS,
+    event_words=(
+        ("class_change_return", (("클래스 체인지 리턴",),)),
+        ("class_change", (("클래스 체인지",), ("진행 기간", "계정당", "골드 클래스 체인지"))),
+        ("attendance_event", (("출석",), ("기간",))),
+        ("boosting_event", (("부스팅",), ("기간",))),
+        ("transfer_event", (("이전", "이동"), ("월드", "서버"), ("기간",))),
+        ("season_event", (("시즌",), ("기간",))),
+    ),
+    open_words=(("월드 오픈",), ("신규", "오픈")),
     history_types=frozenset(
         ("event", "class", "world_open", "balance", "class_change", "class_change_return", "attendance_event", "boosting_event", "transfer_event", "season_event")
     ),

@@ -86,12 +86,12 @@ def test_command_line(spark, tmp_path):
     said = []
     at = f"file://{tmp_path}/s"
     landed = tmp_path / "in.json"
-    landed.write_text(json.dumps({"board_key": "update", "board_id": "1", "json": json.dumps({"threadId": 1, "title": "거래소 안내", "createDate": 0, "content": "<p>거래소 수수료는 3퍼센트입니다.</p>"})}))
+    landed.write_text(json.dumps({"board_key": "update", "board_id": "1", "json": json.dumps({"threadId": 1, "title": "거래소 안내", "createDate": 0, "content": "<p>거래소 이용료가 5퍼센트로 바뀝니다.</p>"})}))
     run = lambda *a: cli.main(["--store", at, *a], spark, said.append)
     run("init")
     run("ingest", f"file://{landed}")
     run("status")
-    run("search", "거래소 수수료")
+    run("search", "거래소 이용료")
     run("enrich")
     run("review")
     text = "\n".join(said)
@@ -170,7 +170,7 @@ def test_crawl_fetches_details_and_tries_failures_again(spark, tmp_path):
 
 def test_indexes_are_kept_until_a_version_changes(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
-    jobs.run_ingestion(store, notes_of(spark, ("u/1", "거래소 안내", "2026-01-01T00:00:00+09:00", "거래소 수수료는 3퍼센트입니다.")))
+    jobs.run_ingestion(store, notes_of(spark, ("u/1", "거래소 안내", "2026-01-01T00:00:00+09:00", "거래소 이용료가 5퍼센트로 바뀝니다.")))
     one = jobs.load_corpus(store)
     assert jobs.load_corpus(store) is one
     jobs.build_indexes(store)
