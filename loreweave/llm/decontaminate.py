@@ -9,7 +9,8 @@ its words if it has fewer).
 2. Prefix: all shingles of a window must occur where it occurs, so its rarest one
    alone is a necessary token: the prefix of its shingles in order of rarity.
 3. Join: documents give every place where a prefix shingle stands, with the words
-   around it; these are joined with the windows by shingle.  A hot shingle (of a
+   around it; these are joined with the windows by shingle.  Up to ``SENT_WINDOWS``
+   windows are broadcast; beyond, both sides are shuffled and a hot shingle (of a
    passage in a third of all documents) is dealt over tasks.
 4. Verification: the place of the shingle in the window fixes where it would start;
    the positional bound (not before the text's first word) and the length bound (as
@@ -40,9 +41,11 @@ from .sketch import BitTable, bit_table
 from ..operators.skew import hot_keys, spread_join
 from ..sources.staging import Stage, bounded_broadcast
 
-WINDOW, SHINGLE = 10, 3
+WINDOW, SHINGLE = 10, 5
 #: Rows of a batch sent to the JVM.
 TOGETHER = 10_000
+#: Windows (some 100 bytes each) up to which they travel to the places of their shingles; beyond, both are shuffled.
+SENT_WINDOWS = 50_000
 
 _WINDOWS = "item string, window string, width int, size int, shingles array<long>"
 _PLACES = "row long, doc_id long, digest string, n_words long, place long, before int, shingle long, around string"
@@ -147,7 +150,7 @@ def _places(sizes: list[int], table: BitTable):
 _NAMES = [c.split()[0] for c in _PLACES.split(", ")]
 
 
-def _joined(stage: Stage, texts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _joined(stage: Stage, texts: DataFrame, items: DataFrame, sent_windows: int) -> tuple[DataFrame, DataFrame]:
     """(documents by row with doc_id and n_words; occurrences: row, digest, begin, end, window, items)."""
     windows = items.mapInArrow(_windows, _WINDOWS)
     windows = windows.groupBy("window").agg(F.first("width").alias("width"), F.first("size").alias("size"), F.first("shingles").alias("shingles"), F.collect_set("item").alias("items"))
@@ -167,9 +170,12 @@ def _joined(stage: Stage, texts: DataFrame, items: DataFrame) -> tuple[DataFrame
     sums = keys.agg(F.count("*").alias("keys"), F.sum("n").alias("places")).first()
     found = stage.table(texts.mapInArrow(_places(sizes, bit_table(keys, "shingle", sums["keys"])), _PLACES), "places")
 
-    hot = hot_keys(stage, "hot", keys, ["shingle"], "n", sums["places"] or 0)
-    places = found.filter("place is not null")
-    near = spread_join(places.select("row", "digest", "place", "before", "shingle", "around"), prefix, ["shingle"], hot, F.xxhash64("row", "place"))
+    places = found.filter("place is not null").select("row", "digest", "place", "before", "shingle", "around")
+    if prefix.count() <= sent_windows:
+        near = places.join(F.broadcast(prefix), "shingle")
+    else:
+        hot = hot_keys(stage, "hot", keys, ["shingle"], "n", sums["places"] or 0)
+        near = spread_join(places, prefix, ["shingle"], hot, F.xxhash64("row", "place"))
     start = F.col("before") - F.col("at")
     words = F.split("around", " ")
     fits = (start >= 0) & (start + F.col("width") <= F.size(words))
@@ -183,28 +189,28 @@ def _tables(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
     return texts, benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
 
 
-def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", sent_windows: int = SENT_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without a hit, columns as they are.
 
     A row is judged by its text: SHA-256 digests of the texts with a hit are
     looked up, so rows that share an id do not pass for each other.
     """
     stage = Stage(spark, "uncontaminated")
-    _, near = _joined(stage, *_tables(docs, benchmark, id_col, text_col, item_col, item_text_col))
+    _, near = _joined(stage, *_tables(docs, benchmark, id_col, text_col, item_col, item_text_col), sent_windows)
     bad = stage.table(near.select(F.col("digest").alias("_digest")).distinct(), "bad")
     stage.drop("windows", "rarity", "prefix", "places", "hot")
     own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
     return docs.join(bounded_broadcast(bad, bad.count()), own == F.col("_digest"), "left_anti")
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", sent_windows: int = SENT_WINDOWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, items, spans, contaminated.
 
     ``spans`` are the hit words as begin, end, begin, end ..., ``items`` the item
     ids as sorted strings.
     """
     stage = Stage(spark, "contamination")
-    rows, near = _joined(stage, *_tables(docs, benchmark, id_col, text_col, item_col, item_text_col))
+    rows, near = _joined(stage, *_tables(docs, benchmark, id_col, text_col, item_col, item_text_col), sent_windows)
     near = stage.table(near.distinct(), "occurrences")
     # Overlapping and adjacent occurrences of a document are one span.
     order = Window.partitionBy("row").orderBy("begin", "end")

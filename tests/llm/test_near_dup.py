@@ -185,7 +185,9 @@ def brute_hits(docs, items, size=10):
     return sorted(out, key=str)
 
 
-def test_hits_equal_brute_force(spark):
+@pytest.mark.parametrize("sent_windows", [50_000, 0])
+def test_hits_equal_brute_force(spark, sent_windows, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 2)
     rng = random.Random(8)
     word = lambda: rng.choice(["the", "of", "and", "rare", "é", "42"]) + rng.choice(["", "", "x", "y", "z"])
     items = [(k, " ".join(word() for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for k in range(40)] + [(100, None), (101, "Alpha-beta; gamma"), (None, "zzz qqq"), (3, "twice named item")]
@@ -200,7 +202,7 @@ def test_hits_equal_brute_force(spark):
         docs.append((i, " ".join(x.upper() if rng.random() < 0.2 else x for x in w)))
     docs += [(500, None), (501, ""), (502, "alpha BETA gamma"), (502, "alpha BETA gamma"), (None, "zzz, qqq!"), (503, "alpha beta"), (504, "filler " * 300_000 + "alpha beta gamma")]
     bench = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, doc_id long")
-    got = contamination(spark, table(spark, docs), bench)
+    got = contamination(spark, table(spark, docs), bench, sent_windows=sent_windows)
     assert all(sum(b - a for a, b in zip(r["spans"][::2], r["spans"][1::2])) == r["n_hit"] and r["spans"] == sorted(set(r["spans"])) for r in got.collect())
     rows = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()), key=str)
     assert rows == brute_hits(docs, items)
