@@ -146,7 +146,11 @@ class DistanceModel:
         return 1 / (1 + np.exp(-np.clip((x - self.mean) / self.spread @ self.weights + self.constant, -30, 30)))
 
     def calibrate(self, texts: list[str | None], label: np.ndarray, odds: float) -> None:
-        """Thresholds from ordinary texts, then the logistic function by Newton's steps; ``odds`` of label 1 in the whole."""
+        """Thresholds from ordinary texts, then the logistic function by Newton's steps; ``odds`` of label 1 in the whole.
+
+        Prior odds lie halfway (in logarithms) between those of the labels and even
+        ones: a toxic text that escapes counts more than an ordinary one reported.
+        """
         parts = list(self.windows(pa.array(texts, pa.large_string())))
         owner = np.concatenate([low + o for low, _, o, _ in parts])
         saved = np.concatenate([s for *_, s in parts])
@@ -164,7 +168,7 @@ class DistanceModel:
             if np.abs(step).max() < 1e-6:
                 break
         ones = label.sum()
-        self.weights, self.constant = w[:-1], float(w[-1] + math.log(odds) - math.log(ones / (len(label) - ones)))
+        self.weights, self.constant = w[:-1], float(w[-1] + math.log(odds) / 2 - math.log(ones / (len(label) - ones)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = TRAIN_PER_LABEL) -> DistanceModel | None:
