@@ -43,7 +43,7 @@ LEVEL = 9
 WINDOW, STEP = 8, 6
 #: Largest dictionaries, and bytes of text for each byte of one.
 ORDINARY_BYTES, TOXIC_BYTES = 1_000_000, 32_768
-ORDINARY_RATIO, TOXIC_RATIO = 4, 80
+ORDINARY_RATIO, TOXIC_RATIO = 20, 60
 #: Segment and match lengths of the trainer, and bytes of one training sample.
 SEGMENT, MATCH, SAMPLE = 16, 8, 1000
 #: Shares of ordinary windows below the two thresholds.
