@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .language import identify
@@ -14,6 +15,7 @@ from .packing import pack
 from .quality import score_quality
 from .secret_scan import find_secrets
 from .sharding import FANOUT, SMALL_BYTES, TARGET_BYTES, WAVES, shard_table
+from .spelling import spelling_variants
 from ..sources.staging import Stage
 from .tokens import count_tokens
 from .toxicity import score_toxicity
@@ -64,6 +66,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("saving")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(spark, _read(spark, sf_dir, "documents"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_near_dedup,
@@ -76,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_secret_scan,
         op10_toxicity,
+        op11_spelling_variants,
+        op13_bpe_round_trip,
     )
     return {f.__name__: f for f in found}
 
