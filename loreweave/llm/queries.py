@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
+from .collocations import collocations
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .language import identify
@@ -70,6 +71,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(spark, _read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark, _read(spark, sf_dir, "documents"))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_secret_scan,
         op10_toxicity,
         op11_spelling_variants,
+        op12_collocations,
         op13_bpe_round_trip,
     )
     return {f.__name__: f for f in found}
@@ -105,6 +111,21 @@ ORACLE = {
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
         from d window w as (partition by text_sha256)""",
+    "op12_collocations": r"""
+        with p as (select coalesce(lang, 'und') as lang,
+                          unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+             w as (select lang, regexp_extract_all(piece, '[^ \t]+') as ws from p),
+             g as (select lang, ws[i:i + k - 1] as g from w, (select unnest([1, 2, 3, 4]) as k), unnest(range(1, len(ws) - k + 2)) t(i)),
+             f as (select lang, g, count(*) as f from g group by all having count(*) >= 30),
+             n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+             c as (select lang, g, f as a from f where len(g) > 1),
+             s as (select lang, g[i:i + m - 1] as g, max(f) as longer from f, (select unnest([2, 3]) as m), unnest(range(1, len(g) - m + 2)) t(i) where m < len(g) group by all),
+             k as (select c.lang, c.g, c.a, cut, x.f as l, y.f as r, (2000000::hugeint * c.a // (x.f + y.f))::bigint as score
+                   from c, unnest(range(1, len(c.g))) t(cut) join f x on x.lang = c.lang and x.g = c.g[1:cut] join f y on y.lang = c.lang and y.g = c.g[cut + 1:]),
+             b as (select lang, array_to_string(g, ' ') as phrase, a, l, r, score from k where not exists (select 1 from s where s.lang = k.lang and s.g = k.g and 100 * s.longer >= 80 * k.a)
+                   qualify row_number() over (partition by lang, g order by score, cut) = 1)
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from b join n using (lang)
+        qualify rank <= 2000""",
 }
 assert FANOUT <= WAVES  # waves are of similar size and merge into one run, as the SQL of op6 has it
 

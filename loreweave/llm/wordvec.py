@@ -59,8 +59,7 @@ ALNUM_WORDS = _byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-#: Value of each byte in the polynomial; A-Z count as a-z.
-_VALUES = _sequence(7, 256)[_LOWER]
+
 
 def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole documents: (first row, end row, bytes, offsets from 0).
@@ -89,10 +88,10 @@ def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def _hashes(low: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _hashes(low: np.ndarray, first: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of each run of bytes; ``low`` has eight bytes to spare at its end."""
     eight = np.ndarray(len(low) - 7, dtype="<u8", buffer=low, strides=(1,))
-    state = mix64(length.astype(np.uint64) * np.uint64(_BASE))
+    state = mix64(length.astype(np.uint64) * np.uint64(_BASE) ^ np.uint64(seed))
     alive = np.flatnonzero(length <= LONG_WORD)
     at = 0
     while len(alive):
@@ -101,11 +100,11 @@ def _hashes(low: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarra
         at += 8
         alive = alive[left > 8]
     for k in np.flatnonzero(length > LONG_WORD).tolist():
-        state[k] = int.from_bytes(hashlib.blake2b(low[first[k] : first[k] + length[k]], digest_size=8).digest(), "little")
+        state[k] = int.from_bytes(hashlib.blake2b(low[first[k] : first[k] + length[k]], digest_size=8, key=seed.to_bytes(8, "little") if seed else b"").digest(), "little")
     return state
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a block: (hash, first byte, end byte, words per document); A-Z count as a-z."""
     n = len(raw)
     docs = len(offsets) - 1
@@ -121,7 +120,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
     low = np.zeros(n + 8, dtype=np.uint8)
     low[:n] = _LOWER[raw]
     bounds = np.searchsorted(first, offsets)
-    return _hashes(low, first, end - first), first, end, np.diff(bounds) if docs else np.zeros(0, np.int64)
+    return _hashes(low, first, end - first, seed), first, end, np.diff(bounds) if docs else np.zeros(0, np.int64)
 
 
 #: Odd multipliers of the places in a window of words.
