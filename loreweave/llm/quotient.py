@@ -6,8 +6,8 @@ permuted pair are the cell, the next ones the quotient, and all others the
 remainder, which is kept in full; so a filter gives back its n-grams exactly.
 
 A filter has one bit for each quotient that occurs, one bit for each entry that
-ends its quotient's run, the remainders as byte planes, and a byte for each
-count (255: the count follows in a list).  Entries are in order of the permuted
+ends its quotient's run, the remainders as planes of bits, one bit for each
+count above 1 and a byte for those (255: the count follows in a list).  Entries are in order of the permuted
 pair, so filters of one cell merge in order and their counts add up.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 
 from .wordvec import mix64
 
-_HEAD = struct.Struct("<IBBI")
+_HEAD = struct.Struct("<IBBII")
 _MANY = 255
 _KEYS = [np.uint64(k) for k in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
@@ -75,14 +75,27 @@ def tallied(left: np.ndarray, right: np.ndarray, bits: tuple[int, int], counts:
 
 
 def _planes(values: np.ndarray, bits: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)].T).tobytes()
+    """Each bit of all values, then the next bit."""
+    return b"".join(np.packbits((values >> np.uint64(k) & np.uint64(1)).astype(bool)).tobytes() for k in range(bits))
 
 
-def _unplaned(data: memoryview, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
-    width = -(-bits // 8)
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
-    return out.reshape(-1).view("<u8").astype(np.uint64, copy=False), at + n * width
+class _Reader:
+    def __init__(self, data: bytes | memoryview) -> None:
+        self.data, self.at = memoryview(data), 0
+
+    def take(self, kind: str, n: int) -> np.ndarray:
+        out = np.frombuffer(self.data, kind, n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def bits(self, n: int) -> np.ndarray:
+        return np.unpackbits(self.take("u1", -(-n // 8)), count=n)
+
+    def planes(self, n: int, bits: int) -> np.ndarray:
+        out = np.zeros(n, dtype=np.uint64)
+        for k in range(bits):
+            out |= self.bits(n).astype(np.uint64) << np.uint64(k)
+        return out
 
 
 def filter_of(left: np.ndarray, right: np.ndarray, counts: np.ndarray, bits: tuple[int, int], cell_bits: int) -> bytes:
@@ -96,30 +109,26 @@ def filter_of(left: np.ndarray, right: np.ndarray, counts: np.ndarray, bits: tup
     present = np.zeros(1 << quotient_bits, dtype=bool)
     present[quotient] = True
     ends = np.append(quotient[1:] != quotient[:-1], True)[:n]
-    large = counts[counts >= _MANY]
+    more = counts[counts > 1]
+    large = more[more >= _MANY]
     return b"".join((
-        _HEAD.pack(n, quotient_bits, cell_bits, len(large)), np.packbits(present).tobytes(), np.packbits(ends).tobytes(),
-        np.minimum(counts, _MANY).astype(np.uint8).tobytes(), large.astype("<u8").tobytes(), _planes(own & _mask(rest), rest), _planes(right, bits[1]),
+        _HEAD.pack(n, quotient_bits, cell_bits, len(more), len(large)), np.packbits(present).tobytes(), np.packbits(ends).tobytes(), np.packbits(counts > 1).tobytes(),
+        np.minimum(more, _MANY).astype(np.uint8).tobytes(), large.astype("<u8").tobytes(), _planes(own & _mask(rest), rest), _planes(right, bits[1]),
     ))
 
 
 def entries(data: bytes | memoryview, cell: int, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The permuted pairs and counts of a filter, in order."""
-    data = memoryview(data)
-    n, quotient_bits, cell_bits, n_large = _HEAD.unpack_from(data)
-    at = _HEAD.size
-    present = np.unpackbits(np.frombuffer(data, np.uint8, -(-(1 << quotient_bits) // 8), at), count=1 << quotient_bits)
-    at += -(-(1 << quotient_bits) // 8)
-    ends = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n)
-    at += -(-n // 8)
-    counts = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
-    at += n
-    counts[counts == _MANY] = np.frombuffer(data, "<u8", n_large, at)
-    at += 8 * n_large
+    read = _Reader(data)
+    n, quotient_bits, cell_bits, n_more, n_large = _HEAD.unpack(read.take("u1", _HEAD.size))
+    present, ends = read.bits(1 << quotient_bits), read.bits(n)
+    counts = read.bits(n).astype(np.int64) + 1
+    more = read.take("u1", n_more).astype(np.int64)
+    more[more == _MANY] = read.take("<u8", n_large)
+    counts[counts > 1] = more
     inner = bits[0] - cell_bits
     rest = inner - quotient_bits
-    low, at = _unplaned(data, at, n, rest)
-    right, _ = _unplaned(data, at, n, bits[1])
+    low, right = read.planes(n, rest), read.planes(n, bits[1])
     quotient = np.flatnonzero(present)[np.cumsum(ends) - ends].astype(np.uint64) if n else np.zeros(0, np.uint64)
     return (np.uint64(cell) << np.uint64(inner)) | (quotient << np.uint64(rest)) | low, right, counts
 
