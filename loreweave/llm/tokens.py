@@ -9,7 +9,10 @@ token.
 Long texts are cut at safe boundaries before encoding: at a space with a
 character other than white space on both sides.  The pattern that splits text
 before the merges never joins characters across such a place, so the ids of the
-parts are the ids of the whole.  A text without such a place stays whole.
+parts are the ids of the whole.  A text without such a place stays whole.  A run
+of ``LONG_RUN`` blanks is a part too, without its last blank where something
+other than a special string follows: the pattern takes exactly that as one
+piece, but its engine goes back over every blank of it and gives up on a million.
 """
 
 from __future__ import annotations
@@ -29,7 +32,12 @@ PART_CHARS = 1 << 16
 #: Bytes of text encoded together.
 BATCH_BYTES = 1 << 20
 
+#: Blanks in a row that are taken out of a text beyond PART_CHARS.
+LONG_RUN = 4096
+
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # white space to the pattern
+_RUN = re.compile(f"[{_BLANKS}]{{{LONG_RUN},}}")
 _engines: dict[tuple[str, str | None], object] = {}
 
 
@@ -57,16 +65,31 @@ def engine(name: str = "byte_bpe_50k", folder: str | None = None):
     return _engines[name, folder]
 
 
-def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """``text`` in order, cut at safe boundaries into parts of about ``size`` characters."""
+def parts(text: str, size: int = PART_CHARS, special: tuple[str, ...] = ()) -> Iterator[str]:
+    """``text`` in order, cut at safe boundaries into parts of about ``size`` characters, long runs of blanks by themselves."""
+    if len(text) <= size:
+        yield text
+        return
+    low = 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text) and not text.startswith(special, run.end()))
+        yield from _cut(text[low : run.start()], size)
+        yield text[run.start() : end]
+        low = end
+    yield from _cut(text[low:], size)
+
+
+def _cut(text: str, size: int) -> Iterator[str]:
     at = 0
-    while len(text) - at > size:
-        cut = _SAFE.search(text, at + size)
-        if cut is None:
-            break
+    while len(text) - at > size and (cut := _SAFE.search(text, at + size)):
         yield text[at : cut.start()]
         at = cut.start()
-    yield text[at:] if at else text
+    if at < len(text):
+        yield text[at:]
+
+
+def _is_run(part: str) -> bool:
+    return len(part) >= LONG_RUN - 1 and not part.strip(_BLANKS)
 
 
 def token_ids(text: str | None, encoder) -> np.ndarray:
@@ -75,14 +98,19 @@ def token_ids(text: str | None, encoder) -> np.ndarray:
         return np.zeros(0, dtype=np.uint32)
     if len(text) <= PART_CHARS:
         return encoder.encode_to_numpy(text, allowed_special="all")
-    return np.concatenate([encoder.encode_to_numpy(p, allowed_special="all") for p in parts(text)])
+    cut = parts(text, PART_CHARS, tuple(encoder.special_tokens_set))
+    return np.concatenate([np.array(encoder._encode_single_piece(p), dtype=np.uint32) if _is_run(p) else encoder.encode_to_numpy(p, allowed_special="all") for p in cut])
 
 
 def batch_lengths(texts: list[str | None], encoder) -> np.ndarray:
     """Number of ids of each text: one batch call over the parts of all of them."""
-    cut = [list(parts(t)) if t else [] for t in texts]
-    counts = np.array([len(ids) for ids in encoder.encode_batch([p for c in cut for p in c], num_threads=1, allowed_special="all")], dtype=np.int64)
-    return np.bincount(np.repeat(np.arange(len(cut)), [len(c) for c in cut]), counts, len(cut)).astype(np.int64)
+    special = tuple(encoder.special_tokens_set)
+    cut = [(i, p) for i, t in enumerate(texts) if t for p in parts(t, PART_CHARS, special)]
+    runs = [(i, len(encoder._encode_single_piece(p))) for i, p in cut if _is_run(p)]
+    rest = [(i, p) for i, p in cut if not _is_run(p)]
+    ids = encoder.encode_batch([p for _, p in rest], num_threads=1, allowed_special="all")
+    owner = [i for i, _ in runs] + [i for i, _ in rest]
+    return np.bincount(np.array(owner, dtype=np.int64), [n for _, n in runs] + [len(x) for x in ids], len(texts)).astype(np.int64)
 
 
 def balanced(sizes: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:

@@ -56,6 +56,21 @@ def test_safe_parts_give_the_ids_of_the_whole(monkeypatch):
     assert tokens.token_ids(long, engine).tolist() == library_ids(long)
 
 
+def test_long_runs_of_blanks(spark):
+    engine = tokens.engine()
+    for blank in (" ", "\n", "\t", " \n", "\u3000", "\xa0 "):
+        run = blank * (300_000 // len(blank))
+        for text in (f"word{run}end", run, f"a{run}", f"{run}b c", f"x{run}<|endoftext|>{run}y {run}", f"{run}\x1c{run}"):
+            assert tokens.token_ids(text, engine).tolist() == library_ids(text)
+    for blank in (" ", "\t", "\n", " \t\n"):
+        text = "word" + blank * 2_000_000 + "end"
+        assert engine.decode(tokens.token_ids(text, engine).tolist()) == text
+    rows = [(1, "word" + " " * 2_000_000 + "end"), (2, "\n" * 1_500_000), (3, "a b")]
+    counts = {r["doc_id"]: r["n_tokens"] for r in count_tokens(table(spark, rows)).collect()}
+    assert counts == {i: len(tokens.token_ids(t, engine)) for i, t in rows}
+    assert sum(r["length"] for r in pack(table(spark, rows)).collect()) == sum(counts.values()) + 3
+
+
 def test_counts(spark):
     rows = [*enumerate(ODD), (3, "again"), (None, "no id"), (99, "long text " * 60_000)]
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in count_tokens(table(spark, rows)).collect()), key=str)
