@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import Stage
 
 # -- filters -----------------------------------------------------------------
 def in_dates(df: DataFrame, date_from: str | None, date_to: str | None, column: str = "published_at") -> DataFrame:
@@ -99,12 +100,21 @@ def filter_chunk_ids(chunks: DataFrame, notes: DataFrame, tags: DataFrame, topic
 
 def event_rows(events: DataFrame, notes: DataFrame, chunks: DataFrame, topic: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Event records with note and chunk; the type filter is on the event's type."""
+    return with_chunk_text(owned_events(events, notes, topic, date_from, date_to), chunks)
+
+
+def owned_events(events: DataFrame, notes: DataFrame, topic: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """Event records with their note, without texts of chunks."""
     if topic:
         events = events.filter(F.col("event_type") == topic)
     owned = events.withColumnsRenamed({"id": "event_record_id", "title": "event_title"}).join(
         notes.select(F.col("id").alias("note_id"), F.col("title").alias("note_title"), "published_at", "url"), "note_id"
     )
-    owned = overlapping(owned, date_from, date_to)
+    return overlapping(owned, date_from, date_to)
+
+
+def with_chunk_text(owned: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``owned_events`` with section and text of their chunk, or their own where there is none."""
     parts = chunks.select(F.col("id").alias("chunk_id"), "section_title", "chunk_text")
     rows = owned.join(parts, "chunk_id", "left")
     return rows.withColumns(
@@ -133,6 +143,26 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def globally_ranked(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place (from 1) in an order over the whole table, without a task that holds it.
+
+    Rows are dealt to ranges of the order and written sorted; each range's rank
+    starts after the sizes of the ranges before it (one number a range).
+    """
+    stage = Stage(rows.sparkSession, "ranked")
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    table = stage.table(sorted_rows, "rows")
+    part = F.shiftright("_row", 33)  # the number of the range; below it the row's place in the range
+    sizes = sorted((r["part"], r["n"]) for r in table.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_part bigint, _before bigint")
+    out = table.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_row", "_before")
+
+
 # -- ingestion state ----------------------------------------------------------
 def failures(items: DataFrame) -> DataFrame:
     return items.filter("status = 'failed'").groupBy("url").agg(F.count("*").alias("failures"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import slots as S
 from .functions import text as T
 from .operators import analyze as A
+from .operators import clusters as C
 from .operators import dense as D
 from .operators import relational as R
 from .operators import search as H
@@ -510,6 +511,17 @@ def doc_texts(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+_indexes: dict[tuple[str, str], X.SparseIndex] = {}
+
+
+def text_index(spark: SparkSession, sf: str) -> X.SparseIndex:
+    """Sparse index of the texts of ``documents``, built once a session and read from disk after that."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = X.build_sparse(doc_texts(spark, sf)).save(session_folder(spark, f"texts-{uuid.uuid4().hex}"))
+    return _indexes[key]
+
+
 @query(f"with {FEATURES} select feature, sum(n)::bigint as n, count(*) as documents from feat group by feature")
 def char_ngrams(spark, sf):
     return X.feature_counts(doc_texts(spark, sf)).groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
@@ -517,17 +529,17 @@ def char_ngrams(spark, sf):
 
 @query(f"with {FEATURES} select feature, df, round(idf, 6) as idf from idf")
 def sparse_idf(spark, sf):
-    return X.build_sparse(doc_texts(spark, sf)).idf.select("feature", "df", r6(F.col("idf")).alias("idf"))
+    return text_index(spark, sf).idf.select("feature", "df", r6(F.col("idf")).alias("idf"))
 
 
 @query(f"with {FEATURES} select chunk_id, round(norm, 6) as norm from norms")
 def sparse_norms(spark, sf):
-    return X.build_sparse(doc_texts(spark, sf)).norms.select("chunk_id", r6(F.col("norm")).alias("norm"))
+    return text_index(spark, sf).norms.select("chunk_id", r6(F.col("norm")).alias("norm"))
 
 
 @query(f"with {FEATURES} select chunk_id, count(*) as features, round(sum(weight), 6) as total, round(max(weight), 6) as largest, round(sum(tf), 6) as tf from post group by chunk_id")
 def sparse_tfidf_weights(spark, sf):
-    p = X.build_sparse(doc_texts(spark, sf)).postings
+    p = text_index(spark, sf).postings
     return p.groupBy("chunk_id").agg(F.count("*").alias("features"), r6(F.sum("weight")).alias("total"), r6(F.max("weight")).alias("largest"), r6(F.sum("tf")).alias("tf"))
 
 
@@ -541,7 +553,7 @@ def sparse_tfidf_weights(spark, sf):
     select qid, chunk_id, round(score, 6) as score from s where score > 0 qualify row_number() over (partition by qid order by round(score, 10) desc, chunk_id) <= 5"""
 )
 def sparse_search_batch(spark, sf):
-    index = X.build_sparse(doc_texts(spark, sf))
+    index = text_index(spark, sf)
     questions = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return X.search_sparse(index, questions, 5).select("qid", "chunk_id", r6(F.col("score")).alias("score"))
 
@@ -550,10 +562,15 @@ def sparse_search_batch(spark, sf):
 COSINE = "list_dot_product(a.embedding::double[], b.embedding::double[]) / nullif(sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])), 0)"
 
 
-def _cosines(spark: SparkSession, sf: str, asked: Column, k: int | None = None) -> DataFrame:
+def _clusters(spark: SparkSession, sf: str) -> C.Clusters:
     v = read(spark, sf, "embeddings")
-    q = v.filter(asked).select(F.col("vec_id").alias("qid"), F.col("embedding").cast(D.VECTOR).alias("q"))
-    return D._against(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast(D.VECTOR).alias("vector")), q, "qid", k)
+    return C.clustered(Stage(spark, "clusters"), v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast(D.VECTOR).alias("vector")))
+
+
+def _cosines(spark: SparkSession, sf: str, asked: Column, k: int) -> DataFrame:
+    """The ``k`` nearest of all vectors for each of the asked ones."""
+    q = read(spark, sf, "embeddings").filter(asked).select(F.col("vec_id").alias("qid"), F.col("embedding").cast(D.VECTOR).alias("q"))
+    return C.nearest(_clusters(spark, sf), q, k)
 
 
 @query(
@@ -561,26 +578,28 @@ def _cosines(spark: SparkSession, sf: str, asked: Column, k: int | None = None)
     where score > 0 qualify row_number() over (partition by qid order by round(score, 10) desc, chunk_id) <= 10"""
 )
 def dense_cosine_topk(spark, sf):
-    scored = _cosines(spark, sf, F.col("vec_id") % 50 == 0, 10)
-    return D.top_scores(scored, 10).select("qid", "chunk_id", r6(F.col("score")).alias("score"))
+    return _cosines(spark, sf, F.col("vec_id") % 50 == 0, 10).select("qid", "chunk_id", r6(F.col("score")).alias("score"))
+
+
+_NEAR = f"""c as (select a.vec_id as v, b.vec_id as chunk_id, coalesce({COSINE}, 0) as score from embeddings a, embeddings b where a.vec_id % 50 < 3 and {COSINE} > 0
+    qualify row_number() over (partition by a.vec_id order by round(score, 10) desc, b.vec_id) <= 30)"""
 
 
 @query(
-    f"""with c as (select a.vec_id as v, b.vec_id as chunk_id, coalesce({COSINE}, 0) as score from embeddings a, embeddings b where a.vec_id % 50 < 2),
-    s as (select v as qid, chunk_id, score from c where v % 50 = 0 and score > 0), d as (select v - 1 as qid, chunk_id, score from c where v % 50 = 1 and score > 0)
+    f"""with {_NEAR}, s as (select v as qid, chunk_id, score from c where v % 50 = 0), d as (select v - 1 as qid, chunk_id, score from c where v % 50 = 1)
     select qid, chunk_id, round(coalesce(s.score, 0) * 0.55 + coalesce(d.score, 0) * 0.45, 6) as similarity from s full outer join d using (qid, chunk_id)"""
 )
 def hybrid_merge(spark, sf):
     """Every vector divisible by 50 as sparse question, the next one as its dense question."""
-    c = _cosines(spark, sf, F.col("vec_id") % 50 < 2)
+    c = _cosines(spark, sf, F.col("vec_id") % 50 < 2, 30)
     dense = c.filter("qid % 50 = 1").withColumn("qid", F.col("qid") - 1)
     return H.blend(c.filter("qid % 50 = 0"), dense, "qid").select("qid", "chunk_id", r6(F.col("similarity")).alias("similarity"))
 
 
-@query(f"select a.vec_id // 50 * 50 as qid, b.vec_id as chunk_id, round(max({COSINE}), 6) as score from embeddings a, embeddings b where a.vec_id % 50 < 3 and {COSINE} > 0 group by all")
+@query(f"with {_NEAR} select v // 50 * 50 as qid, chunk_id, round(max(score), 6) as score from c group by all")
 def variant_max_merge(spark, sf):
     """Every vector divisible by 50 and the two after it as variants of one question."""
-    c = _cosines(spark, sf, F.col("vec_id") % 50 < 3).withColumn("qid", F.floor(F.col("qid") / 50) * 50)
+    c = _cosines(spark, sf, F.col("vec_id") % 50 < 3, 30).withColumn("qid", F.floor(F.col("qid") / 50) * 50)
     return H.best_variant(c, "qid").select("qid", "chunk_id", r6(F.col("score")).alias("score"))
 
 
@@ -667,7 +686,7 @@ def history_order(spark, sf):
 
     top = read(spark, sf, "events").orderBy(F.desc("value"), "event_id").limit(20)
     hits = top.withColumns({"source_type": F.when(F.col("event_type") == "click", "event_record").otherwise("chunk"), "published_at": F.col("ts").cast("string")})
-    order = Window.orderBy(*H.policy_columns(True), F.desc("value"), "event_id")
+    order = Window.orderBy(*H.policy_columns(F.lit(True), F.lit(True)), F.desc("value"), "event_id")
     return hits.select("event_id", F.row_number().over(order).cast("bigint").alias("place"))
 
 
@@ -702,20 +721,16 @@ def event_structured_bonus(spark, sf):
     f"""with {NOTES}, {CHUNKS}, {TAGS} select c.id as chunk_id, row_number() over (order by published_at desc, chunk_index, c.id) as place from chunks c join notes n on n.id = c.note_id"""
 )
 def search_row_order(spark, sf):
-    from pyspark.sql import Window
-
-    rows = R.search_rows(whole_chunks(spark, sf), notes(spark, sf), label_tags(spark, sf))
-    return rows.select("chunk_id", F.row_number().over(Window.orderBy(*R.search_order(rows))).cast("bigint").alias("place"))
+    rows = R.search_rows(whole_chunks(spark, sf), notes(spark, sf), label_tags(spark, sf)).select("chunk_id", "chunk_index", "published_at")
+    return R.globally_ranked(rows, R.search_order(rows)).select("chunk_id", "place")
 
 
 @query(
     f"""with {NOTES}, {EVENTS} select e.id as event_record_id, row_number() over (order by coalesce(start_at, published_at) desc, e.id) as place from event_records e join notes n on n.id = e.note_id"""
 )
 def event_row_order(spark, sf):
-    from pyspark.sql import Window
-
-    rows = R.event_rows(event_records(spark, sf), notes(spark, sf), whole_chunks(spark, sf))
-    return rows.select("event_record_id", F.row_number().over(Window.orderBy(*R.event_order())).cast("bigint").alias("place"))
+    rows = R.owned_events(event_records(spark, sf), notes(spark, sf)).select("event_record_id", "start_at", "published_at")
+    return R.globally_ranked(rows, R.event_order()).select("event_record_id", "place")
 
 
 # -- listings and presentation --------------------------------------------------------------------
@@ -763,17 +778,16 @@ def world_open_keys(spark, sf):
 
 
 # -- whole searches -----------------------------------------------------------------------------
-_corpora: dict[tuple[str, str], H.Corpus] = {}
-#: Rank of the sample queries' dense index: the decomposition holds terms x 2 ranks doubles on the driver.
-DENSE_RANK = 32
+_corpora: dict[tuple[str, str, str], H.Corpus] = {}
 
 
 def corpus(spark: SparkSession, sf: str) -> H.Corpus:
     """Analysed tables and both indexes of ``documents``, built once a session and read from disk after that."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, "texts")
     if key not in _corpora:
         at = session_folder(spark, f"corpus-{uuid.uuid4().hex}")
         n = notes(spark, sf)
+
         def kept(df: DataFrame, name: str) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{at}/{name}")
             return spark.read.parquet(f"{at}/{name}")
@@ -781,21 +795,139 @@ def corpus(spark: SparkSession, sf: str) -> H.Corpus:
         chunks = kept(A.chunk_notes(n, ENGLISH), "chunks")
         tags = kept(A.tag_chunks(chunks, n, ENGLISH), "tags")
         texts = kept(X.index_text(chunks, n), "texts")
-        none = {c: F.lit(None).cast("string") for c in ("raw_period_text", "raw_target_text", "raw_realm_text", "target_scope", "realm_scope")}
-        events = event_records(spark, sf).withColumns(none)
         sparse = X.build_sparse(texts).save(f"{at}/sparse")
-        dense = D.build_dense(texts, max_rank=DENSE_RANK, stage=f"{at}/stage-dense").save(f"{at}/dense")
+        dense = D.build_dense(texts, stage=f"{at}/stage-dense").save(f"{at}/dense")
         rows = kept(H.search_table(chunks, n, tags), "rows")
-        _corpora[key] = H.Corpus(n, chunks, tags, kept(events, "events"), sparse, dense, rows)
+        _corpora[key] = H.Corpus(n, chunks, tags, kept(_typed_events(spark, sf), "events"), sparse, dense, rows)
     return _corpora[key]
 
 
-@query()
+def _typed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Event records of types that questions can name."""
+    none = {c: F.lit(None).cast("string") for c in ("raw_period_text", "raw_target_text", "raw_realm_text", "target_scope", "realm_scope")}
+    kind = F.when(F.col("event_type") == "click", "season_event").when(F.col("event_type") == "purchase", "boosting_event").otherwise(F.col("event_type"))
+    return event_records(spark, sf).withColumns(none | {"event_type": kind})
+
+
+def vector_corpus(spark: SparkSession, sf: str) -> H.Corpus:
+    """Documents as whole chunks, with ``embeddings`` as their vectors; built once a session."""
+    key = (spark.sparkContext.applicationId, sf, "vectors")
+    if key not in _corpora:
+        at = session_folder(spark, f"vectors-{uuid.uuid4().hex}")
+        n, chunks = notes(spark, sf), whole_chunks(spark, sf)
+        tags = A.tag_chunks(chunks, n, ENGLISH)
+        stage = Stage(spark, "vectors")
+        rows = stage.table(H.search_table(chunks, n, tags), "rows")
+        given = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast(D.VECTOR).alias("vector"))
+        clusters = C.clustered(stage, given.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")).save(f"{at}/clusters")
+        dense = D.DenseIndex(None, None, len(clusters.centres), clusters=clusters)
+        _corpora[key] = H.Corpus(n, chunks, tags, stage.table(_typed_events(spark, sf), "events"), X.build_sparse(X.index_text(chunks, n)).save(f"{at}/sparse"), dense, rows)
+    return _corpora[key]
+
+
+#: What is put before the text of every fifth item, so that questions have hints, policies, spellings, periods and counts.
+_OPENINGS = ("", "when was the license of the patchnote changed ", "how often is a season token given, archer ", "maintenance of the boost period ", "secret password ")
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    opening = F.element_at(F.array(*map(F.lit, _OPENINGS)), (F.col("item_id") % len(_OPENINGS) + 1).cast("int"))
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.concat(opening, "text").alias("text"))
+
+
+def _hits(got: H.Answers) -> DataFrame:
+    scores = (r6(F.col(c)).alias(c) for c in ("similarity", "recency", "policy_bonus", "structured_bonus", "final_score"))
+    return got.hits.select("qid", F.col("place").cast("bigint").alias("place"), "source_type", "source_id", "policy", *scores)
+
+
+def _features_sql(name: str, table: str, key: str) -> str:
+    """(key, feature, n) of a table with key and text."""
+    return f"""{name}_tok as (select {key}, tok, count(*) as n from (select {key}, unnest(regexp_extract_all(lower(text), '[가-힣A-Za-z0-9]+')) as tok from {table}) group by all),
+    {name} as (select {key}, feature, sum(n)::bigint as n from (select {key}, n, unnest(['t:' || tok] || list_transform(range(1, length(tok)), lambda i: 'c:' || substr(tok, i, 2))
+      || list_transform(range(1, length(tok) - 1), lambda i: 'c:' || substr(tok, i, 3)) || list_transform(range(1, length(tok) - 2), lambda i: 'c:' || substr(tok, i, 4))) as feature from {name}_tok) group by all)"""
+
+
+def _rules_sql(table: str, key: str, place: str) -> str:
+    """(key, topic_type, topic_key) of the English pack's rules over a table's text; the fallback where none applies."""
+    parts = [f"select {key}, 'class' as topic_type, '{c}' as topic_key from {table} where contains(text, '{c}')" for c in ENGLISH.classes]
+    for kind, words, name in (*ENGLISH.topics, *((kind, words, None) for kind, words in ENGLISH.events)):
+        test = " or ".join(f"contains(text, '{w}')" for w in words)
+        parts.append(f"select {key}, '{kind}', {place if name is None else repr(name)} from {table} where {test}")
+    return f"select * from ({' union all '.join(parts)}) union all select {key}, 'system', 'system' from {table} where {key} not in (select {key} from ({' union all '.join(parts)}))"
+
+
+_KEEPING = ", ".join(repr(t) for t in sorted(ENGLISH.history_types | {"event", "class", "world_open", "balance"}))
+_ANY = lambda words, text="text": "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
+_SHARE = "coalesce(len(list_intersect(q.tokens, list_distinct(regexp_extract_all(lower({}), '[가-힣A-Za-z0-9]+')))) / nullif(len(q.tokens), 0)::double, 0)"
+_FINAL = " + ".join(f"{{}} * case when q.keeps then {H.WEIGHTS['preserve_history'][n]} else {H.WEIGHTS['prefer_latest'][n]} end" for n in ("similarity", "recency", "policy", "structured"))
+_AGO = "greatest(0, 1 - least(greatest(0, date_diff('day', {}[:10]::date, latest[:10]::date)) / 365.0, 1))"
+_CHUNK_TEXT = "concat_ws(' ', nullif(title, ''), nullif(section_title, ''), nullif(chunk_text, ''))"
+_RECORD_TEXT = "coalesce(c.chunk_text, r.summary, r.event_title)"
+
+_SEARCH = f"""with {NOTES}, {CHUNKS}, {EVENTS},
+  q0 as (select item_id as qid, {list(_OPENINGS)}[item_id % {len(_OPENINGS)} + 1] || text as text from benchmark),
+  qr as ({_rules_sql("q0", "qid", "text")}),
+  q as (select qid, text, list_distinct(regexp_extract_all(lower(text), '[가-힣A-Za-z0-9]+')) as tokens,
+      list_filter([{", ".join(f"case when contains(text, '{h[1][0]}') then '{h[0]}' end" for h in ENGLISH.hints)}], lambda x: x is not null) as hints,
+      {_ANY(ENGLISH.history_words)} or qid in (select qid from qr where topic_type in ({_KEEPING})) as keeps from q0),
+  asked as (select distinct qid, topic_key from qr where topic_key not in ({", ".join(repr(k) for k in H.GENERIC_KEYS)})),
+  ct as (select c.id as chunk_id, n.title, n.published_at, n.url, c.section_title, c.chunk_text, concat_ws(' ', nullif(n.title, ''), nullif(c.section_title, ''), nullif(c.chunk_text, '')) as text
+         from chunks c join notes n on n.id = c.note_id),
+  cr as ({_rules_sql("ct", "chunk_id", "coalesce(nullif(section_title, ''), title)")}),
+  flags as (select chunk_id, max((topic_type in ({_KEEPING}))::int) as preserve_history, max((topic_type not in ({_KEEPING}))::int) as prefer_latest from cr group by chunk_id),
+  rows as (select ct.*, preserve_history, prefer_latest, row_number() over (order by published_at desc, chunk_id) as place from ct join flags using (chunk_id) where published_at >= '2025-02-01'),
+  v as (select distinct qid, trim(text) as text from (select qid, text from q0 union all select qid, replace(text, 'patchnote', 'patch note') from q0 where contains(text, 'patchnote') and not contains(text, 'patch note')
+      union all select qid, replace(text, 'patch note', 'patchnote') from q0 where contains(text, 'patch note') and not contains(text, 'patchnote'))),
+  vv as (select *, row_number() over (order by qid, text) as vid from v),
+  {_features_sql("cf", "ct", "chunk_id")}, {_features_sql("vf", "vv", "vid")},
+  idf as (select feature, ln((1 + (select count(*) from ct)) / (1.0 + count(*))) + 1 as idf from cf group by feature),
+  cw as (select chunk_id, feature, n * idf as w from cf join idf using (feature)), cn as (select chunk_id, sqrt(sum(w * w)) as cn from cw group by chunk_id),
+  vw as (select vid, feature, n * idf as w from vf join idf using (feature)), vn as (select vid, sqrt(sum(w * w)) as vn from vw group by vid),
+  dots as (select vid, chunk_id, sum(cw.w * vw.w) as dot from vw join cw using (feature) join (select chunk_id from rows) using (chunk_id) group by vid, chunk_id),
+  ss as (select vid, chunk_id, dot / (cn * vn) as score from dots join cn using (chunk_id) join vn using (vid) where dot > 0
+      qualify row_number() over (partition by vid order by round(score, 10) desc, chunk_id) <= 30),
+  s as (select qid, chunk_id, max(score) as score from ss join vv using (vid) group by qid, chunk_id),
+  d as (select a.vec_id as qid, b.vec_id as chunk_id, {COSINE} as score from embeddings a join q on q.qid = a.vec_id, embeddings b where b.vec_id in (select chunk_id from rows) and {COSINE} > 0
+      qualify row_number() over (partition by a.vec_id order by round(score, 10) desc, b.vec_id) <= 30),
+  sim as (select qid, chunk_id, coalesce(s.score, 0) * 0.55 + coalesce(d.score, 0) * 0.45 as similarity from s full outer join d using (qid, chunk_id)),
+  keyed as (select distinct qid, chunk_id, place from asked join cr using (topic_key) join rows using (chunk_id)),
+  cand as (select qid, chunk_id from sim union select qid, chunk_id from q, rows where place <= 30 union select qid, chunk_id from (select * from keyed qualify row_number() over (partition by qid order by place) <= 30)),
+  m as (select max(published_at) as latest from rows),
+  h1 as (select q.qid, 'chunk' as source_type, chunk_id as source_id, case when preserve_history <> 0 then 'preserve_history' else 'prefer_latest' end as policy, url, published_at, place as ordinal,
+      coalesce(similarity, 0) as similarity, {_AGO.format("published_at")} as recency,
+      greatest((case when q.keeps then preserve_history else prefer_latest end), (exists (select 1 from asked a join cr using (topic_key) where a.qid = q.qid and cr.chunk_id = rows.chunk_id))::int)::double as policy_bonus,
+      greatest({_SHARE.format(_CHUNK_TEXT)}, case when contains(q.text, 'maintenance') and contains(title, 'maintenance') then 1.0 else 0 end) as structured_bonus
+      from cand join q using (qid) join rows using (chunk_id) left join sim using (qid, chunk_id), m),
+  ev as (select e.id as record, case e.event_type when 'click' then 'season_event' when 'purchase' then 'boosting_event' else e.event_type end as event_type, e.chunk_id, e.title as event_title, e.summary, e.start_at, e.end_at,
+      e.limit_per_account, n.title, n.published_at, n.url, row_number() over (order by coalesce(e.start_at, n.published_at) desc, e.id) as place from event_records e join notes n on n.id = e.note_id
+      where coalesce(e.end_at, e.start_at, n.published_at) >= '2025-02-01'),
+  er as (select q.qid, ev.* from q, ev where list_contains(q.hints, ev.event_type) qualify row_number() over (partition by q.qid order by place) <= 30),
+  h2 as (select q.qid, 'event_record' as source_type, r.record as source_id, 'preserve_history' as policy, r.url, r.published_at, r.place + (1 << 30) as ordinal,
+      {_SHARE.format(f"concat_ws(' ', nullif(r.event_title, ''), nullif(r.summary, ''), nullif({_RECORD_TEXT}, ''))")} as similarity, {_AGO.format("r.published_at")} as recency, q.keeps::int::double as policy_bonus,
+      greatest({_SHARE.format(f"concat_ws(' ', nullif(r.title, ''), nullif(coalesce(c.section_title, r.event_title), ''), nullif({_RECORD_TEXT}, ''), nullif(r.event_title, ''))")},
+        case when contains(q.text, 'maintenance') and contains(r.title, 'maintenance') then 1.0 else 0 end, list_contains(q.hints, r.event_type)::int,
+        case when {_ANY(ENGLISH.period_words, "q.text")} and coalesce(r.start_at, r.end_at) is not null then 0.9 else 0 end,
+        case when {_ANY(ENGLISH.count_words, "q.text")} and r.limit_per_account is not null then 0.9 else 0 end) as structured_bonus
+      from er r join q using (qid) left join chunks c on c.id = r.chunk_id, m),
+  hits as (select h.*, q.keeps, len(q.hints) > 0 as named, {_FINAL.format("similarity", "recency", "policy_bonus", "structured_bonus")} as final_score from (select * from h1 union all select * from h2) h join q using (qid)),
+  best as (select * from hits qualify row_number() over (partition by qid, url order by round(final_score, 10) desc, ordinal) = 1),
+  top as (select *, row_number() over (partition by qid order by round(final_score, 10) desc, published_at desc, ordinal) as spot from best qualify spot <= 8)
+  select qid, row_number() over (partition by qid order by case when keeps and named then (source_type <> 'event_record')::int else 0 end, case when keeps then published_at else '' end, spot) as place, source_type, source_id, policy,
+    round(similarity, 6)::double as similarity, round(recency, 6)::double as recency, round(policy_bonus, 6)::double as policy_bonus, round(structured_bonus, 6)::double as structured_bonus, round(final_score, 6)::double as final_score from top"""
+
+
+@query(_SEARCH)
 def hybrid_search(spark, sf):
-    """The flagship: filter, hybrid similarity, policy re-ranking, top k."""
-    got = H.search(spark, corpus(spark, sf), "when was the license of the season changed", H.Filters(date_from="2025-02-01"), 8, ENGLISH)
-    rows = [(i, h["source_type"], h["source_id"], h["note_title"], h["published_at"], h["policy"], round(h["final_score"], 6)) for i, h in enumerate(got.hits, 1)]
-    return spark.createDataFrame(rows, "place int, source_type string, source_id bigint, note_title string, published_at string, policy string, final_score double")
+    """The flagship: every benchmark item as a question; filter, hybrid similarity, policy re-ranking, top k."""
+    asked = read(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").cast(D.VECTOR).alias("q"))
+    questions = _questions(spark, sf)
+    vectors = asked.join(questions.select("qid"), "qid", "left_semi")
+    return _hits(H.answer(spark, vector_corpus(spark, sf), questions, H.Filters(date_from="2025-02-01"), 8, ENGLISH, vectors=vectors))
+
+
+@query()
+def hybrid_search_lsa(spark, sf):
+    """The same questions over chunks and vectors made of their texts."""
+    return _hits(H.answer(spark, corpus(spark, sf), _questions(spark, sf), H.Filters(date_from="2025-02-01"), 8, ENGLISH))
 
 
 def queries() -> dict[str, Query]:

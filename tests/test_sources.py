@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreweave import cli, config, schema
 from loreweave.functions import present
-from loreweave.operators.dense import DenseIndex, build_dense, dense_few, term_counts, unit_rows
+from loreweave.operators.dense import DenseIndex, build_dense, search_dense, term_counts, unit_rows
 from loreweave.plans import jobs, review
 from loreweave.sources import landing
 from loreweave.sources import store as store_module
@@ -176,7 +176,7 @@ def test_indexes_are_kept_until_a_version_changes(spark, tmp_path):
     jobs.build_indexes(store)
     assert jobs.load_corpus(store) is not one
     empty = DenseIndex.load(spark, f"file://{tmp_path}/nowhere")
-    assert dense_few(empty, ["거래소"], 3) == {}
+    assert search_dense(empty, spark.createDataFrame([(0, "거래소")], "qid int, text string"), 3).count() == 0
 
 
 def test_presentation(spark):
