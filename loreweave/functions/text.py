@@ -1,20 +1,21 @@
 """Text functions as column expressions.
 
-White space is Unicode white space and the separators U+001C to U+001F; lines
-end where ``str.splitlines`` ends them.  Lengths are code points.
+White space is Unicode white space and the separators U+001C to U+001F.
+Lengths are code points.  What goes line by line is in ``lines``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import lines
 from ..rules import KOREAN, RulePack
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 TOKEN = r"[가-힣A-Za-z0-9]+"
 MAX_CHUNK_CHARS = 1400
 GRAMS = (2, 3, 4)
@@ -34,53 +35,24 @@ def normalize_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-def _ends_with_any(text: Column, ends: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (text.endswith(e) for e in ends), F.lit(False))
+def normalize_text(text: Column, rules: RulePack = KOREAN) -> Column:
+    """``lines.normalized`` as a column: lines with single blanks, broken headings put together."""
 
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(lines.normalized(t, rules)) for t in texts], dtype=object)
 
-def normalize_text(text: Column, rules: RulePack = KOREAN) -> Column:
-    """Lines normalised, blank ones dropped, broken headings put together.
-
-    A line that is just a marker takes the next line after a blank, one that
-    ends in an open bracket or quote takes it directly; a merged line is final.
-    """
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), normalize_line)
-    follow = F.concat(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.lit("")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
-
-    def step(acc: Column, x: Column) -> Column:
-        line, after = x["line"], x["after"]
-        takes = after != ""
-        put = lambda value, skip: F.struct(F.concat(acc["out"], F.array(value)).alias("out"), F.lit(skip).alias("skip"))
-        return (
-            F.when(acc["skip"] | (line == ""), F.struct(acc["out"].alias("out"), F.lit(False).alias("skip")))
-            .when(line.isin(*rules.markers) & takes, put(F.concat_ws(" ", line, after), True))
-            .when(_ends_with_any(line, ("(", "[", "‘", "'")) & takes, put(F.concat(line, after), True))
-            .otherwise(put(line, False))
-        )
-
-    pairs = F.arrays_zip(lines.alias("line"), follow.alias("after"))
-    return F.concat_ws("\n", F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+    return run(text)
 
 
 def heading_level(line: Column, rules: RulePack = KOREAN) -> Column:
-    """1 for a main heading, 2 for a heading below it, null for text."""
-    first, others = rules.markers[0], rules.markers[1:]
-    none = F.lit(None).cast("int")
-    return (
-        F.when((line == "") | line.isin(*rules.markers), none)
-        .when(line.startswith(first), 1)
-        .when(reduce(lambda a, b: a | b, (line.startswith(m) for m in others), F.lit(False)), 2)
-        .when(_ends_with_any(line, rules.top_endings), 1)
-        .when(line.endswith(rules.plain_ending), none)
-        .when((F.length(line) <= 30) & contains_any(line, rules.sub_words), 2)
-        .otherwise(none)
-    )
+    """``lines.level`` as a column: 1 for a main heading, 2 for a heading below it, null for text."""
 
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else lines.level(t, rules) for t in texts], dtype="Int32")
 
-def section_title(top: Column, sub: Column) -> Column:
-    top, sub = F.nullif(top, F.lit("")), F.nullif(sub, F.lit(""))
-    return F.when(top.isNotNull() & sub.isNotNull(), F.concat_ws(" / ", top, sub)).otherwise(F.coalesce(sub, top))
+    return run(line)
 
 
 def token_estimate(text: Column) -> Column:
@@ -91,60 +63,6 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?U)(?<=[.!?])[\s\x1c-\x1f]+")
 
 
-def split_oversized(line: Column, limit: int = MAX_CHUNK_CHARS) -> Column:
-    """A line of up to ``limit`` characters as it is; else its sentences, packed greedily."""
-    pieces = F.filter(F.transform(sentences(line), lambda p: F.trim(p)), lambda p: p != "")
-    start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        more = F.when(acc["cur"] == "", piece).otherwise(F.concat_ws(" ", acc["cur"], piece))
-        return F.when(
-            (acc["cur"] != "") & (F.length(more) > limit), F.struct(piece.alias("cur"), F.concat(acc["out"], F.array(acc["cur"])).alias("out"))
-        ).otherwise(F.struct(more.alias("cur"), acc["out"].alias("out")))
-
-    packed = F.aggregate(pieces, start, step, lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
-    return F.when(F.length(line) <= limit, F.array(line)).otherwise(packed)
-
-
-def chunks(title: Column, normalized: Column, raw: Column, rules: RulePack = KOREAN, limit: int = MAX_CHUNK_CHARS) -> Column:
-    """Section-bounded chunks as array<struct<section_title, chunk_text>>.
-
-    Headings are not part of any chunk.  Lines of a section are packed up to
-    ``limit`` characters.  A text of headings only is one chunk of itself.
-    """
-    lines = F.filter(F.transform(F.split(normalized, "\n"), normalize_line), lambda x: x != "")
-    none = F.lit(None).cast("int")
-    item = lambda level, line: F.struct(level.alias("level"), line.alias("line"))
-    marked = F.transform(lines, lambda x: item(heading_level(x, rules), x))
-    items = F.flatten(
-        F.transform(marked, lambda m: F.when(m["level"].isNotNull(), F.array(m)).otherwise(F.transform(split_oversized(m["line"], limit), lambda p: item(none, p))))
-    )
-    out_type = "array<struct<section_title:string,chunk_text:string>>"
-    text = F.lit(None).cast("string")
-    start = F.struct(title.cast("string").alias("top"), text.alias("sub"), text.alias("cur"), F.lit(0).alias("size"), F.array().cast(out_type).alias("out"))
-
-    def flushed(acc: Column) -> Column:
-        one = F.struct(section_title(acc["top"], acc["sub"]).alias("section_title"), acc["cur"].alias("chunk_text"))
-        return F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one)))
-
-    def state(top: Column, sub: Column, cur: Column, size: Column, out: Column) -> Column:
-        return F.struct(top.alias("top"), sub.alias("sub"), cur.alias("cur"), size.cast("int").alias("size"), out.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        line, size = x["line"], F.length(x["line"]) + 1
-        return (
-            F.when(x["level"] == 1, state(line, text, text, F.lit(0), flushed(acc)))
-            .when(x["level"] == 2, state(acc["top"], line, text, F.lit(0), flushed(acc)))
-            .when(acc["cur"].isNotNull() & (acc["size"] + size > limit), state(acc["top"], acc["sub"], line, size, flushed(acc)))
-            .otherwise(state(acc["top"], acc["sub"], F.concat_ws("\n", acc["cur"], line), acc["size"] + size, acc["out"]))
-        )
-
-    got = F.aggregate(items, start, step, flushed)
-    whole = normalize_line(F.coalesce(raw, F.lit("")))
-    only = F.array(F.struct(title.cast("string").alias("section_title"), whole.alias("chunk_text"))).cast(out_type)
-    return F.when(F.size(got) > 0, got).when(whole != "", only).otherwise(F.array().cast(out_type))
-
-
 def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
