@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     crawl = sub.add_parser("crawl", help="list boards over the network, fetch details, take them in")
     crawl.add_argument("--max-items", type=int)
     crawl.add_argument("--run-type", default="scheduled")
+    sub.add_parser("refresh", help="crawl all boards, analyse every note anew, build the indexes")
     sub.add_parser("status")
     sub.add_parser("index")
     find = sub.add_parser("search")
@@ -66,6 +67,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, say=p
     elif args.command == "crawl":
         out = jobs.crawl(store, http_get(settings.source), args.run_type, args.max_items, settings=settings)
         say(" ".join(f"{k}={v}" for k, v in out.items()))
+    elif args.command == "refresh":
+        say(" ".join(f"{k}={v}" for k, v in jobs.full_refresh(store, http_get(settings.source), settings=settings).items()))
     elif args.command == "status":
         for name, n in review.collect_counts(store).items():
             say(f"{name}: {n}")

@@ -26,6 +26,52 @@ def overlapping(df: DataFrame, date_from: str | None, date_to: str | None) -> Da
     return df
 
 
+#: Spans and ranges of up to 2 ** SPAN_LEVELS days are told apart by length; longer ones share the last level.
+SPAN_LEVELS = 16
+
+
+def _buckets(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """``rows`` with day numbers ``low`` and ``high``, once for each level from that of their length on and each bucket they touch there.
+
+    A bucket of level l has 2 ** l days, so a span of its own level or below
+    touches two at most; the last level has one bucket for all days.
+    """
+    days = F.greatest(F.col(high) - F.col(low) + 1, F.lit(1))
+    rows = rows.withColumn("_own", F.least(F.ceil(F.log2(days)), F.lit(SPAN_LEVELS)).cast("int"))
+    rows = rows.withColumn("_level", F.explode(F.sequence("_own", F.lit(SPAN_LEVELS))))
+    bucket = lambda day: F.when(F.col("_level") == SPAN_LEVELS, F.lit(0)).otherwise(F.expr(f"shiftright({day}, _level)"))
+    rows = rows.withColumns({"_first": bucket(low), "_last": bucket(high)})
+    return rows.withColumn("_bucket", F.explode(F.sequence("_first", "_last"))).drop("_last")
+
+
+def overlapping_ranges(events: DataFrame, ranges: DataFrame, event_key: str, range_key: str) -> DataFrame:
+    """(range_key, event_key) of each of ``ranges`` (range_key, date_from, date_to) and the events that ``overlapping`` finds for it.
+
+    Events have start_at, end_at and published_at.  Both sides are dealt to
+    buckets of days of all lengths from their own on; a pair meets at the level
+    of the longer of the two, where neither touches more than two buckets, and
+    counts in the first bucket they share.  So the join makes few pairs that do
+    not overlap, whatever the lengths.  Open ends and texts that are no dates
+    reach over all days; the text order of ``overlapping`` decides at the end.
+    """
+    day = lambda c: F.unix_date(F.substring(c, 1, 10).try_cast("date"))
+    far = 1 << 22
+    spans = events.select(event_key, F.coalesce("start_at", "end_at", "published_at").alias("_from"), F.coalesce("end_at", "start_at", "published_at").alias("_to"))
+    a, b = day(F.col("_from")), day(F.col("_to"))
+    odd = a.isNull() | b.isNull() | (a > b) | (F.length("_from") < 10) | (F.length("_to") < 10)
+    spans = spans.withColumns({"_low": F.when(odd, -far).otherwise(a), "_high": F.when(odd, far).otherwise(b)})
+    # A bare month or year as an end stands before its first day.
+    asked = ranges.select(range_key, "date_from", "date_to")
+    low, high = day(F.col("date_from")), day(F.col("date_to"))
+    wide = (F.col("date_from").isNotNull() & low.isNull()) | (F.col("date_to").isNotNull() & high.isNull()) | (low > high)
+    asked = asked.withColumns({"_low": F.when(wide | low.isNull(), -far).otherwise(low), "_high": F.when(wide | high.isNull(), far).otherwise(high)})
+    left = _buckets(spans, "_low", "_high").select(event_key, "_from", "_to", F.col("_own").alias("_own_a"), F.col("_first").alias("_first_a"), "_level", "_bucket")
+    right = _buckets(asked, "_low", "_high").select(range_key, "date_from", "date_to", F.col("_own").alias("_own_b"), F.col("_first").alias("_first_b"), "_level", "_bucket")
+    met = left.join(right, ["_level", "_bucket"]).filter((F.col("_level") == F.greatest("_own_a", "_own_b")) & (F.col("_bucket") == F.greatest("_first_a", "_first_b")))
+    meets = (F.col("date_from").isNull() | (F.col("_to") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("_from") <= F.col("date_to")))
+    return met.filter(meets).select(range_key, event_key)
+
+
 def with_topic(chunks: DataFrame, tags: DataFrame, topic: str | None, key: str = "chunk_id") -> DataFrame:
     """Chunks that have a tag of a type."""
     if not topic:

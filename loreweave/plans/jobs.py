@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -17,6 +17,7 @@ from ..operators.search import Corpus, search_table
 from ..operators.sparse import SparseIndex, build_sparse, index_text
 from ..rules import KOREAN, RulePack
 from ..sources.files import file_system, hadoop_path, numbered, publish
+from ..sources.staging import Stage
 from ..sources.landing import Get, all_listings, fetch_board, fetch_details, parse_details
 from ..sources.store import Store
 
@@ -32,7 +33,8 @@ def index_path(store: Store, settings: Settings | None = None) -> str:
 def build_indexes(store: Store, settings: Settings | None = None) -> dict[str, int]:
     """Both indexes over all chunks, written as a new version that the pointer then names."""
     path = index_path(store, settings)
-    texts = index_text(store.chunks, store.notes).cache()
+    stage = Stage(store.spark, "index-texts")
+    texts = stage.table(index_text(store.chunks, store.notes), "texts")
     version = _index_version(store, path) + 1
     while file_system(store.spark, path).exists(hadoop_path(store.spark, f"{path}/v{version}")):  # another build is under way
         version += 1
@@ -42,7 +44,7 @@ def build_indexes(store: Store, settings: Settings | None = None) -> dict[str, i
     file_system(store.spark, path).delete(hadoop_path(store.spark, f"{path}/v{version}/stage-dense"), True)
     publish(store.spark, path, f"p{version}", "")
     out = {"chunks": texts.count(), "features": sparse.idf.count(), "rank": dense.rank}
-    texts.unpersist()
+    stage.drop("texts")
     return out
 
 
@@ -93,7 +95,9 @@ def run_ingestion(store: Store, incoming: DataFrame, run_type: str = "manual", r
     if "published_at" not in incoming.columns:
         incoming = incoming.withColumn("published_at", F.lit(None).cast("string"))
     incoming = R.best_per_key(incoming, ["url"], [F.desc("published_at"), F.asc("content_hash")])
-    acted = R.classify_changes(incoming, store.notes, store.run_items, settings.ingestion.max_retries).cache()
+    # Written: the parts that decide what changed are superseded further down.
+    stage = Stage(store.spark, "ingestion")
+    acted = stage.table(R.classify_changes(incoming, store.notes, store.run_items, settings.ingestion.max_retries), "acted")
     counts = {r["action"]: r["n"] for r in acted.groupBy("action").agg(F.count("*").alias("n")).collect()}
     errors = failed.count() if failed is not None else 0
     changed = acted.filter("action <> 'skip'")
@@ -108,7 +112,7 @@ def run_ingestion(store: Store, incoming: DataFrame, run_type: str = "manual", r
     status = "partial_success" if errors else "success"
     scanned = sum(counts.values()) + errors
     store.finish_run(run_id, status, scanned, counts.get("insert", 0), counts.get("update", 0), errors)
-    acted.unpersist()
+    stage.drop("acted")
     return {"run_id": run_id, "status": status, "scanned": scanned, "inserted": counts.get("insert", 0), "updated": counts.get("update", 0), "skipped": counts.get("skip", 0), "errors": errors}
 
 
@@ -131,20 +135,25 @@ def crawl(store: Store, get: Get, run_type: str = "scheduled", max_items: int |
 def run_enrichment(store: Store, force: bool = False, limit: int | None = None, rules: RulePack = KOREAN, settings: Settings | None = None, rebuild: bool = True) -> dict[str, int]:
     """Analyse notes that have no chunks yet, or all of them; newest first if limited."""
     todo = R.newest_notes(R.without_chunks(store.notes, store.chunks, only_missing=not force), limit)
-    ids = todo.select("id").cache()
+    stage = Stage(store.spark, "enrichment")
+    ids = stage.table(todo.select("id"), "ids")  # written: what has no chunks changes below
     n = ids.count()
     if n:
         fresh = store.notes.join(ids, "id", "left_semi").select("id", normalize_text(F.col("plain_text"), rules).alias("plain_text"))
         store.update_texts(fresh)
         analyse_into(store, store.notes.join(ids, "id", "left_semi"), rules, settings)
+    stage.drop("ids")
     if rebuild and (n or force):
         build_indexes(store, settings)
     return {"processed": n}
 
 
-def full_refresh(spark: SparkSession, store: Store, incoming: DataFrame, settings: Settings | None = None) -> dict:
-    """Init, take in, analyse everything anew, index."""
+def full_refresh(store: Store, get: Get | None = None, incoming: DataFrame | None = None, run_type: str = "manual", settings: Settings | None = None, pause: float | None = None) -> dict:
+    """Init, take in all boards over ``get`` (or ``incoming`` notes), analyse everything anew, index."""
     store.init()
-    out = run_ingestion(store, incoming, "full", settings=settings, rebuild=False)
-    out |= run_enrichment(store, force=True, settings=settings)
-    return out
+    if get is not None:
+        out = crawl(store, get, run_type, settings=settings, rebuild=False, pause=pause)
+    else:
+        out = run_ingestion(store, incoming, run_type, settings=settings, rebuild=False)
+    out |= run_enrichment(store, force=True, settings=settings, rebuild=False)
+    return out | build_indexes(store, settings)

@@ -24,7 +24,7 @@ from .operators import sparse as X
 from .operators.events import extract_events, keep_most_complete
 from .rules import ENGLISH, KOREAN
 from .sources.scratch import session_folder
-from .sources.staging import Stage
+from .sources.staging import Stage, bounded_broadcast
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,7 +386,14 @@ def heading_levels(spark, sf):
     return lines.withColumn("level", T.heading_level(F.col("line"), ENGLISH)).groupBy("line", "level").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    r"""with n as (select page_id, unnest(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', chr(1), 'g'), '(?s)<(script|style)\b.*?</(script|style)>', chr(1), 'g'), '<[^>]*>|\x01')) as part,
+      generate_subscripts(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', chr(1), 'g'), '(?s)<(script|style)\b.*?</(script|style)>', chr(1), 'g'), '<[^>]*>|\x01'), 1) as pos from pages),
+    t as (select page_id, pos, replace(replace(replace(replace(part, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') as part from n),
+    l as (select page_id, pos, unnest(string_split(part, chr(10))) as line, generate_subscripts(string_split(part, chr(10)), 1) as sub from t),
+    m as (select page_id, pos, sub, trim(regexp_replace(line, '\s+', ' ', 'g')) as line from l)
+    select page_id, coalesce(string_agg(line, chr(10) order by pos, sub) filter (line <> ''), '') as plain_text from m group by page_id"""
+)
 def html_to_plain(spark, sf):
     from .sources.html import html_to_text
 
@@ -617,13 +624,14 @@ _TOKENS = "list_distinct(regexp_extract_all(lower({}), '[가-힣A-Za-z0-9]+'))"
 
 
 @query(
-    f"""with q as (select item_id, {_TOKENS.format("text")} as qt from benchmark), d as (select doc_id, {_TOKENS.format("text")} as dt from documents)
+    f"""with q as (select item_id, {_TOKENS.format("text")} as qt from benchmark where item_id % 50 = 0), d as (select doc_id, {_TOKENS.format("text")} as dt from documents)
     select item_id, doc_id, round(coalesce(len(list_intersect(qt, dt)) / nullif(len(qt), 0)::double, 0), 6) as overlap from q, d"""
 )
 def keyword_overlap(spark, sf):
-    """Every benchmark item (a stated set of questions) with every document."""
-    q = read(spark, sf, "benchmark").select("item_id", T.token_set(F.col("text")).alias("q"))
-    return read(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(q)).select("item_id", "doc_id", r6(T.overlap(F.col("q"), F.col("text"))).alias("overlap"))
+    """A stated set of questions, the benchmark items divisible by 50, with every document."""
+    q = read(spark, sf, "benchmark").filter("item_id % 50 = 0").select("item_id", T.token_set(F.col("text")).alias("q"))
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    return documents.join(bounded_broadcast(q, q.count())).select("item_id", "doc_id", r6(T.overlap(F.col("q"), F.col("text"))).alias("overlap"))
 
 
 @query(
@@ -924,6 +932,28 @@ def hybrid_search(spark, sf):
     return _hits(H.answer(spark, vector_corpus(spark, sf), questions, H.Filters(date_from="2025-02-01"), 8, ENGLISH, vectors=vectors))
 
 
+_RANGES = """ranges as (select item_id, case when item_id % 5 <> 2 then strftime(date '2025-01-01' + (item_id * 7 % 700)::int, '%Y-%m-%d') end as date_from,
+  case when item_id % 5 <> 3 then strftime(date '2025-01-01' + (item_id * 7 % 700 + [0, 30, 90, 0, 400][item_id % 5 + 1])::int, '%Y-%m-%d') || case when item_id % 2 = 0 then 'T12:00:00+09:00' else '' end end as date_to from benchmark)"""
+
+
+@query(
+    f"""with {NOTES}, {EVENTS}, {_RANGES}, e as (select e.id, coalesce(start_at, end_at, published_at) as lo, coalesce(end_at, start_at, published_at) as hi from event_records e join notes n on n.id = e.note_id)
+    select item_id, count(*) as n, sum(id)::bigint as ids, min(id) as first, max(id) as last from ranges, e where (date_from is null or hi >= date_from) and (date_to is null or lo <= date_to) group by item_id"""
+)
+def event_overlap_ranges(spark, sf):
+    """Events that meet the range of each benchmark item, in one interval join."""
+    i = F.col("item_id")
+    start = F.date_add(F.lit("2025-01-01").cast("date"), (i * 7 % 700).cast("int"))
+    length = F.element_at(F.array(*map(F.lit, (0, 30, 90, 0, 400))), (i % 5 + 1).cast("int"))
+    text = lambda d: F.date_format(d, "yyyy-MM-dd")
+    ends = F.concat(text(F.date_add(start, length)), F.when(i % 2 == 0, "T12:00:00+09:00").otherwise(""))
+    ranges = read(spark, sf, "benchmark").select("item_id", F.when(i % 5 != 2, text(start)).alias("date_from"), F.when(i % 5 != 3, ends).alias("date_to"))
+    events = R.owned_events(event_records(spark, sf), notes(spark, sf))
+    pairs = R.overlapping_ranges(events, ranges, "event_record_id", "item_id")
+    e = F.col("event_record_id")
+    return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(e).alias("ids"), F.min(e).alias("first"), F.max(e).alias("last"))
+
+
 @query()
 def hybrid_search_lsa(spark, sf):
     """The same questions over chunks and vectors made of their texts."""

@@ -34,6 +34,30 @@ class Stage:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows up to this many, of a few values each, may be held by the driver instead of written.
+LOCAL_ROWS = 20_000
+
+
+class Held:
+    """Intermediate results of one question set: of a small one held by the driver, of a larger one written."""
+
+    def __init__(self, stage: Stage, small: bool) -> None:
+        self.stage, self.small = stage, small
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        if self.small:
+            return self.stage.spark.createDataFrame(df.toArrow(), df.schema)
+        return self.stage.table(df, name)
+
+
+def held_or_written(stage: Stage, df: DataFrame, name: str, limit: int = LOCAL_ROWS) -> tuple[DataFrame, Held]:
+    """``df``, held if it has at most ``limit`` rows, else written, and the way to keep what follows from it."""
+    some = df.limit(limit + 1).toArrow()
+    if some.num_rows <= limit:
+        return stage.spark.createDataFrame(some, df.schema), Held(stage, True)
+    return stage.table(df, name), Held(stage, False)
+
+
 #: A side of at most this many rows of a few longs may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 

@@ -113,9 +113,11 @@ class Store:
         """
         key = KEYS[table]
         if self.version(table) and len(self._parts(table, self.version(table))) >= MOST_PARTS:
-            self._fold(table)
+            folded = self._fold(table)
             if after is not None:
-                after += 1
+                if folded != after + 1:  # another writer was first
+                    return None
+                after = folded
         part = self._part(table, df, None if key is None else (owners if owners is not None else df).select(key))
         while True:
             version = self.version(table)
@@ -124,11 +126,12 @@ class Store:
             if self._publish(table, version + 1, [*self._parts(table, version), part]):
                 return self._rows(table, part)
 
-    def _fold(self, table: str) -> None:
+    def _fold(self, table: str) -> int | None:
+        """Put one part in place of all; the version it made, None if another writer was first (then the next one folds)."""
         version = self.version(table)
         parts = self._parts(table, version)
         one = self._part(table, self._merged(table, parts), None)
-        self._publish(table, version + 1, [one])  # if another writer was first, the next one folds
+        return version + 1 if self._publish(table, version + 1, [one]) else None
 
     def init(self) -> None:
         """Make missing tables; those that exist stay as they are."""

@@ -168,6 +168,41 @@ def test_crawl_fetches_details_and_tries_failures_again(spark, tmp_path):
     assert review.source_parity(store, get, settings.source) == [{"board": "update", "store": 1, "source": 2, "match": False}]
 
 
+def test_full_refresh_crawls_analyses_and_indexes(spark, tmp_path):
+    def get(path, params):
+        if path == "/threads":
+            return {"threads": [thread(100), thread(101)], "totalElements": 2}
+        number = path.rsplit("/", 1)[1]
+        return {"threadId": number, "title": f"거래소 안내 {number}", "createDate": 1, "content": f"<p>거래소 이용료가 {number}퍼센트로 바뀝니다.</p>"}
+
+    settings = config.Settings(source=config.Source(board_targets=(("update", "7"),)))
+    store = Store(spark, f"file://{tmp_path}/store")
+    got = jobs.full_refresh(store, get, settings=settings, pause=0)
+    assert (got["inserted"], got["processed"], got["chunks"]) == (2, 2, 2) and got["features"] > 0
+    assert store.chunks.count() == 2 and [r["run_type"] for r in store.runs.collect()] == ["manual"]
+    again = jobs.full_refresh(store, incoming=notes_of(spark, ("u/1", "t", "2026-01-01", "x")), settings=settings)
+    assert (again["inserted"], again["processed"]) == (1, 3)
+
+
+def test_a_fold_that_lost_its_race_takes_no_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_PARTS", 2)
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.start_run()
+    store.start_run()
+    other, fold = Store(spark, store.path), Store._fold
+    lost = []
+
+    def late(self, table):
+        if not lost:  # another run starts while this one folds
+            lost.append(1)
+            monkeypatch.setattr(store_module, "MOST_PARTS", 99)
+            other.start_run()
+        return fold(self, table)
+
+    monkeypatch.setattr(Store, "_fold", late)
+    assert store.start_run() == 4 and sorted(r["id"] for r in store.runs.collect()) == [1, 2, 3, 4]
+
+
 def test_indexes_are_kept_until_a_version_changes(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     jobs.run_ingestion(store, notes_of(spark, ("u/1", "거래소 안내", "2026-01-01T00:00:00+09:00", "거래소 이용료가 5퍼센트로 바뀝니다.")))
