@@ -39,10 +39,10 @@ LEAST, MOST_WORDS, TOP = 30, 4, 2000
 COVERED_PERCENT = 80
 MAX_IDS = 1 << 22
 #: N-grams that a task holds before it makes filters of them.
-HELD = 1 << 22
+HELD = 1 << 21
 #: N-grams of a cell, at most about; bits of the cells of one round.
 CELL_GRAMS, CELL_BITS = 1 << 21, 12
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 _PIECE_END = W._byte_set(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D))
 _WORD = ~(_PIECE_END | W._byte_set((0x20, 0x20), (0x09, 0x09)))
@@ -73,7 +73,8 @@ def _words(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[pa.Array, np.ndar
 
 def _follows(low: np.ndarray, first: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether the next word is in the same piece of the same document."""
-    stops = np.concatenate([[0], np.cumsum(_PIECE_END[low])])
+    stops = np.zeros(len(low) + 1, dtype=np.int32)
+    np.cumsum(_PIECE_END[low], dtype=np.int32, out=stops[1:])
     return (stops[first[1:]] == stops[end[:-1]]) & (doc[1:] == doc[:-1])
 
 
