@@ -16,7 +16,8 @@ confirmed on their full shingle sets.  As only the class of a document is asked
 for, a pair already known to lie in one class needs no confirmation: keys are
 first linked to one pivot each, then only pairs of different classes follow.
 Documents of the same set are one class by a 128-bit BLAKE2b digest of the whole
-sorted set; a shingle is the 64-bit hash of its words (see ``wordvec``).
+sorted set; a shingle is a 64-bit hash of its words (see ``wordvec``) with a
+secret seed for each run, so texts cannot be made to share shingles they lack.
 The documents of large buckets are not paired bucket by bucket: pairs there must
 also share one of their rarest shingles (a necessary condition, see
 ``_prefixes``), and a pair within the signature distance shares a bucket anyway.
@@ -29,6 +30,7 @@ share a class and are each returned; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from functools import reduce
 
@@ -57,10 +59,10 @@ _ADD = W._sequence(22, POSITIONS)
 FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, " + ", ".join(f"{s} long" for s in WORDS_OF_SIGNATURE)
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, seed: int = 0) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     for low, high, raw, offsets in W.blocks(column):
-        words, _, _, counts = W.word_hashes(raw, offsets, W.BLANK_WORDS)
+        words, _, _, counts = W.word_hashes(raw, offsets, W.BLANK_WORDS, seed)
         shingles = W.window_hashes(words, WIDTH)
         at = 0
         for n in counts.tolist():
@@ -81,27 +83,33 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return W.mix64(low).astype(np.uint16)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0)
-        rows = len(ids)
-        numbers = np.zeros((rows, 3 + len(WORDS_OF_SIGNATURE)), dtype=np.int64)
-        for i, s in enumerate(shingle_sets(batch.column(1))):
-            numbers[i, 0] = len(s)
-            if len(s):
-                with np.errstate(over="ignore"):
-                    numbers[i, 3:] = signature(s).view(np.int64)
-                numbers[i, 1:3] = np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), np.int64)
-        none = (numbers[:, 0] == 0) | np.asarray(ids.is_null())
-        columns = [ids, pa.array(numbers[:, 0])]
-        columns += [pa.array(numbers[:, k], mask=none if k < 3 else None) for k in range(1, numbers.shape[1])]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hi", "set_lo", *WORDS_OF_SIGNATURE])
+def _features(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            rows = len(ids)
+            numbers = np.zeros((rows, 3 + len(WORDS_OF_SIGNATURE)), dtype=np.int64)
+            for i, s in enumerate(shingle_sets(batch.column(1), seed)):
+                numbers[i, 0] = len(s)
+                if len(s):
+                    with np.errstate(over="ignore"):
+                        numbers[i, 3:] = signature(s).view(np.int64)
+                    numbers[i, 1:3] = np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), np.int64)
+            none = (numbers[:, 0] == 0) | np.asarray(ids.is_null())
+            columns = [ids, pa.array(numbers[:, 0])]
+            columns += [pa.array(numbers[:, k], mask=none if k < 3 else None) for k in range(1, numbers.shape[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hi", "set_lo", *WORDS_OF_SIGNATURE])
+
+    return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+def _sets(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1), seed)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -165,8 +173,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     if not 80 <= percent <= 100:
         raise ValueError("percent must lie between 80 and 100")
     stage = Stage(spark, "near-dup")
+    seed = 1 + secrets.randbits(63)  # of the word hashes; a text cannot be made to collide with another one
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = stage.table(texts.mapInArrow(_features, FEATURES), "features")
+    features = stage.table(texts.mapInArrow(_features(seed), FEATURES), "features")
 
     same = features.filter("set_hi is not null").groupBy("set_hi", "set_lo")
     reps = same.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in WORDS_OF_SIGNATURE))
@@ -179,8 +188,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     members = stage.table(spread_join(keyed, shared, ["key"], hot, F.xxhash64("rep")), "members")
     seen = members.select(F.col("rep").alias("doc_id")).distinct()
     n_seen = seen.count()
-    sets = texts.join(bounded_broadcast(seen, n_seen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage.table(sets.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    sets = texts.join(bounded_broadcast(seen, n_seen), "doc_id", "left_semi")
+    if not features.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["doc_id"])  # moves whole texts, so only where ids repeat
+    sets = stage.table(sets.mapInArrow(_sets(seed), "doc_id long, shingles binary"), "sets")
 
     facts = reps.select("rep", "n", *WORDS_OF_SIGNATURE)
     close = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (_distance() <= MAX_DISTANCE)
@@ -223,10 +234,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     far = side(large, "a").join(side(large, "b"), "key").filter(enough & apart).select("a", "b")
     pairs = pairs.unionByName(far).distinct()
     more = confirmed(stage.table(pairs, "pairs"), "more-links")
-    labels = connected_components(links.unionByName(more), stage, "all")
+    # Classes known so far are the vertices of the rest.
+    end = lambda x: known.select(F.col("rep").alias(x), F.col("label").alias(f"{x}_label"))
+    more = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    joined = connected_components(more, stage, "all").select(F.col("v").alias("label"), F.col("label").alias("component_id")).filter("component_id <> label")
 
-    classes = reps.select("rep", "set_hi", "set_lo").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
-    classes = classes.select("set_hi", "set_lo", F.coalesce("label", "rep").alias("component_id"))
+    classes = reps.select("rep", "set_hi", "set_lo").join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    classes = classes.join(joined, "label", "left").select("set_hi", "set_lo", F.coalesce("component_id", "label").alias("component_id"))
     hot = hot_keys(stage, "hot-sets", reps, ["set_hi", "set_lo"], "copies", sums["rows"] or 0)
     out = features.select("doc_id", "n_shingles", "set_hi", "set_lo")
     some = spread_join(out.filter("set_hi is not null"), classes, ["set_hi", "set_lo"], hot, F.xxhash64("doc_id")).select("doc_id", "n_shingles", "component_id")

@@ -213,3 +213,10 @@ def test_empty_benchmark_and_documents(spark):
     assert [r["n_hit"] for r in contamination(spark, table(spark, [(1, "a b")]), none).collect()] == [0]
     some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert contamination(spark, table(spark, []), some).count() == 0
+
+
+def test_words_made_to_share_linear_hashes_do_not_link(spark):
+    """Two texts whose unseeded word hashes have the same weighted sum."""
+    rows = [(1, "rs18bf38 il5pj3jo x y z"), (2, "1wukwdjr 5l`%%7(2 x y z"), (3, "1wukwdjr 5l`%%7(2 x y z")]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark, table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
