@@ -14,7 +14,8 @@ the erroneous place out.  So no pair within the signature distance is lost.
 Links: candidates within the signature distance and the size ratio are
 confirmed on their full shingle sets.  As only the class of a document is asked
 for, a pair already known to lie in one class needs no confirmation: keys are
-first linked to one pivot each, then only pairs of different classes follow.
+first linked to one pivot each, then to one document of another class, then only
+pairs of different classes follow.
 Documents of the same set are one class by a 128-bit BLAKE2b digest of the whole
 sorted set; a shingle is a 64-bit hash of its words (see ``wordvec``) with a
 secret seed for each run, so texts cannot be made to share shingles they lack.
@@ -210,19 +211,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         rows = rows.repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.asc_nulls_first("b")).select("a", "b", "shingles")
         return stage.table(rows.mapInArrow(_confirmed(percent), "a long, b long"), name)
 
+    def linked(star: DataFrame, name: str) -> DataFrame:
+        """Confirmed links of written pairs (a, b) of a pivot and another document."""
+        met = spread_join(star.join(side(facts, "b"), "b"), side(facts, "a"), ["a"], pivots(star, name), F.xxhash64("b")).filter(close).select("a", "b")
+        return confirmed(stage.table(met, f"{name}-close"), f"{name}-links")
+
     # Each key's documents against its pivot.
     star = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = stage.table(star, "star")
-    star = spread_join(star.join(side(facts, "b"), "b"), side(facts, "a"), ["a"], pivots(star, "star"), F.xxhash64("b")).filter(close).select("a", "b")
-    links = confirmed(stage.table(star, "star-close"), "star-links")
-    labels = connected_components(links, stage, "star")
+    links = linked(stage.table(star, "star"), "star")
+    labels = connected_components(links, stage, "star").withColumnRenamed("v", "rep")
+    known = stage.table(reps.select("rep").join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "known")
+
+    def merged(known: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """The classes (rep, label) with those made one that links join; classes are the vertices."""
+        end = lambda x: known.select(F.col("rep").alias(x), F.col("label").alias(f"{x}_label"))
+        between = links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        moved = connected_components(between, stage, name).select(F.col("v").alias("label"), F.col("label").alias("into")).filter("into <> label")
+        return stage.table(known.join(moved, "label", "left").select("rep", F.coalesce("into", "label").alias("label")), f"known-{name}")
+
+    def several(known: DataFrame, name: str) -> DataFrame:
+        """Members (key, rep, size, label, low, other) of keys with several classes; ``other`` is not of the class ``low``."""
+        left = stage.table(members.select("key", "rep", "size").join(known, "rep"), f"labelled-{name}")
+        spread = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("rep", "label").alias("other")).filter("low <> high").select("key", "low", "other")
+        return stage.table(spread_join(left, spread, ["key"], hot, F.xxhash64("rep")), f"left-{name}")
+
+    # Two large classes that share keys mostly have a link: the least class against one document of the greatest.
+    second = several(known, "first").filter("label = low").select(F.col("other").alias("a"), F.col("rep").alias("b")).distinct()
+    known = merged(known, linked(stage.table(second, "second"), "second"), "second")
 
     # What is left: pairs of one key in different classes.
-    known = labels.select(F.col("v").alias("rep"), "label")
-    left = members.select("key", "rep", "size").join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    left = stage.table(left, "labelled")
-    spread = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    left = stage.table(spread_join(left, spread, ["key"], hot, F.xxhash64("rep")), "left")
+    left = several(known, "rest")
     apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & close
     wide = ["rep", "label", *facts.columns[1:]]
     small = stage.table(left.filter(F.col("size") <= LARGE_BUCKET).join(facts, "rep").select("key", *wide), "small")
@@ -234,18 +252,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     far = side(large, "a").join(side(large, "b"), "key").filter(enough & apart).select("a", "b")
     pairs = pairs.unionByName(far).distinct()
     more = confirmed(stage.table(pairs, "pairs"), "more-links")
-    # Classes known so far are the vertices of the rest.
-    end = lambda x: known.select(F.col("rep").alias(x), F.col("label").alias(f"{x}_label"))
-    more = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    joined = connected_components(more, stage, "all").select(F.col("v").alias("label"), F.col("label").alias("component_id")).filter("component_id <> label")
+    known = merged(known, more, "all")
 
-    classes = reps.select("rep", "set_hi", "set_lo").join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    classes = classes.join(joined, "label", "left").select("set_hi", "set_lo", F.coalesce("component_id", "label").alias("component_id"))
+    classes = reps.select("rep", "set_hi", "set_lo").join(known, "rep").select("set_hi", "set_lo", F.col("label").alias("component_id"))
     hot = hot_keys(stage, "hot-sets", reps, ["set_hi", "set_lo"], "copies", sums["rows"] or 0)
     out = features.select("doc_id", "n_shingles", "set_hi", "set_lo")
     some = spread_join(out.filter("set_hi is not null"), classes, ["set_hi", "set_lo"], hot, F.xxhash64("doc_id")).select("doc_id", "n_shingles", "component_id")
     none = out.filter("set_hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    stage.drop("shared", "members", "sets", "star", "star-close", "labelled", "left", "small", "large", "pairs", "star-links", "more-links")
+    stage.drop("shared", "members", "sets", "star", "star-close", "second", "second-close", "labelled-first", "left-first", "labelled-rest", "left-rest", "small", "large", "pairs", "star-links", "second-links", "more-links")
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
