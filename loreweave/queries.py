@@ -787,6 +787,8 @@ def world_open_keys(spark, sf):
 
 # -- whole searches -----------------------------------------------------------------------------
 _corpora: dict[tuple[str, str, str], H.Corpus] = {}
+#: Rank of the dense index that the sample queries make of texts: the decomposition holds terms x 2 ranks doubles on the driver.
+DENSE_RANK = 32
 
 
 def corpus(spark: SparkSession, sf: str) -> H.Corpus:
@@ -804,7 +806,7 @@ def corpus(spark: SparkSession, sf: str) -> H.Corpus:
         tags = kept(A.tag_chunks(chunks, n, ENGLISH), "tags")
         texts = kept(X.index_text(chunks, n), "texts")
         sparse = X.build_sparse(texts).save(f"{at}/sparse")
-        dense = D.build_dense(texts, stage=f"{at}/stage-dense").save(f"{at}/dense")
+        dense = D.build_dense(texts, max_rank=DENSE_RANK, stage=f"{at}/stage-dense").save(f"{at}/dense")
         rows = kept(H.search_table(chunks, n, tags), "rows")
         _corpora[key] = H.Corpus(n, chunks, tags, kept(_typed_events(spark, sf), "events"), sparse, dense, rows)
     return _corpora[key]
