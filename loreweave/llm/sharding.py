@@ -7,9 +7,12 @@ A store is a folder:
 
 Arrivals are appended as runs of small shards.  Runs of similar size are merged,
 once there are ``fanout`` of them, into one run of shards of about
-``target_bytes`` of text: runs in order of size form a tier while each is at most
-twice the mean of those before it, and all runs up to ``small_bytes`` are one
-tier.  So a large run is not rewritten for the sake of small ones.
+``target_bytes`` of text: in order of size, a tier holds the runs of at most twice
+its smallest, and all runs up to ``small_bytes`` are one tier.  So a large run is not
+rewritten for the sake of small ones, and as a merge gives at least two and a half
+times the largest run it read, a row beyond ``small_bytes`` is rewritten a number of
+times that grows with the logarithm of the table.  A merge reads at most
+``MERGE_RUNS`` runs; runs of one schema are one scan.
 
 A version of the manifest names the runs that make up the table; readers see
 whole versions only.  The rename fails where the name is taken (it is atomic on
@@ -37,6 +40,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.skew import hot_keys, salted
 from ..sources.staging import Stage
@@ -47,6 +51,8 @@ SMALL_BYTES = 16 << 20
 CODEC = "zstd"
 FANOUT = 4
 WAVES = 8
+#: Runs that one merge reads, the smallest of the tier.
+MERGE_RUNS = 64
 
 
 class Conflict(RuntimeError):
@@ -61,6 +67,7 @@ class Run:
     shards: int
     rows: int
     bytes: int
+    schema: str = ""
 
 
 def id_hash(text: Column, digits: int = 8) -> Column:
@@ -100,7 +107,7 @@ class ShardStore:
         if version not in have:
             raise ValueError(f"no version {version}")
         text = self.spark.read.text(f"{self.folder}/manifest/{version:012d}", wholetext=True).first()[0]
-        return [Run(**r) for r in json.loads(text)["runs"]]
+        return [Run(**{k: v for k, v in r.items() if k != "tier"}) for r in json.loads(text)["runs"]]
 
     def commit(self, runs: list[Run], after: int) -> int:
         """Make ``runs`` version ``after`` + 1; ``Conflict`` if somebody else did."""
@@ -108,7 +115,7 @@ class ShardStore:
         aside, place = self._path(f"manifest/.{uuid.uuid4().hex}"), self._path(f"manifest/{version:012d}")
         fs = self._fs()
         out = fs.create(aside, False)
-        out.write(bytearray(json.dumps({"version": version, "runs": [asdict(r) for r in runs]}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "runs": [asdict(r) | {"tier": self.tier_of(r.bytes)} for r in runs]}).encode()))
         out.close()
         rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
         never_over = self.spark.sparkContext._gateway.new_array(rename, 1)
@@ -151,7 +158,7 @@ class ShardStore:
         name = f"run-{uuid.uuid4().hex}"
         numbered = self._shard(df, rows, F.lit(shards))
         numbered.repartitionById(shards, F.col("shard_no")).write.option("compression", CODEC).parquet(f"{self.folder}/data/{name}")
-        return Run(name, shards, rows, size)
+        return Run(name, shards, rows, size, numbered.schema.json())
 
     def append(self, df: DataFrame, wave: Column | None = None, attempts: int = 20) -> int:
         """Commit arrivals as runs of small shards: one run, or one of each value of ``wave``.
@@ -163,14 +170,14 @@ class ShardStore:
         name = f"run-{uuid.uuid4().hex}"
         arrivals = df.withColumn("shard_wave", wave.cast("int"))
         totals = arrivals.groupBy("shard_wave").agg(F.count("*").alias("rows"), F.sum(self._bytes()).alias("bytes")).orderBy("shard_wave").collect()
-        added = []
+        added, schema = [], StructType([*df.schema.fields, StructField("shard_no", IntegerType())]).json()
         if totals:
             first, parts = {}, 0
             for t in totals:
                 n = max(1, math.ceil(t["bytes"] / self.small_bytes))
                 first[t["shard_wave"]] = (parts, n)
                 parts += n
-                added.append(Run(f"{name}/shard_wave={t['shard_wave']}", n, t["rows"], t["bytes"]))
+                added.append(Run(f"{name}/shard_wave={t['shard_wave']}", n, t["rows"], t["bytes"], schema))
             begin = F.create_map(*(F.lit(x) for w, (b, _) in first.items() for x in (w, b)))[F.col("shard_wave")]
             many = F.create_map(*(F.lit(x) for w, (_, n) in first.items() for x in (w, n)))[F.col("shard_wave")]
             numbered = self._shard(arrivals, sum(t["rows"] for t in totals), many)
@@ -189,11 +196,10 @@ class ShardStore:
         return 0 if size <= self.small_bytes else 1 + int(math.log(size / self.small_bytes, self.fanout))
 
     def tiers(self, runs: list[Run]) -> list[list[Run]]:
-        """Runs of similar size, smallest first."""
+        """Runs of similar size, smallest first: none above twice the smallest of its tier, but for small runs."""
         out: list[list[Run]] = []
         for run in sorted(runs, key=lambda r: (r.bytes, r.name)):
-            alike = out and (run.bytes <= self.small_bytes or run.bytes <= 2 * sum(r.bytes for r in out[-1]) / len(out[-1]))
-            if alike:
+            if out and run.bytes <= max(self.small_bytes, 2 * out[-1][0].bytes):
                 out[-1].append(run)
             else:
                 out.append([run])
@@ -203,11 +209,11 @@ class ShardStore:
         """Merge tiers of ``fanout`` runs and more until there is none; returns the version."""
         while True:
             version, runs = self._latest()
-            merged = next((t for t in self.tiers(runs) if len(t) >= self.fanout), None)
+            merged = next((t[: max(self.fanout, MERGE_RUNS)] for t in self.tiers(runs) if len(t) >= self.fanout), None)
             if merged is None:
                 return version
             measured = (sum(r.rows for r in merged), sum(r.bytes for r in merged))
-            run = self._write(self._read(merged).drop("shard_no", "shard_run", "shard_tier"), self.target_bytes, measured)
+            run = self._write(self._read(merged).drop("shard_no", "shard_run"), self.target_bytes, measured)
             while True:
                 version, runs = self._latest()
                 if not set(merged) <= set(runs):  # another writer merged some of them; ours is never named
@@ -220,16 +226,30 @@ class ShardStore:
 
     # -- reading ----------------------------------------------------------
     def _read(self, runs: list[Run]) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.folder}/data/{r.name}").withColumns({"shard_run": F.lit(r.name), "shard_tier": F.lit(self.tier_of(r.bytes))}) for r in runs]
+        """Rows of runs with shard_run, the run's name; one scan for all runs of a schema, whose footers are not read for it."""
+        alike: dict[str, list[str]] = {}
+        for r in runs:
+            alike.setdefault(r.schema, []).append(f"{self.folder}/data/{r.name}")
+        reader = lambda schema: self.spark.read.schema(StructType.fromJson(json.loads(schema))) if schema else self.spark.read
+        name = F.regexp_extract("_metadata.file_path", r"/data/(run-[0-9a-f]{32}(?:/shard_wave=[^/]+)?)/[^/]+$", 1)
+        parts = [reader(schema).parquet(*paths).withColumn("shard_run", name) for schema, paths in alike.items()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        """The table at a version (the last one by default) with shard_run, shard_tier, shard_no; None if empty."""
+        """The table at a version (the last one by default) with shard_run, shard_tier, shard_no; None if empty.
+
+        The runs' levels come from the manifest, which has one short row a run and is read whole by the driver in any case.
+        """
+        version = self._latest()[0] if version is None else version
         runs = self.runs(version)
-        return self._read(runs) if runs else None
+        if not runs:
+            return None
+        named = self.spark.read.json(f"{self.folder}/manifest/{version:012d}", "runs array<struct<name string, tier int>>", multiLine=True)
+        tiers = named.select(F.inline("runs")).toDF("shard_run", "shard_tier")
+        return self._read(runs).join(F.broadcast(tiers), "shard_run")
 
     def vacuum(self, grace_seconds: int = 24 * 3600) -> None:
         """Remove runs that the last version does not name and older manifests, both only beyond the grace period."""

@@ -362,6 +362,27 @@ def test_tiers_follow_size(spark, tmp_path):
     assert store.read().count() == 58
 
 
+def test_tiers_do_not_chain_and_merges_are_bounded(spark, tmp_path, monkeypatch):
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=16000, small_bytes=16, fanout=4)
+    growing = [Run(f"run-{i}", 1, 1, 16 * i) for i in range(1, 41)]
+    tiers = store.tiers(growing)
+    assert sorted(r.bytes for t in tiers for r in t) == [r.bytes for r in growing]
+    assert all(t[-1].bytes <= 2 * t[0].bytes for t in tiers) and all(a[-1].bytes < b[0].bytes for a, b in zip(tiers, tiers[1:]))
+    # A merge of a tier is at least two and a half times its largest run.
+    assert all(sum(r.bytes for r in t) >= 2.5 * t[-1].bytes for t in tiers if len(t) >= store.fanout)
+    monkeypatch.setattr("loreweave.llm.sharding.MERGE_RUNS", 4)
+    read, plain = [], ShardStore._read
+    monkeypatch.setattr(ShardStore, "_read", lambda self, runs: read.append(len(runs)) or plain(self, runs))
+    # Nine runs of two schemas in one append: one scan for each schema, at most four runs a merge, no row lost.
+    store.append(spark.range(80).select(F.col("id").alias("doc_id"), F.lit("x" * 40).alias("text")), F.col("doc_id") % 8)
+    store.append(spark.range(80, 90).select(F.col("id").alias("doc_id"), F.lit("x" * 40).alias("text"), F.lit(1).alias("more")))
+    store.compact()
+    assert read and max(read) <= 4
+    got = store.read()
+    assert sorted((r["doc_id"], r["more"]) for r in got.collect()) == [(i, 1 if i >= 80 else None) for i in range(90)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 2
+
+
 def test_writers_that_lose_a_race_try_again(spark, tmp_path, monkeypatch):
     store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=100_000, small_bytes=1000)
     other = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=100_000, small_bytes=1000)
