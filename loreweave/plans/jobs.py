@@ -31,14 +31,19 @@ def index_path(store: Store, settings: Settings | None = None) -> str:
 
 
 def build_indexes(store: Store, settings: Settings | None = None) -> dict[str, int]:
-    """Both indexes over all chunks, written as a new version that the pointer then names."""
+    """Both indexes over all chunks, written as a new version that the pointer then names.
+
+    Feature counts of chunks that did not change are taken from the version before.
+    """
     path = index_path(store, settings)
     stage = Stage(store.spark, "index-texts")
     texts = stage.table(index_text(store.chunks, store.notes), "texts")
-    version = _index_version(store, path) + 1
+    built = _index_version(store, path)
+    before = SparseIndex.load(store.spark, f"{path}/v{built}/sparse") if built else None
+    version = built + 1
     while file_system(store.spark, path).exists(hadoop_path(store.spark, f"{path}/v{version}")):  # another build is under way
         version += 1
-    sparse = build_sparse(texts).save(f"{path}/v{version}/sparse")
+    sparse = build_sparse(texts, before).save(f"{path}/v{version}/sparse")
     dense = build_dense(texts, stage=f"{path}/v{version}/stage-dense").save(f"{path}/v{version}/dense")
     search_table(store.chunks, store.notes, store.tags).write.parquet(f"{path}/v{version}/rows")
     file_system(store.spark, path).delete(hadoop_path(store.spark, f"{path}/v{version}/stage-dense"), True)

@@ -72,6 +72,23 @@ def test_blocks_that_cannot_reach_the_top_are_not_read(spark, monkeypatch, rows_
     assert sum(r["read"] for r in read) < 0.75 * sum(r["all"] for r in read)
 
 
+def test_an_index_after_batches_equals_one_built_anew(spark, tmp_path, monkeypatch):
+    counted, plain = [], X.feature_counts
+    monkeypatch.setattr(X, "feature_counts", lambda texts, key="chunk_id": counted.append(sorted(r[key] for r in texts.collect())) or plain(texts, key))
+    state, index = dict(topic_texts(60)) | {70: None, 71: ""}, None
+    # Changed, added, removed, emptied, and an id that comes back with the text of another one.
+    batches = [({}, [], sorted(state)), ({3: "new words here", 90: "added one"}, [5, 6], [3, 90]), ({5: state[7], 8: "", 70: "now a text"}, [90], [5, 8, 70]), ({}, [], [])]
+    frame = lambda: spark.createDataFrame(sorted(state.items()), "chunk_id long, text string")
+    for at, (changed, gone, want) in enumerate(batches):
+        state = {k: v for k, v in state.items() if k not in gone} | changed
+        index = X.build_sparse(frame(), index).save(f"file://{tmp_path}/v{at}")
+        assert counted.pop() == sorted(want)
+    anew = X.build_sparse(frame())
+    rows = lambda df, *names: sorted(tuple(round(r[c], 12) if isinstance(r[c], float) else r[c] for c in names) for r in df.collect())
+    for name, columns in (("postings", ("feature", "chunk_id", "n", "tf", "weight", "unit")), ("idf", ("feature", "df", "idf")), ("norms", ("chunk_id", "norm")), ("digests", ("chunk_id", "digest"))):
+        assert rows(getattr(index, name), *columns) == rows(getattr(anew, name), *columns)
+
+
 def small_corpus(spark):
     rng = random.Random(9)
     words = ["archer", "license", "season", "boost", "maintenance", "token", "tale", "river", "stone", "cloud"]
