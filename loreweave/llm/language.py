@@ -219,10 +219,10 @@ def _histogram(model: LanguageModel):
     return run
 
 
-def cosine_bounds(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> np.ndarray:
+def cosine_bounds(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
     """Least cosine of a text in a learned language, for each class of lengths.
 
-    A class's bound follows from median and lower quartile of its training
+    A class's bound follows from median and lower quartile of all its training
     texts' cosines to their own language, which a few odd texts do not move, and
     is no higher than those of longer texts.  A class of fewer than
     ``BOUND_TEXTS`` has no bound of its own: it takes that of the next shorter
@@ -232,9 +232,8 @@ def cosine_bounds(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id",
         return np.zeros(CLASSES)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isin(model.languages) & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = bounded_sample(rows, "doc_id", "lang", per_language, LANGUAGES).select("lang", "text")
     counts = np.zeros(CLASSES * STEPS, dtype=np.int64)
-    for r in sample.mapInArrow(_histogram(model), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("lang", "text").mapInArrow(_histogram(model), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         counts[r["at"]] = r["n"]
     counts = counts.reshape(CLASSES, STEPS)
     total = counts.sum(axis=1)
