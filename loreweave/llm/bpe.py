@@ -7,7 +7,8 @@ ever crosses the border of two neighbours; the latter depends on the two tokens
 only.  So every pair of neighbours is tested, all pairs of a batch in step, by
 taking both tokens apart in reverse order of their merges and asking at each
 step whether a merge across the border would have come first.  Only words with
-a failing pair are merged one by one.
+a failing pair are merged: those of similar length in step, a merge of each at a
+time, long ones one by one.
 
 Normalisation, words and special strings are those of the vocabulary's
 ``tokenizers`` file.  Texts of letters below U+0180 are split here, others by
@@ -37,11 +38,14 @@ from .tokens import balanced
 REMEMBERED = 1 << 18
 #: Words of more bytes are merged one by one without a proposal.
 LONG_WORD = 4096
+#: Failing words of more bytes are merged one by one, others in step.
+STEP_WORD = 64
 #: Longer texts are split and encoded in parts of about this many characters, cut at blanks.
 PART_CHARS = 1 << 20
 
 _END = 256  # the end of a word, a letter after its bytes
 _NEVER = np.int64(1) << 40
+_NO_RANK = np.iinfo(np.int32).max
 _BLANK = re.compile(r"\s")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the pattern of the vocabulary
 
@@ -101,6 +105,7 @@ class Vocabulary:
         made = np.array([ids[a + b] for a, b in merges], dtype=np.int64)
         order = np.argsort(left * size + right)
         self.pairs, self.pair_rank, self.pair_made = (left * size + right)[order], order, made[order]
+        self.made = made
         self.rank = np.full(size, -1, dtype=np.int64)
         self.rank[made] = np.arange(len(made))
         self.left, self.right = np.arange(size), np.arange(size)
@@ -214,6 +219,60 @@ class Vocabulary:
                 heapq.heappush(heap, more[0] << 40 | before[i])
         return tuple(x for x in ids if x >= 0)
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of the merges of ids ``a`` and ``b``; an id of -1 has none."""
+        key = a * self.size + b
+        place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[place] == key) & (a >= 0) & (b >= 0), self.pair_rank[place], _NO_RANK).astype(np.int32)
+
+    def _merge_in_step(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of each of some words, one row of a matrix each; a round takes the first merge of every row."""
+        n, lengths = len(words), np.array([len(w) for w in words], dtype=np.int64)
+        width = int(lengths.max())
+        none = n * width  # the place before a word and after it
+        inside = np.arange(width) < lengths[:, None]
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        end = np.arange(n) * width + lengths - 1
+        ids = np.full(none + 1, -1, dtype=np.int64)
+        ids[:-1][inside.ravel()] = self.first[data]
+        ids[end] = self.last[data[np.cumsum(lengths) - 1]]
+        after, before = np.arange(1, none + 2), np.arange(-1, none)
+        after[end], before[np.arange(n) * width] = none, none
+        rank = np.full(none + 1, _NO_RANK, dtype=np.int32)
+        rank[:-1] = self._ranks(ids[:-1], ids[after[:-1]])
+        rows, live = rank[:-1].reshape(n, width), np.arange(n)
+        while len(live):
+            held = rows[live]
+            first = held.argmin(axis=1)  # the leftmost of equal ones
+            least = held[np.arange(len(live)), first]
+            go = least < _NO_RANK
+            live, i = live[go], (live * width + first)[go]
+            j = after[i]
+            ids[i], ids[j], rank[j] = self.made[least[go]], -1, _NO_RANK
+            after[i] = k = after[j]
+            before[k] = i
+            rank[i] = self._ranks(ids[i], ids[k])
+            h = before[i]
+            rank[h] = self._ranks(ids[h], ids[i])
+        left = ids[:-1].reshape(n, width)
+        stop = np.cumsum((left >= 0).sum(axis=1)).tolist()
+        flat = left[left >= 0].tolist()
+        return [tuple(flat[low:high]) for low, high in zip([0, *stop], stop)]  # noqa: B905
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of each of some non-empty words."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        alike: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) > STEP_WORD:
+                out[i] = self.merge(w)
+            else:
+                alike.setdefault((len(w) - 1).bit_length(), []).append(i)
+        for group in alike.values():
+            for i, ids in zip(group, self._merge_in_step([words[i] for i in group]), strict=True):
+                out[i] = ids
+        return out
+
     def word_ids(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each of some non-empty words: proposals, those with a failing pair merged anew."""
         out: list[tuple[int, ...]] = [()] * len(words)
@@ -234,9 +293,15 @@ class Vocabulary:
         failed = np.zeros(len(short), dtype=bool)
         failed[word_of[first[crossed]]] = True
         flat, stop = ids.tolist(), stop.tolist()
+        anew = []
         for k, bad in enumerate(failed.tolist()):
             i = short[k]
-            out[i] = self.merge(words[i]) if bad else tuple(flat[stop[k - 1] if k else 0 : stop[k]])
+            if bad:
+                anew.append(i)
+            else:
+                out[i] = tuple(flat[stop[k - 1] if k else 0 : stop[k]])
+        for i, merged in zip(anew, self.merge_all([words[i] for i in anew]), strict=True):
+            out[i] = merged
         return out
 
     def words(self, text: str) -> list[str]:

@@ -70,6 +70,16 @@ def test_proposals_fail_and_are_mended():
     assert words.word_ids(texts) == merged and proposed != merged
 
 
+def test_failing_words_are_merged_in_step(monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinstrohlé0") for _ in range(rng.choice((1, 2, 3, 8, 9, 16, 17, 31)))).encode() for _ in range(5000)]
+    own = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    one_by_one = [own.merge(w) for w in words]
+    assert own.merge_all(words) == one_by_one and own.merge_all([]) == []
+    monkeypatch.setattr(own, "merge", None)  # word by word it took most of the time
+    assert own.word_ids(words) == one_by_one
+
+
 def test_round_trip_of_odd_rows(spark, monkeypatch):
     texts = ["", None, " ", "<|endoftext|>x<|startoftext|>", "It's THE end", "日本 İ ŉ", "word" + " " * 2_000_000 + "end", "many words here " * 90_000, "It's THE end"]
     rows = [(i, t, "n", 1) for i, t in enumerate(texts)] + [(None, "no id", "n", 1)]
