@@ -213,19 +213,25 @@ def _pack(vocabulary: str, folder: str | None, shard_bytes: int, shard_rows: int
 
 
 def _document_words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The distinct words of each document, as far as ``places`` of their hashes go."""
     for _, _, raw, offsets in W.blocks(batch.column(1)):
         words, _, _, counts = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
         if len(words):
-            yield _distinct(words, counts)[0]
+            # A document's number and the rest of the hash in one sortable number.
+            bits = np.uint64(len(counts).bit_length())
+            both = np.sort(np.repeat(np.arange(len(counts), dtype=np.uint64) << (np.uint64(64) - bits), counts) | words >> bits)
+            yield both[np.append(True, both[1:] != both[:-1])] << bits
 
 
-def _distinct(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each document and their documents, in order of document."""
-    docs = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((words, docs))
-    words, docs = words[order], docs[order]
-    new = np.append(True, (words[1:] != words[:-1]) | (docs[1:] != docs[:-1]))
-    return words[new], docs[new]
+def _rarest_words(words: np.ndarray, many: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents that have words: their place, rarest shared word (ties: the least hash) and its count."""
+    doc = np.flatnonzero(many)
+    start = np.cumsum(many[doc]) - many[doc]
+    n = counts[places(words)]
+    shared = np.where(n > 1, n, np.iinfo(np.int64).max)
+    best = np.minimum.reduceat(shared, start)
+    first = np.minimum.reduceat(np.where(shared == np.repeat(best, many[doc]), words, np.iinfo(np.uint64).max), start)
+    return doc, first, counts[places(first)]
 
 
 def _routed(counts: np.ndarray):
@@ -235,11 +241,8 @@ def _routed(counts: np.ndarray):
                 words, _, _, many = W.word_hashes(raw, offsets, W.ALNUM_WORDS)
                 key, seen = np.zeros(high - low, dtype=np.int64), np.ones(high - low, dtype=np.int64)
                 if len(words):
-                    word, doc = _distinct(words, many)
-                    n = counts[places(word)]
-                    best = np.lexsort((word, np.where(n > 1, n, np.iinfo(np.int64).max), doc))
-                    first = best[np.append(True, doc[best][1:] != doc[best][:-1])]
-                    key[doc[first]], seen[doc[first]] = word[first].view(np.int64), n[first]
+                    doc, word, n = _rarest_words(words, many, counts)
+                    key[doc], seen[doc] = word.view(np.int64), n
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key), pa.array(seen)], names=["doc_id", "text", "word", "seen"])
 

@@ -1,6 +1,7 @@
 """Token counts and packing: the library itself, and exact round trips."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from tokenizers import Tokenizer
 
 from loreweave.llm import packing, tokens
 from loreweave.llm.packing import pack
+from loreweave.llm.sketch import places
 from loreweave.llm.tokens import count_tokens
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -193,3 +195,36 @@ def test_bm25_equals_the_formula():
             d = docs[index.doc[j]]
             tf, norm = d.count(w), 1.2 * (1 - 0.75 + 0.75 * len(d) / 3)
             assert np.isclose(index.weight[j], np.log(1 + (3 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + norm))
+
+
+def test_routing_takes_little_more_than_reading_the_words():
+    """The rarest word of each document by definition, and by far the most time goes to the hashes of the words."""
+    rng = np.random.default_rng(7)
+    some = np.array([f"w{i}" for i in range(30_000)])
+    texts = [" ".join(some[(len(some) * rng.random(200) ** 3).astype(int)].tolist()) for _ in range(3000)] + ["", None, "w0 w0", "alone"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            out = run()
+            took.append(time.process_time() - start)
+        return min(took), out
+
+    blocks = lambda: [packing.W.word_hashes(raw, offsets, packing.W.ALNUM_WORDS) for _, _, raw, offsets in packing.W.blocks(batch.column(1))]
+    own, hashed = least(blocks)
+    seen = np.zeros(1 << 18, dtype=np.int64)
+    for words, _, _, many in hashed:
+        for doc in np.split(words, np.cumsum(many)[:-1]):
+            np.add.at(seen, places(np.unique(doc)), 1)
+    counted, found = least(lambda: list(packing._document_words(batch)))
+    assert (sum(np.bincount(places(w), minlength=len(seen)) for w in found) == seen).all()
+    routed, rows = least(lambda: list(packing._routed(seen)(iter([batch]))))
+    want = []
+    for words, _, _, many in hashed:
+        for doc in np.split(words, np.cumsum(many)[:-1]):
+            best = min(((n if (n := seen[places(w)]) > 1 else 1 << 62, w, n) for w in np.unique(doc)), default=(0, np.uint64(0), 1))
+            want.append((int(best[1].view(np.int64)), int(best[2])))
+    assert [(w, n) for r in rows for w, n in zip(r["word"].to_pylist(), r["seen"].to_pylist(), strict=True)] == want
+    assert counted + routed < 4.5 * own
