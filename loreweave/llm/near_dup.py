@@ -52,6 +52,8 @@ PLACE_BITS = 16
 PER_CHUNK = POSITIONS // CHUNKS
 #: Documents of buckets above this size are paired by their rarest shingles.
 LARGE_BUCKET = 32
+#: Rare shingles before a rare shingle that are looked at to tell whether two documents have met already.
+BEFORE = 4
 WORDS_OF_SIGNATURE = [f"s{i}" for i in range(POSITIONS * PLACE_BITS // 64)]
 
 _MULTIPLY = W._sequence(21, POSITIONS) | np.uint64(1)
@@ -245,11 +247,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     wide = ["rep", "label", *facts.columns[1:]]
     small = stage.table(left.filter(F.col("size") <= LARGE_BUCKET).join(facts, "rep").select("key", *wide), "small")
     large = left.filter(F.col("size") > LARGE_BUCKET).select("rep", "label").distinct()
-    large = stage.table(_prefixes(large, sets, percent).join(facts, "rep").select("key", "at", *wide), "large")
-    # Of the first shingle that two documents share, everything before it is missing in the other one.
-    enough = (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + 1) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    large = stage.table(_prefixes(large, sets, percent).join(facts, "rep").select("key", "at", "before", *wide), "large")
     pairs = side(small, "a").join(side(small, "b"), "key").filter(apart).select("a", "b")
-    far = side(large, "a").join(side(large, "b"), "key").filter(enough & apart).select("a", "b")
+    far = side(large, "a").join(side(large, "b"), "key").filter(_first_met(percent, apart)).select("a", "b")
     pairs = pairs.unionByName(far).distinct()
     more = confirmed(stage.table(pairs, "pairs"), "more-links")
     known = merged(known, more, "all")
@@ -284,14 +284,32 @@ def _rarest(counts: np.ndarray, percent: int):
                 first = np.lexsort((shingles, seen))[: n - -(-n * percent // 100) + 1]
                 at = np.flatnonzero(seen[first] > 1)  # a count of 1 is exact: nobody shares it
                 keys = shingles[first[at]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rep, np.int64)), pa.array(at + 1), pa.array(keys)], names=["rep", "at", "key"])
+                upto = np.arange(len(keys))
+                before = [keys[max(i - BEFORE, 0) : i] for i in upto]
+                ends = np.append(0, np.cumsum(np.minimum(upto, BEFORE))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([keys[:0], *before])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rep, np.int64)), pa.array(at + 1), pa.array(keys), lists], names=["rep", "at", "key", "before"])
 
     return run
 
 
+def _first_met(percent: int, apart: Column) -> Column:
+    """Whether documents ``a`` and ``b`` that share a rare shingle, and are ``apart``, may be a link that has not met before.
+
+    Of the first shingle that they share everything before it is missing in the
+    other one, which leaves the less to share the later it comes.  If they share
+    one of the shingles just ``before``, they have met there: that one passes
+    the bound if this one does, and the first one that they share is never left out.
+    """
+    enough = (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + 1) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    return enough & apart & ~F.arrays_overlap("a_before", "b_before")
+
+
 def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rarest shingles (``key``) of each of ``docs`` and their places (``at``, from 1), enough for any link to share one.
 
+    ``before`` has the last ``BEFORE`` of them that come before ``key``.
+
     A link of ``percent`` shares that part of either set, so of a set of n all
     but n - ceil(percent n / 100) shingles; one more than those cannot all be
     missing in the other document.  This holds for any order that all documents
@@ -299,4 +317,4 @@ def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     sets = sets.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     counts = count_hashes(sets.select("shingles"), _own_shingles)
-    return sets.mapInArrow(_rarest(counts, percent), "rep long, at long, key long").join(docs, "rep")
+    return sets.mapInArrow(_rarest(counts, percent), "rep long, at long, key long, before array<long>").join(docs, "rep")

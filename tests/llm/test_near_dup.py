@@ -220,3 +220,23 @@ def test_words_made_to_share_linear_hashes_do_not_link(spark):
     rows = [(1, "rs18bf38 il5pj3jo x y z"), (2, "1wukwdjr 5l`%%7(2 x y z"), (3, "1wukwdjr 5l`%%7(2 x y z")]
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark, table(spark, rows)).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_pairs_of_many_rare_shingles_meet_about_once(spark, monkeypatch):
+    """Documents that share most rare shingles and are no links made a row for each of them."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(edited(rng, base, 2))) for i in range(40)]
+    sets = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).mapInArrow(near_dup._sets(5), "doc_id long, shingles binary")
+    facts = sets.select(F.col("doc_id").alias("rep"), F.expr("octet_length(shingles) div 8").alias("n"))
+
+    def met():
+        rows = near_dup._prefixes(facts, sets, 80)
+        a, b = (rows.select("key", *(F.col(c).alias(x if c == "rep" else f"{x}_{c}") for c in ("rep", "n", "at", "before"))) for x in "ab")
+        return [tuple(r) for r in a.join(b, "key").filter(near_dup._first_met(80, F.col("a") < F.col("b"))).select("a", "b").collect()]
+
+    found = met()
+    monkeypatch.setattr(near_dup, "BEFORE", 0)
+    every = met()
+    assert set(found) == set(every) and len(every) > 3 * len(set(every)) > 0
+    assert len(found) < 1.5 * len(set(found))
