@@ -14,14 +14,17 @@ the erroneous place out.  So no pair within the signature distance is lost.
 Links: candidates within the signature distance and the size ratio are
 confirmed on their full shingle sets.  As only the class of a document is asked
 for, a pair already known to lie in one class needs no confirmation: keys are
-first linked to one pivot each, then to one document of another class, then only
-pairs of different classes follow.
+first linked to one pivot each, then to one document of another class, large ones
+to one more by chance, then only pairs of different classes follow.
 Documents of the same set are one class by a 128-bit BLAKE2b digest of the whole
 sorted set; a shingle is a 64-bit hash of its words (see ``wordvec``) with a
 secret seed for each run, so texts cannot be made to share shingles they lack.
 The documents of large buckets are not paired bucket by bucket: pairs there must
 also share one of their rarest shingles (a necessary condition, see
 ``_prefixes``), and a pair within the signature distance shares a bucket anyway.
+Pairs of pivots and of large buckets must also pass a bound by parities of their
+sets (``_few_unlike``, necessary as well), so documents of one group that are
+near each other, but no link, make no rows.
 
 Defined results: null or blank texts have no shingles and link with nothing;
 rows without id link with nothing (component_id null, kept); repeated rows
@@ -52,9 +55,16 @@ PLACE_BITS = 16
 PER_CHUNK = POSITIONS // CHUNKS
 #: Documents of buckets above this size are paired by their rarest shingles.
 LARGE_BUCKET = 32
+#: Parts of the large buckets that are given another pivot in turn, before what is left is paired.
+CHANCES = 2
+#: Parities of up to this many sets (136 bytes each) may be broadcast.
+MARKED_ROWS = 20_000
 #: Rare shingles before a rare shingle that are looked at to tell whether two documents have met already.
 BEFORE = 4
 WORDS_OF_SIGNATURE = [f"s{i}" for i in range(POSITIONS * PLACE_BITS // 64)]
+#: Binary logarithm of the bits of a set's parities, and the words that hold them.
+PARITY_BITS = 10
+PARITIES = [f"p{i}" for i in range((1 << PARITY_BITS) // 64)]
 
 _MULTIPLY = W._sequence(21, POSITIONS) | np.uint64(1)
 _ADD = W._sequence(22, POSITIONS)
@@ -115,6 +125,21 @@ def _sets(seed: int):
     return run
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of the bits that hashes are dealt to, whether a set has an odd number there."""
+    at = (shingles >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        numbers = np.zeros((batch.num_rows, 1 + len(PARITIES)), dtype=np.int64)
+        for i, s in enumerate(batch.column(1)):
+            own = np.frombuffer(s.as_buffer(), np.uint64)
+            numbers[i, 0], numbers[i, 1:] = len(own), parities(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers.T.copy())], names=["rep", "m", *PARITIES])
+
+
 def _confirmed(percent: int):
     """Links out of rows in order (a, b, shingles): the set of ``a`` (b is null), then those of its candidates."""
 
@@ -166,6 +191,17 @@ def _distance() -> Column:
     return reduce(lambda x, y: x + y, parts)
 
 
+def _few_unlike(percent: int) -> Column:
+    """Whether sets of a_m and b_m shingles with parities a_p* and b_p* may be a link.
+
+    A shingle that only one of them has changes one parity, so they have at least as
+    many of those as parities differ; the others are counted twice.
+    """
+    unlike = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES))
+    both = F.col("a_m") + F.col("b_m")
+    return (both - unlike) * (100 + percent) >= both * (2 * percent)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Class of every document: doc_id, n_shingles, component_id, kept.
 
@@ -197,6 +233,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     sets = stage.table(sets.mapInArrow(_sets(seed), "doc_id long, shingles binary"), "sets")
 
     facts = reps.select("rep", "n", *WORDS_OF_SIGNATURE)
+    marks = sets.mapInArrow(_parities, "rep long, m long, " + ", ".join(f"{p} long" for p in PARITIES))
+    marked = stage.table(facts.join(bounded_broadcast(marks, n_seen, MARKED_ROWS), "rep"), "marked")
+    facts = marked.select(*facts.columns)
     close = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (_distance() <= MAX_DISTANCE)
     side = lambda df, x: df.select(*(F.col(c).alias(c if c == "key" else x if c == "rep" else f"{x}_{c}") for c in df.columns))
 
@@ -215,7 +254,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     def linked(star: DataFrame, name: str) -> DataFrame:
         """Confirmed links of written pairs (a, b) of a pivot and another document."""
-        met = spread_join(star.join(side(facts, "b"), "b"), side(facts, "a"), ["a"], pivots(star, name), F.xxhash64("b")).filter(close).select("a", "b")
+        rows, own = star.join(side(marked, "b"), "b"), star.select("a").distinct()
+        if (n := own.count()) <= MARKED_ROWS:
+            met = rows.join(F.broadcast(side(marked, "a").join(bounded_broadcast(own, n), "a", "left_semi")), "a")
+        else:
+            met = spread_join(rows, side(marked, "a"), ["a"], pivots(star, name), F.xxhash64("b"))
+        met = met.filter(close & _few_unlike(percent)).select("a", "b")
         return confirmed(stage.table(met, f"{name}-close"), f"{name}-links")
 
     # Each key's documents against its pivot.
@@ -231,7 +275,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         moved = connected_components(between, stage, name).select(F.col("v").alias("label"), F.col("label").alias("into")).filter("into <> label")
         return stage.table(known.join(moved, "label", "left").select("rep", F.coalesce("into", "label").alias("label")), f"known-{name}")
 
-    def several(known: DataFrame, name: str) -> DataFrame:
+    def several(known: DataFrame, name: str, members: DataFrame = members) -> DataFrame:
         """Members (key, rep, size, label, low, other) of keys with several classes; ``other`` is not of the class ``low``."""
         left = stage.table(members.select("key", "rep", "size").join(known, "rep"), f"labelled-{name}")
         spread = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("rep", "label").alias("other")).filter("low <> high").select("key", "low", "other")
@@ -241,13 +285,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     second = several(known, "first").filter("label = low").select(F.col("other").alias("a"), F.col("rep").alias("b")).distinct()
     known = merged(known, linked(stage.table(second, "second"), "second"), "second")
 
+    # Large keys have many classes and a pivot is near some of them: another pivot by chance, one of each class as likely as of another.
+    chance = lambda c: F.xxhash64(c, "key")
+    for at in range(CHANCES):
+        name = f"chance-{at}"
+        left = several(known, name, members.filter((F.col("size") > LARGE_BUCKET) & (F.pmod(F.xxhash64("key"), F.lit(CHANCES)) == at)))
+        drawn = left.groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.struct(chance("label"), chance("rep"))).alias("pivot"))
+        star = spread_join(left, drawn, ["key"], hot, F.xxhash64("rep")).filter("label <> pivot.label").select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        links = linked(stage.table(star, name), name)
+        if not links.isEmpty():
+            known = merged(known, links, name)
+        stage.drop(f"labelled-{name}", f"left-{name}", name, f"{name}-close")
+
     # What is left: pairs of one key in different classes.
     left = several(known, "rest")
     apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & close
-    wide = ["rep", "label", *facts.columns[1:]]
-    small = stage.table(left.filter(F.col("size") <= LARGE_BUCKET).join(facts, "rep").select("key", *wide), "small")
+    small = stage.table(left.filter(F.col("size") <= LARGE_BUCKET).join(facts, "rep").select("key", "rep", "label", *facts.columns[1:]), "small")
     large = left.filter(F.col("size") > LARGE_BUCKET).select("rep", "label").distinct()
-    large = stage.table(_prefixes(large, sets, percent).join(facts, "rep").select("key", "at", "before", *wide), "large")
+    large = stage.table(_prefixes(large, sets, percent).join(marked, "rep").select("key", "at", "before", "rep", "label", *marked.columns[1:]), "large")
     pairs = side(small, "a").join(side(small, "b"), "key").filter(apart).select("a", "b")
     far = side(large, "a").join(side(large, "b"), "key").filter(_first_met(percent, apart)).select("a", "b")
     pairs = pairs.unionByName(far).distinct()
@@ -259,7 +314,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     out = features.select("doc_id", "n_shingles", "set_hi", "set_lo")
     some = spread_join(out.filter("set_hi is not null"), classes, ["set_hi", "set_lo"], hot, F.xxhash64("doc_id")).select("doc_id", "n_shingles", "component_id")
     none = out.filter("set_hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    stage.drop("shared", "members", "sets", "star", "star-close", "second", "second-close", "labelled-first", "left-first", "labelled-rest", "left-rest", "small", "large", "pairs", "star-links", "second-links", "more-links")
+    stage.drop("shared", "members", "sets", "star", "star-close", "second", "second-close", "labelled-first", "left-first", "labelled-rest", "left-rest", "small", "large", "pairs", "marked", "star-links", "second-links", "more-links")
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -302,7 +357,7 @@ def _first_met(percent: int, apart: Column) -> Column:
     the bound if this one does, and the first one that they share is never left out.
     """
     enough = (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + 1) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
-    return enough & apart & ~F.arrays_overlap("a_before", "b_before")
+    return enough & apart & _few_unlike(percent) & ~F.arrays_overlap("a_before", "b_before")
 
 
 def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

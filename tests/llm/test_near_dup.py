@@ -240,3 +240,45 @@ def test_pairs_of_many_rare_shingles_meet_about_once(spark, monkeypatch):
     every = met()
     assert set(found) == set(every) and len(every) > 3 * len(set(every)) > 0
     assert len(found) < 1.5 * len(set(found))
+
+
+def test_a_group_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """Documents of one group that are near each other and no links made a row for each two of them."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(200)]
+    other = edited(rng, base, 12)
+    texts = [" ".join(edited(rng, base, 5)) for _ in range(120)] + [" ".join(edited(rng, other, 2)) for _ in range(80)]
+    rng.shuffle(texts)
+    made, write = {}, near_dup.Stage.table
+
+    def counted(stage, df, name):
+        out = write(stage, df, name)
+        made[name] = out.count() if name == "pairs" or name.endswith("-close") else 0
+        return out
+
+    monkeypatch.setattr(near_dup.Stage, "table", counted)
+    monkeypatch.setattr(near_dup, "LARGE_BUCKET", 4)
+    monkeypatch.setattr(near_dup, "MARKED_ROWS", 0)
+    rows = list(enumerate(texts))
+    got = near_duplicates(spark, table(spark, rows), percent=80)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: c for i, (_, c, _) in brute_classes(rows, 80).items()}
+    assert made["pairs"] and sum(made.values()) < 5 * len(rows), {k: n for k, n in made.items() if n}
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_parities_pass_every_link(spark, percent):
+    rng = random.Random(percent)
+    base = [rng.getrandbits(64) for _ in range(3000)]
+    rows, links = [], []
+    for i in range(400):
+        n = rng.choice([1, 2, 9, 150, 3000])
+        a, some = base[:n], rng.randrange(max(n // 6, 1) + 1)
+        b = a[some:] + [rng.getrandbits(64) for _ in range(rng.randrange(some + 1))]
+        a, b = (near_dup.np.array(sorted(x), dtype="uint64") for x in (a, b or a))
+        both = len(set(a.tolist()) & set(b.tolist()))
+        links.append(100 * both >= percent * (len(a) + len(b) - both))
+        rows.append((i, len(a), *near_dup.parities(a).tolist(), len(b), *near_dup.parities(b).tolist()))
+    names = ["i", *(f"{x}_{c}" for x in "ab" for c in ("m", *near_dup.PARITIES))]
+    passed = {r["i"] for r in spark.createDataFrame(rows, names).filter(near_dup._few_unlike(percent)).select("i").collect()}
+    assert {i for i, x in enumerate(links) if x} <= passed and sum(links) > 20
+    assert len(passed) < len(rows)
