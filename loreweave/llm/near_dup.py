@@ -22,9 +22,10 @@ secret seed for each run, so texts cannot be made to share shingles they lack.
 The documents of large buckets are not paired bucket by bucket: pairs there must
 also share one of their rarest shingles (a necessary condition, see
 ``_prefixes``), and a pair within the signature distance shares a bucket anyway.
-Pairs of pivots and of large buckets must also pass a bound by parities of their
-sets (``_few_unlike``, necessary as well), so documents of one group that are
-near each other, but no link, make no rows.
+All pairs must also pass a bound by parities of their sets (``_few_unlike``,
+necessary as well), so documents that are near each other, but no link, make few
+rows, and their sets are not moved.  Whatever asks for some of the sets leaves the
+others where they are (``_among``).
 
 Defined results: null or blank texts have no shingles and link with nothing;
 rows without id link with nothing (component_id null, kept); repeated rows
@@ -45,9 +46,9 @@ from pyspark.sql import functions as F
 
 from . import wordvec as W
 from .components import connected_components
-from .sketch import count_hashes, places
+from .sketch import bit_table, count_hashes, places
 from ..operators.skew import hot_keys, salted, spread_join
-from ..sources.staging import Stage, bounded_broadcast
+from ..sources.staging import BROADCAST_ROWS, Stage, bounded_broadcast
 
 WIDTH = 5
 POSITIONS, CHUNKS, MAX_DISTANCE = 40, 10, 19
@@ -202,6 +203,23 @@ def _few_unlike(percent: int) -> Column:
     return (both - unlike) * (100 + percent) >= both * (2 * percent)
 
 
+def _among(rows: DataFrame, column: str, wanted: DataFrame, n: int) -> DataFrame:
+    """The ``rows`` whose ``column`` is one of the ``n`` ids of ``wanted`` (one column), without moving any.
+
+    More ids than may be broadcast are held as a bit table, so some other rows pass too.
+    """
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted.toDF(column)), column, "left_semi")
+    table = bit_table(wanted.select(F.xxhash64(wanted.columns[0]).alias("hash")), "hash", n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(table.may_have(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))))
+
+    hashed = rows.withColumn("_hash", F.xxhash64(column))
+    return hashed.mapInArrow(run, hashed.schema).drop("_hash")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Class of every document: doc_id, n_shingles, component_id, kept.
 
@@ -225,20 +243,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shared = stage.table(shared, "shared")
     hot = hot_keys(stage, "hot-buckets", shared, ["key"], "size", sums["sets"])
     members = stage.table(spread_join(keyed, shared, ["key"], hot, F.xxhash64("rep")), "members")
-    seen = members.select(F.col("rep").alias("doc_id")).distinct()
+    seen = stage.table(members.select("rep").distinct(), "seen")
     n_seen = seen.count()
-    sets = texts.join(bounded_broadcast(seen, n_seen), "doc_id", "left_semi")
+    sets = _among(texts, "doc_id", seen, n_seen)
     if not features.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         sets = sets.dropDuplicates(["doc_id"])  # moves whole texts, so only where ids repeat
     sets = stage.table(sets.mapInArrow(_sets(seed), "doc_id long, shingles binary"), "sets")
 
-    facts = reps.select("rep", "n", *WORDS_OF_SIGNATURE)
+    facts = _among(reps.select("rep", "n", *WORDS_OF_SIGNATURE), "rep", seen, n_seen)
     marks = sets.mapInArrow(_parities, "rep long, m long, " + ", ".join(f"{p} long" for p in PARITIES))
     marked = stage.table(facts.join(bounded_broadcast(marks, n_seen, MARKED_ROWS), "rep"), "marked")
     facts = marked.select(*facts.columns)
     close = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (_distance() <= MAX_DISTANCE)
     side = lambda df, x: df.select(*(F.col(c).alias(c if c == "key" else x if c == "rep" else f"{x}_{c}") for c in df.columns))
 
+    def asked(pairs: DataFrame, x: str, n: int) -> DataFrame:
+        """(x, shingles) of the ``n`` documents that are ``x`` of written pairs; the other sets stay where they are."""
+        return _among(sets.select(F.col("doc_id").alias(x), "shingles"), x, pairs.select(x).distinct(), n)
+
     def pivots(pairs: DataFrame, name: str) -> DataFrame | None:
         """Those ``a`` of written pairs that have a large share of them."""
         return hot_keys(stage, f"hot-{name}", pairs.groupBy("a").agg(F.count("*").alias("size")), ["a"], "size", pairs.count())
@@ -246,21 +268,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose full sets are similar enough; the set of ``a`` travels once for all its partners (of a part)."""
         dealt = salted(pairs, pivots(pairs, name), ["a"], F.xxhash64("b"))
-        others = dealt.join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("a", "_salt", "b", "shingles")
-        own = dealt.select("a", "_salt").distinct().join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a")
+        ends = pairs.agg(F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).first()
+        others = dealt.join(asked(pairs, "b", ends["b"]), "b").select("a", "_salt", "b", "shingles")
+        own = dealt.select("a", "_salt").distinct().join(asked(pairs, "a", ends["a"]), "a")
         rows = others.unionByName(own.select("a", "_salt", F.lit(None).cast("long").alias("b"), "shingles"))
         rows = rows.repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.asc_nulls_first("b")).select("a", "b", "shingles")
         return stage.table(rows.mapInArrow(_confirmed(percent), "a long, b long"), name)
 
-    def linked(star: DataFrame, name: str) -> DataFrame:
-        """Confirmed links of written pairs (a, b) of a pivot and another document."""
+    def possible(star: DataFrame, name: str) -> DataFrame:
+        """Those of written pairs (a, b), of a pivot and another document as a rule, that may be a link."""
         rows, own = star.join(side(marked, "b"), "b"), star.select("a").distinct()
         if (n := own.count()) <= MARKED_ROWS:
             met = rows.join(F.broadcast(side(marked, "a").join(bounded_broadcast(own, n), "a", "left_semi")), "a")
         else:
             met = spread_join(rows, side(marked, "a"), ["a"], pivots(star, name), F.xxhash64("b"))
-        met = met.filter(close & _few_unlike(percent)).select("a", "b")
-        return confirmed(stage.table(met, f"{name}-close"), f"{name}-links")
+        return met.filter(close & _few_unlike(percent)).select("a", "b")
+
+    def linked(star: DataFrame, name: str) -> DataFrame:
+        """Confirmed links of written pairs (a, b)."""
+        return confirmed(stage.table(possible(star, name), f"{name}-close"), f"{name}-links")
 
     # Each key's documents against its pivot.
     star = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
@@ -301,9 +327,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     left = several(known, "rest")
     apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & close
     small = stage.table(left.filter(F.col("size") <= LARGE_BUCKET).join(facts, "rep").select("key", "rep", "label", *facts.columns[1:]), "small")
-    large = left.filter(F.col("size") > LARGE_BUCKET).select("rep", "label").distinct()
+    large = stage.table(left.filter(F.col("size") > LARGE_BUCKET).select("rep", "label").distinct(), "large-docs")
     large = stage.table(_prefixes(large, sets, percent).join(marked, "rep").select("key", "at", "before", "rep", "label", *marked.columns[1:]), "large")
-    pairs = side(small, "a").join(side(small, "b"), "key").filter(apart).select("a", "b")
+    pairs = side(small, "a").join(side(small, "b"), "key").filter(apart).select("a", "b").distinct()
+    pairs = possible(stage.table(pairs, "small-pairs"), "small-pairs")
     far = side(large, "a").join(side(large, "b"), "key").filter(_first_met(percent, apart)).select("a", "b")
     pairs = pairs.unionByName(far).distinct()
     more = confirmed(stage.table(pairs, "pairs"), "more-links")
@@ -314,7 +341,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     out = features.select("doc_id", "n_shingles", "set_hi", "set_lo")
     some = spread_join(out.filter("set_hi is not null"), classes, ["set_hi", "set_lo"], hot, F.xxhash64("doc_id")).select("doc_id", "n_shingles", "component_id")
     none = out.filter("set_hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    stage.drop("shared", "members", "sets", "star", "star-close", "second", "second-close", "labelled-first", "left-first", "labelled-rest", "left-rest", "small", "large", "pairs", "marked", "star-links", "second-links", "more-links")
+    stage.drop("shared", "members", "seen", "sets", "star", "star-close", "second", "second-close", "labelled-first", "left-first", "labelled-rest", "left-rest", "small", "small-pairs", "large-docs", "large", "pairs", "marked", "star-links", "second-links", "more-links")
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -368,8 +395,9 @@ def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A link of ``percent`` shares that part of either set, so of a set of n all
     but n - ceil(percent n / 100) shingles; one more than those cannot all be
     missing in the other document.  This holds for any order that all documents
-    follow; rarity is counted over all of ``docs`` in a sketch of fixed size.
+    follow; rarity is counted over all of ``docs`` (distinct ids), and others that
+    ``_among`` lets pass, in a sketch of fixed size.
     """
-    sets = sets.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = _among(sets, "doc_id", docs.select("rep"), docs.count())
     counts = count_hashes(sets.select("shingles"), _own_shingles)
     return sets.mapInArrow(_rarest(counts, percent), "rep long, at long, key long, before array<long>").join(docs, "rep")

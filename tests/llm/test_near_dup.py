@@ -282,3 +282,51 @@ def test_parities_pass_every_link(spark, percent):
     passed = {r["i"] for r in spark.createDataFrame(rows, names).filter(near_dup._few_unlike(percent)).select("i").collect()}
     assert {i for i, x in enumerate(links) if x} <= passed and sum(links) > 20
     assert len(passed) < len(rows)
+
+
+def test_sets_move_only_for_pairs_that_may_be_links(spark, monkeypatch):
+    """Near documents of small buckets that are no links each had their whole sets moved to be told so."""
+    rng = random.Random(31)
+    texts = []
+    for g in range(10):
+        base = [f"w{g}-{i}" for i in range(200)]
+        texts += [" ".join(edited(rng, base, 5)) for _ in range(5)] + [" ".join(base)]
+    made, write = {}, near_dup.Stage.table
+
+    def counted(stage, df, name):
+        out = write(stage, df, name)
+        made[name] = out.count() if name in ("pairs", "small") else 0
+        return out
+
+    monkeypatch.setattr(near_dup.Stage, "table", counted)
+    rows = list(enumerate(texts))
+    got = near_duplicates(spark, table(spark, rows), percent=80)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: c for i, (_, c, _) in brute_classes(rows, 80).items()}
+    assert made["small"] and made["pairs"] < 10, {k: n for k, n in made.items() if n}
+
+
+def test_many_sets_are_found_without_moving_texts(spark, monkeypatch):
+    """Above the bound for broadcasts whole texts, and all sets, were dealt out by id to find some of them."""
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(near_dup, "bounded_broadcast", lambda df, *_: df)
+    monkeypatch.setattr(near_dup, "LARGE_BUCKET", 4)
+    plans, write = {}, near_dup.Stage.table
+
+    def seen(stage, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(stage, df, name)
+
+    monkeypatch.setattr(near_dup.Stage, "table", seen)
+    rows = corpus(6)
+    got = near_duplicates(spark, table(spark, rows).union(table(spark, [(None, "no id")])))
+    assert {r["doc_id"]: r["component_id"] for r in got.filter("doc_id is not null").collect()} == {i: c for i, (_, c, _) in brute_classes(rows).items()}
+    assert "Exchange" not in plans["sets"]
+
+
+def test_rows_among_some_ids(spark, monkeypatch):
+    """Every wanted row passes and few others."""
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", 100)
+    rows = spark.range(20000).select("id", F.lit(b"x").alias("shingles"))
+    for n in (50, 2000):
+        found = {r["id"] for r in near_dup._among(rows, "id", spark.range(n).toDF("rep"), n).collect()}
+        assert found >= set(range(n)) and len(found) < n + 20000 / 10
