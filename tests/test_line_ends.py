@@ -1,0 +1,37 @@
+"""Queries whose SQL leaves every line as it is: one that ends in an open bracket, or is a marker, takes no next line."""
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from loreweave import queries as Q
+
+LINES = "call +1 (\nTh  of\n\n[\nend '\n┃\nlast"
+
+
+@pytest.fixture(scope="module")
+def sf(tmp_path_factory):
+    at = tmp_path_factory.mktemp("lines")
+    texts = [LINES, " \n\n", "", None, "-\none (\ntwo"]
+    ids = pa.array(range(len(texts)), pa.int64())
+    pq.write_table(pa.table({"doc_id": ids, "text": texts, "source": ["s"] * len(texts)}), at / "documents.parquet")
+    html = [f"<p>{t}</p>".replace("\n", "</p><p>") if t is not None else None for t in texts]
+    pq.write_table(pa.table({"page_id": ids, "html": html}), at / "pages.parquet")
+    return str(at)
+
+
+LEFT = "call +1 (\nTh of\n[\nend '\n┃\nlast"
+
+
+def test_lines_stay_apart(spark, sf):
+    got = Q.queries()["normalize_lines"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == [(0, LEFT), (4, "-\none (\ntwo")]
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # no text is cut twice
+
+
+@pytest.mark.parametrize("name", ["chunk_pack", "sectioned_chunks"])
+def test_chunks_have_lines_as_they_are(spark, sf, name):
+    import hashlib
+
+    got = {r["note_id"]: r["text_md5"] for r in Q.queries()[name](spark, sf).collect()}
+    assert got[4] == hashlib.md5(b"-\none (\ntwo").hexdigest()
