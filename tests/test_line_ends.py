@@ -29,6 +29,11 @@ def test_lines_stay_apart(spark, sf):
     assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # no text is cut twice
 
 
+def test_text_nodes_stay_apart(spark, sf):
+    got = Q.queries()["html_to_plain"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == [(0, LEFT), (1, ""), (2, ""), (4, "-\none (\ntwo")]
+
+
 @pytest.mark.parametrize("name", ["chunk_pack", "sectioned_chunks"])
 def test_chunks_have_lines_as_they_are(spark, sf, name):
     import hashlib
